@@ -22,7 +22,6 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -31,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import byte_values, discard, staged
+from tabularium.llm.common import byte_values, discard, fresh, staged
 
 BITS = 64
 SHINGLE = 3
@@ -243,12 +242,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows of a near-duplicate class other than that with the smallest id.
+    """docs with one document of each near-duplicate class, that with the smallest id, all columns as they are.
 
-    Rows with a null id stay where their class has no other id; repeated rows of the smallest id are cut to one.
+    Rows with a null id stay, for no id can stand for them; repeated rows of one id and text are cut to one.
     """
     classes = near_duplicates(docs, doc_id, text).select("doc_id", "component_id")
-    keepers = classes.where(F.col("doc_id").isNull() & F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).distinct()
-    kept = keepers.select(F.col("doc_id").alias("_kept_id"))
-    named = docs.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return named.dropDuplicates([doc_id])
+    kept = fresh(docs, "kept_id")
+    keepers = classes.where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    named = docs.join(keepers, F.col(doc_id).cast("long") == F.col(kept), "left_semi").dropDuplicates([doc_id, text])
+    return named.unionByName(docs.where(F.col(doc_id).isNull()))
