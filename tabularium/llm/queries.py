@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm import decontam, line_quality, packing, secret_scan, simhash, warc
+from tabularium.llm import attention_lm, decontam, line_quality, packing, secret_scan, simhash, warc
 from tabularium.llm.common import new_path, read
 
 
@@ -27,6 +27,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), named, (F.col("n_hit") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near_items"))
 
 
+def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.scored(read(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op2_line_quality": op2_line_quality,
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
+    "op6_attention_lm": op6_attention_lm,
     "op7_secret_scan": op7_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
