@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm import attention_lm, decontam, line_quality, packing, secret_scan, simhash, warc
+from tabularium.llm import attention_lm, decontam, line_quality, packing, pii, secret_scan, simhash, warc
 from tabularium.llm.common import new_path, read
 
 
@@ -39,6 +39,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_quality": op2_line_quality,
@@ -47,6 +51,7 @@ QUERIES = {
     "op6_attention_lm": op6_attention_lm,
     "op7_secret_scan": op7_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_pii": op9_pii,
 }
 
 ORACLES: dict[str, str] = {}
