@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm import attention_lm, decontam, line_quality, packing, pii, secret_scan, simhash, warc
+from tabularium.llm import attention_lm, decontam, license_scan, line_quality, packing, pii, secret_scan, simhash, tool_chat, warc
 from tabularium.llm.common import new_path, read
 
 
@@ -17,6 +17,13 @@ def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.verdicts(read(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read(spark, sf_dir, "documents"))
+    each = F.transform("matches", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string")))
+    names = F.array_sort(F.array_distinct("matches.license"))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.concat_ws(",", names).alias("licenses"), F.array_max("matches.coverage").alias("coverage"), F.concat_ws(",", each).alias("spans"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"), new_path(spark, "archive"))
 
@@ -43,15 +50,23 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(read(spark, sf_dir, "documents"))
 
 
+def op10_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_chat.calls_of(read(spark, sf_dir, "conversations"))
+    found = tool_chat.link(calls, results, tool_chat.TURN_SCHEMAS)
+    return found.select(F.col("conv").cast("long").alias("conv_id"), F.col("call").alias("call_id"), "turn", "name", "level", "result_turn", "status", F.size("errors").cast("long").alias("n_errors"), F.sha2("record", 256).alias("record_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_quality": op2_line_quality,
+    "op3_license_scan": op3_license_scan,
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
     "op6_attention_lm": op6_attention_lm,
     "op7_secret_scan": op7_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_pii": op9_pii,
+    "op10_tool_chat": op10_tool_chat,
 }
 
 ORACLES: dict[str, str] = {}
