@@ -1,0 +1 @@
+"""Questions over large collections of small tables, answered by Spark: search, selection, calculation, evaluation."""
