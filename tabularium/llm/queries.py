@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tabularium.llm import attention_lm, decontam, license_scan, line_quality, packing, pii, secret_scan, simhash, tool_chat, warc
 from tabularium.llm.common import new_path, read
+from tabularium.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     named = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), named, (F.col("n_hit") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near_items"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), named, (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +70,3 @@ QUERIES = {
     "op10_tool_chat": op10_tool_chat,
 }
 
-ORACLES: dict[str, str] = {}
