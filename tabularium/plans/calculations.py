@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Financial ratios by name: from measures to a Column; zero denominators give null.
@@ -16,7 +16,9 @@ RATIOS: dict[str, Callable[[], Column]] = {
     "unit_price": lambda: F.try_divide("revenue", "quantity"),
 }
 
-_BY_YEAR = Window.partitionBy("entity").orderBy("year")
+
+def _by_year() -> WindowSpec:
+    return Window.partitionBy("entity").orderBy("year")
 
 
 def statements(sales: DataFrame, orders: DataFrame, customers: DataFrame, nations: DataFrame) -> DataFrame:
@@ -33,11 +35,11 @@ def statements(sales: DataFrame, orders: DataFrame, customers: DataFrame, nation
 
 def previous(measure: Column, years: int = 1) -> Column:
     """The measure so many years before; null if that year is missing."""
-    return F.when(F.lag("year", years).over(_BY_YEAR) == F.col("year") - years, F.lag(measure, years).over(_BY_YEAR))
+    return F.when(F.lag("year", years).over(_by_year()) == F.col("year") - years, F.lag(measure, years).over(_by_year()))
 
 
 def following(measure: Column) -> Column:
-    return F.when(F.lead("year").over(_BY_YEAR) == F.col("year") + 1, F.lead(measure).over(_BY_YEAR))
+    return F.when(F.lead("year").over(_by_year()) == F.col("year") + 1, F.lead(measure).over(_by_year()))
 
 
 def growth(measure: Column) -> Column:

@@ -1,7 +1,7 @@
 """Registered queries, each with the SQL that gives the same rows."""
 
-from tabularium.queries import calculation, contracts, evaluation, search, selection
+from tabularium.queries import calculation, contracts, evaluation, guarding, search, selection
 
-MODULES = (contracts, search, selection, evaluation, calculation)
+MODULES = (contracts, search, selection, evaluation, calculation, guarding)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
