@@ -25,16 +25,16 @@ _FORMS: dict[str, tuple] = {
     "calc_ratio": (lambda s: s.select("entity", "year", F.round(F.try_divide("cost", "revenue") * 100, 6).alias("value")), "SELECT entity, year, round(cost / nullif(revenue, 0) * 100, 6) AS value FROM stmt"),
     "calc_growth": (lambda s: s.select("entity", "year", F.round(calc.growth(F.col("revenue")), 6).alias("value")), f"SELECT entity, year, round((revenue - {_LAG.format('revenue')}) / nullif({_LAG.format('revenue')}, 0) * 100, 6) AS value FROM stmt {_W}"),
     "calc_difference": (lambda s: s.select("entity", "year", F.round(F.col("revenue") - calc.previous(F.col("revenue")), 4).alias("value")), f"SELECT entity, year, round(revenue - {_LAG.format('revenue')}, 4) AS value FROM stmt {_W}"),
-    "calc_sum": (lambda s: s.where("year between 1996 and 1999").groupBy("entity").agg(F.round(F.sum("revenue"), 3).alias("value")), "SELECT entity, round(sum(revenue), 3) AS value FROM stmt WHERE year BETWEEN 1996 AND 1999 GROUP BY entity"),
-    "calc_mean": (lambda s: s.groupBy("year").agg(F.round(F.avg("revenue"), 3).alias("value"), F.count(F.lit(1)).alias("n")), "SELECT year, round(avg(revenue), 3) AS value, count(*) AS n FROM stmt GROUP BY year"),
+    "calc_sum": (lambda s: s.where("year between 1996 and 1999").groupBy("entity").agg(F.round(F.sum("revenue"), 4).alias("value")), "SELECT entity, round(sum(revenue), 4) AS value FROM stmt WHERE year BETWEEN 1996 AND 1999 GROUP BY entity"),
+    "calc_mean": (lambda s: s.groupBy("year").agg(F.round(F.avg("revenue"), 6).alias("value"), F.count(F.lit(1)).alias("n")), "SELECT year, round(avg(revenue), 6) AS value, count(*) AS n FROM stmt GROUP BY year"),
     "calc_extreme": (lambda s: s.groupBy("entity").agg(F.max("revenue").alias("largest"), F.min("revenue").alias("smallest")), "SELECT entity, max(revenue) AS largest, min(revenue) AS smallest FROM stmt GROUP BY entity"),
     "calc_argmax": (lambda s: calc.best_year(s, "revenue").select("entity", F.col("year").cast("double").alias("value")), "SELECT entity, CAST(year AS DOUBLE) AS value FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY revenue DESC, year) AS n FROM stmt) WHERE n = 1"),
     "calc_argmax_lookup": (lambda s: calc.best_year(s, "revenue").select("entity", "year", F.round(F.col("cost") / 1e6, 6).alias("value")), "SELECT entity, year, round(cost / 1e6, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY revenue DESC, year) AS n FROM stmt) WHERE n = 1"),
     "calc_next_period": (lambda s: calc.best_year(s.withColumn("next", calc.following(F.col("cost"))), "revenue", largest=False).select("entity", "year", F.round("next", 4).alias("value")), f"SELECT entity, year, round(nxt, 4) AS value FROM (SELECT *, CASE WHEN lead(year) OVER w = year + 1 THEN lead(cost) OVER w END AS nxt, row_number() OVER (PARTITION BY entity ORDER BY revenue, year) AS n FROM stmt {_W}) WHERE n = 1"),
-    "calc_filtered_agg": (lambda s: s.where(calc.RATIOS["cost_share"]() < 4.2).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("revenue"), 3).alias("value")), "SELECT year, count(*) AS n, round(sum(revenue), 3) AS value FROM stmt WHERE cost / nullif(revenue, 0) * 100 < 4.2 GROUP BY year"),
+    "calc_filtered_agg": (lambda s: s.where(calc.RATIOS["cost_share"]() < 4.2).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("revenue"), 4).alias("value")), "SELECT year, count(*) AS n, round(sum(revenue), 4) AS value FROM stmt WHERE cost / nullif(revenue, 0) * 100 < 4.2 GROUP BY year"),
     "calc_forall": (lambda s: s.where("year < 2001").groupBy("entity").agg(F.bool_and(F.col("revenue") > 100_000).alias("every"), F.count(F.lit(1)).alias("n")), "SELECT entity, bool_and(revenue > 100000) AS every, count(*) AS n FROM stmt WHERE year < 2001 GROUP BY entity"),
     "calc_count_if": (lambda s: s.groupBy("year").agg(F.count_if(F.col("revenue") > 1_000_000).cast("long").alias("n")), "SELECT year, count(*) FILTER (revenue > 1000000) AS n FROM stmt GROUP BY year"),
-    "calc_median_filter": (lambda s: s.join(s.groupBy("year").agg(F.median("revenue").alias("m")), "year").where("revenue > m").groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cost"), 3).alias("value")), "SELECT year, count(*) AS n, round(avg(cost), 3) AS value FROM stmt JOIN (SELECT year, median(revenue) AS m FROM stmt GROUP BY year) USING (year) WHERE revenue > m GROUP BY year"),
+    "calc_median_filter": (lambda s: s.join(s.groupBy("year").agg(F.median("revenue").alias("m")), "year").where("revenue > m").groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cost"), 6).alias("value")), "SELECT year, count(*) AS n, round(avg(cost), 6) AS value FROM stmt JOIN (SELECT year, median(revenue) AS m FROM stmt GROUP BY year) USING (year) WHERE revenue > m GROUP BY year"),
     "calc_margin_pp": (lambda s: s.select("entity", "year", F.round(calc.RATIOS["margin"]() - calc.previous(calc.RATIOS["margin"]()), 6).alias("value")), f"SELECT entity, year, round({MARGIN} - {_LAG.format(MARGIN)}, 6) AS value FROM stmt {_W}"),
     "calc_sensitivity": (lambda s: s.select("entity", "year", F.round(calc.sensitivity(0.1), 6).alias("value")), "SELECT entity, year, round(0.1::DOUBLE * cost / nullif(revenue * (1 - (revenue - cost) / nullif(revenue, 0)), 0) * 100, 6) AS value FROM stmt"),
     "calc_avg_balance": (lambda s: s.select("entity", "year", F.round(F.try_divide(F.col("revenue"), calc.average_of_two(F.col("balance"))), 6).alias("value")), f"SELECT entity, year, round(revenue / nullif((balance + {_LAG.format('balance')}) / 2, 0), 6) AS value FROM stmt {_W}"),
