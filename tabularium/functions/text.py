@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,12 +35,20 @@ def fold(text: Column) -> Column:
     return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), _FROM, _TO)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
-    """Folded words of two characters or more without stop words; if nothing is left, with them."""
+    """Folded words of two characters or more without stop words; if nothing is left, with them.
+
+    The words of a text are folded together, for folding one by one costs far more.
+    """
     words = F.filter(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), lambda w: F.char_length(w) > 1)
-    folded = F.transform(words, fold)
-    kept = F.filter(folded, lambda w: ~w.isin(*STOP_WORDS))
-    return F.when(F.size(kept) > 0, kept).otherwise(folded)
+    folded = F.filter(F.split(fold(F.array_join(words, " ")), " "), lambda w: w != "")
+    meaning = lambda w: F.filter(w, lambda x: ~x.isin(*STOP_WORDS))
+    return let(folded, lambda w: let(meaning(w), lambda k: F.when(F.size(k) > 0, k).otherwise(w)))
 
 
 def collapse(text: Column) -> Column:

@@ -48,8 +48,10 @@ def bm25_scores(rows: DataFrame, questions: DataFrame, scope: str = "ticker") ->
     Only the terms of questions are joined; their counts come from all documents of the scope.
     """
     terms = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    own = postings(rows, scope).join(terms.select("term").distinct(), "term", "left_semi")
-    sizes = rows.groupBy(scope).agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col("index_text")))).alias("mean"))
+    every = postings(rows, scope)
+    own = every.join(terms.select("term").distinct(), "term", "left_semi")
+    words = every.groupBy(scope).agg(F.sum("tf").alias("words"))
+    sizes = rows.groupBy(scope).agg(F.count(F.lit(1)).alias("n")).join(words, scope).select(scope, "n", (F.col("words") / F.col("n")).alias("mean"))
     df = own.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"))
     weighed = own.join(df, [scope, "term"]).join(sizes, scope)
     weighed = weighed.select(scope, "table_id", "term", bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean")).alias("weight"))
