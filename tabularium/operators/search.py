@@ -14,6 +14,8 @@ FIELDS = ("ticker", "year", "report_type", "table_type")
 #: Rank that stands for "not in this list" when ties are broken.
 NO_RANK = 1_000_000_000
 RRF = 60
+#: Query vectors that are sent to the executors at once.
+BLOCK = 4096
 
 
 def metadata_filter(filters: Mapping[str, Sequence]) -> Column:
@@ -64,9 +66,16 @@ def top(scores: DataFrame, k: int, by: Sequence[str] = ("question_id",), score:
     return scores.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(question_id, table_id, score) of each query vector (a stated set) with all vectors."""
-    return vectors.join(F.broadcast(queries), F.lit(True)).select("question_id", "table_id", F.round(cosine(F.col("embedding"), F.col("query")), 9).alias("score"))
+def cosine_scores(vectors: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(question_id, table_id, score) of each query vector (a stated set) with all vectors.
+
+    Queries are sent to the executors in blocks of about so many; there is no limit on the number of blocks.
+    """
+    blocks = -(-queries.count() // block) or 1
+    parts = [queries.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [queries]
+    score = F.round(cosine(F.col("embedding"), F.col("query")), 9).alias("score")
+    scored = [vectors.join(F.broadcast(part), F.lit(True)).select("question_id", "table_id", score) for part in parts]
+    return reduce(DataFrame.unionByName, scored)
 
 
 def fused(dense: DataFrame, lexical: DataFrame) -> DataFrame:

@@ -47,6 +47,13 @@ def test_only_empty_buckets_are_relaxed(spark):
     assert got == {(1, False), (3, True), (4, True)}
 
 
+def test_query_blocks(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(12)], "table_id int, embedding array<float>")
+    asked = vectors.where("table_id < 7").selectExpr("table_id as question_id", "embedding as query")
+    rows = lambda block: sorted(map(tuple, search.cosine_scores(vectors, asked, block).collect()))
+    assert rows(2) == rows(100) and len(rows(2)) == 84
+
+
 def test_fusion_ties(spark):
     dense = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "question_id int, table_id int, dense_rank int")
     lexical = spark.createDataFrame([(1, 12, 1), (1, 11, 2)], "question_id int, table_id int, bm25_rank int")
