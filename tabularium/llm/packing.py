@@ -6,8 +6,8 @@ any key of the data; each group is packed by itself, longest piece first:
 
 * a piece goes to the open bin in which it leaves least room;
 * if it fits none, a bin is opened in the permitted length that is cheapest
-  for each token that can still be put into it, given the pieces that are left
-  (the cost of a length is linear plus quadratic, as attention is);
+  for each token that the pieces left would put into it, largest first, when
+  cut to them (the cost of a length is linear plus quadratic, as attention is);
 * at the end each bin is cut down to the shortest permitted length that holds
   its contents.
 
@@ -20,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -42,11 +43,53 @@ def bin_cost(length: int) -> float:
     return length * (1 + length / QUADRATIC)
 
 
-def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> list[tuple[int, int, int]]:
-    """(bin, offset, bin's final length) for each size, in the given order; sizes are at most the longest length."""
+class _Left:
+    """How many pieces of each size are left."""
+
+    def __init__(self, sizes: Sequence[int]):
+        self.counts = Counter(sizes)
+        self.present = 0  # bit s is set if a piece of size s is left
+        for s in self.counts:
+            self.present |= 1 << s
+
+    def take(self, size: int) -> None:
+        self.counts[size] -= 1
+        if not self.counts[size]:
+            self.present ^= 1 << size
+
+    def fill(self, size: int, length: int) -> int:
+        """The tokens of a bin that is opened for a piece of that size, not taken yet, and then filled largest first."""
+        used, first = size, size
+        while room := min(length - used, size):
+            room = (self.present & ((1 << (room + 1)) - 1)).bit_length() - 1
+            if room < 1:
+                break
+            n = min(self.counts[room] - (room == first), (length - used) // room)
+            used += n * room
+            if room == 1:
+                break
+            size = room - 1
+        return used
+
+
+def cheapest(left: _Left, size: int, lengths: Sequence[int]) -> int:
+    """The length to open for a piece of that size: that of least cost for each token it will hold, after it is cut."""
+
+    def cost(length: int) -> tuple[float, int]:
+        used = left.fill(size, length)
+        return bin_cost(min(x for x in lengths if x >= used)) / used, length
+
+    return min((x for x in lengths if x >= size), key=cost)
+
+
+def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, ahead: bool = False) -> list[tuple[int, int, int]]:
+    """(bin, offset, bin's final length) for each size, in the given order; sizes are at most the longest length.
+
+    With ahead, bins are opened by cheapest(); without, in the smallest length that holds the piece.
+    """
     lengths = sorted(lengths)
     order = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
-    left = sum(sizes)
+    left = _Left(sizes)
     room: list[int] = []  # by bin
     opened: list[int] = []
     by_room: dict[int, list[int]] = {}
@@ -61,13 +104,13 @@ def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> list[tuple[i
             if not by_room[r]:
                 free &= ~(1 << r)
         else:
-            length = min((x for x in lengths if x >= size), key=lambda x: (bin_cost(x) / min(x, left), x))
+            length = cheapest(left, size, lengths) if ahead else min(x for x in lengths if x >= size)
             b, r = len(room), length
             room.append(r)
             opened.append(length)
         place[k] = (b, opened[b] - r)
         room[b] = r - size
-        left -= size
+        left.take(size)
         if room[b]:
             heapq.heappush(by_room.setdefault(room[b], []), b)
             free |= 1 << room[b]
@@ -105,7 +148,7 @@ def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengths:
         # ids are only named, the order of equal sizes is by place in the input: the same input gives the same bins
         table = table.sort_by([("row", "ascending"), ("piece", "ascending")]).combine_chunks()
         base, own = table.select(names[:4]), table["group"][0].as_py()
-        found = pack(table["n_tokens"].to_pylist(), lengths) if own >= 0 else []
+        found = pack(table["n_tokens"].to_pylist(), lengths, ahead=True) if own >= 0 else []
         bins = [[f"{own}-{b}" for b, _, _ in found], [x for _, _, x in found], [x for _, x, _ in found]] if found else [[None] * len(table)] * 3
         for name, values, kind in zip(names[4:], bins, (pa.string(), pa.int32(), pa.int32()), strict=True):
             base = base.append_column(name, pa.array(values, kind))

@@ -66,3 +66,31 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sum(r.n_tokens for r in rows if r.doc_id == 5) == 60_000
     check(rows, packing.LENGTHS)
     assert packing.packed(no_docs).count() == 0
+
+
+def test_larger_bins_are_opened_where_they_are_cheaper(spark):
+    rows = packing.packed(spark.createDataFrame([(k, "a " * 520) for k in range(15)], "doc_id long, text string")).collect()
+    assert {r.n_tokens for r in rows} == {520}
+    assert {r.bin_length for r in rows} == {8192} and len({r.bin_id for r in rows}) == 1
+    check(rows, packing.LENGTHS)
+
+
+def test_opened_bins_are_cut():
+    rng = random.Random(8)
+    for _ in range(50):
+        sizes = [rng.randint(1, 64) for _ in range(rng.randint(1, 60))]
+        own = defaultdict(int)
+        place = packing.pack(sizes, (16, 32, 64), ahead=True)
+        for size, (b, _, _) in zip(sizes, place, strict=True):
+            own[b] += size
+        assert all(final == min(x for x in (16, 32, 64) if x >= own[b]) for b, _, final in place)
+
+
+def test_fill_is_that_of_the_pieces_left():
+    rng = random.Random(9)
+    for _ in range(200):
+        sizes = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 30))), reverse=True)
+        used, length = sizes[0], rng.choice((32, 64))
+        for s in sizes[1:]:
+            used += s if used + s <= length else 0
+        assert packing._Left(sizes).fill(sizes[0], length) == used
