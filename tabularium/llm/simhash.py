@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabularium.llm import similar
 from tabularium.llm.common import byte_values, discard, fresh, staged
 
 BITS = 64
@@ -230,23 +231,45 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """(doc_id, fingerprint, component_id): a row per document; see the module's text."""
     rows = staged(fingerprints(docs, doc_id, text), "fingerprints")
     groups = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
-    edges = links(groups.select("fp"))
-    if edges.isEmpty():
-        named = groups.select("fp", F.col("first").alias("component_id"))
-    else:
-        rooted = groups.join(components(edges), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-        # one row per fingerprint at most, so a class of n distinct fingerprints is n rows
-        least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-        named = rooted.join(least, "root").select("fp", "component_id")
+    named = _named(groups, links(groups.select("fp")))
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _named(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, component_id): the least first of groups (fp, first) in each class that edges (a, b) join."""
+    if edges.isEmpty():
+        return groups.select("fp", F.col("first").alias("component_id"))
+    rooted = groups.join(components(edges), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    # one row per fingerprint at most, so a class of n distinct fingerprints is n rows
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rooted.join(least, "root").select("fp", "component_id")
+
+
+def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id) as near_duplicates() has them, with the links of similar.pairs() besides those of fingerprints."""
+    columns = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    hashed = columns.select("doc_id", F.xxhash64("text").alias("t"), "text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [fingerprint(x) for x in byte_values(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "t", "fp"])
+
+    rows = staged(hashed.mapInArrow(run, "doc_id long, t long, fp long"), "fingerprints")
+    groups = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
+    of = rows.groupBy("t").agg(F.first("fp").alias("fp"))
+    sides = [of.select(F.col("t").alias(x), F.col("fp").alias(f"fp_{x}")) for x in "ab"]
+    copies = similar.pairs(columns).join(sides[0], "a").join(sides[1], "b").select(F.greatest("fp_a", "fp_b").alias("a"), F.least("fp_a", "fp_b").alias("b")).where("a <> b")
+    edges = staged(links(groups.select("fp")).unionByName(copies).distinct(), "edges")
+    return rows.join(_named(groups, edges), "fp").select("doc_id", "component_id")
+
+
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each near-duplicate class, that with the smallest id, all columns as they are.
+    """docs with one document of each class of similar_classes(), that with the smallest id, all columns as they are.
 
     Rows with a null id stay, for no id can stand for them; repeated rows of one id and text are cut to one.
     """
-    classes = near_duplicates(docs, doc_id, text).select("doc_id", "component_id")
+    classes = similar_classes(docs, doc_id, text)
     kept = fresh(docs, "kept_id")
     keepers = classes.where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
     named = docs.join(keepers, F.col(doc_id).cast("long") == F.col(kept), "left_semi").dropDuplicates([doc_id, text])

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tabularium.llm import queries, simhash
+from tabularium.llm import queries, simhash, similar
 
 
 def plain_fingerprint(text):
@@ -92,3 +92,35 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 4), (False, 5), (False, 6), (True, 0)]
     assert simhash.keep_first(no_docs).count() == 0
+
+
+def changed(rng, words, n):
+    """words with n of them replaced, apart from each other."""
+    out = list(words)
+    for k in rng.sample(range(0, len(words), 10), n):
+        out[k] = f"new{rng.getrandbits(40)}"
+    return out
+
+
+def test_copies_with_changed_words_go(spark):
+    rng = random.Random(11)
+    texts = {}
+    for k in range(0, 400, 4):
+        words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        texts[k] = " ".join(words)
+        texts[k + 1] = " ".join(changed(rng, words, 2))  # 10 of 196 sequences
+        texts[k + 2] = " ".join(changed(rng, words, 15))  # under 0.8
+        texts[k + 3] = " ".join(words[:120] + [f"x{rng.getrandbits(40)}" for _ in range(120)])
+    wanted = {k for k in texts if not any(j < k and similar.similarity(texts[j].encode(), texts[k].encode()) >= 0.8 for j in range(k - k % 4, k))}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id for r in simhash.keep_first(frame).collect()}
+    assert got == wanted
+    assert not any(k % 4 == 1 for k in got) and all(k in got for k in texts if k % 4 != 1)
+
+
+def test_one_large_group_of_near_copies(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    frame = spark.createDataFrame([(k, " ".join(changed(rng, words, 2))) for k in range(300)], "doc_id long, text string")
+    assert similar.pairs(frame).count() <= 2 * similar.BANDS * 300
+    assert [r.doc_id for r in simhash.keep_first(frame).collect()] == [0]
