@@ -20,9 +20,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabularium.llm.common import WHITE, byte_values, fresh, staged
@@ -33,6 +34,9 @@ WINDOW = 3
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: A line is boilerplate in more documents of a host than this many and than this share of the host's documents.
 MIN_DOCS, MAX_SHARE = 10, 0.05
+#: For the stage either limit does: more documents than MIN_DOCS, whatever the host holds; or the share, in more than SMALL_DOCS
+#: documents; a line of LONG_WORDS words or more is boilerplate in more than LONG_DOCS.
+SMALL_DOCS, LONG_WORDS, LONG_DOCS = 5, 50, 2
 #: A document with a smaller share of its words left is depleted.
 MIN_LEFT = 0.3
 
@@ -84,44 +88,80 @@ def measures(data: bytes) -> tuple:
     )
 
 
+def _host(host: str) -> Column:
+    return F.xxhash64(F.col(host))
+
+
 def _measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             texts = [x or b"" for x in byte_values(batch.column(2))]
             found = list(zip(*map(measures, texts), strict=True)) or [[]] * 7
             kinds = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
-            body = pa.array([xxhash.xxh3_128_digest(x) for x in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), body, *(pa.array(x, k) for x, k in zip(found, kinds, strict=True))], [x.split()[0] for x in _SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array(x, k) for x, k in zip(found, kinds, strict=True))], [x.split()[0] for x in _SCHEMA.split(", ")])
 
-    columns = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(host)).alias("host"), F.col(text).cast("string").alias("text"))
+    columns = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _host(host).alias("host"), F.col(text).cast("string").alias("text"), F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))).alias("body"))
     return columns.mapInArrow(run, _SCHEMA)
 
 
-def boilerplate(classes: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, line, keeper): the lines above the limits, and the first document that holds each."""
-    held = classes.select("host", "first_doc", F.explode("line_hashes").alias("line"))
-    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.min("first_doc").alias("keeper")).where(F.col("n") > min_docs)
+def boilerplate(classes: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, either: bool = False) -> DataFrame:
+    """(host, line, keeper): the lines above the limits (above both, or either of them), and the first document that holds each."""
+    held = classes.select("host", "first_doc", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("x"))
+    # a line that a document repeats has its words counted each time; the least count of its holders comes nearest
+    counts = held.groupBy("host", F.col("x.line_hashes").alias("line")).agg(F.count(F.lit(1)).alias("n"), F.min("first_doc").alias("keeper"), F.min("x.line_words").alias("words"))
+    counts = counts.where(F.col("n") > (min(min_docs, SMALL_DOCS, LONG_DOCS) if either else min_docs))
     hosts = classes.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"))
-    return counts.join(hosts, "host").where(F.col("n") > F.col("n_docs") * max_share).select("host", "line", "keeper")
+    share = F.col("n") > F.col("n_docs") * max_share
+    if either:
+        share = (F.col("n") > min_docs) | (share & (F.col("n") > SMALL_DOCS)) | ((F.col("words") >= LONG_WORDS) & (F.col("n") > LONG_DOCS))
+    return counts.join(hosts, "host").where(share).select("host", "line", "keeper")
 
 
-def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """A row per document: its measures, base_failed, n_removed (words in removed lines) and kept."""
+def _judged(docs: DataFrame, doc_id: str, text: str, host: str, min_docs: int, max_share: float, min_left: float, either: bool) -> tuple[DataFrame, DataFrame]:
+    """The verdicts with host and body, and the removed lines: host, body, line, words."""
     rows = staged(_measured(docs, doc_id, text, host), "measures")
     classes = rows.groupBy("host", "body").agg(F.min("doc_id").alias("first_doc"), F.first("line_hashes").alias("line_hashes"), F.first("line_words").alias("line_words"))
-    above = boilerplate(classes, min_docs, max_share)
+    above = boilerplate(classes, min_docs, max_share, either)
     lines = classes.select("host", "body", "first_doc", F.explode(F.arrays_zip("line_hashes", "line_words")).alias("x")).select("host", "body", "first_doc", F.col("x.line_hashes").alias("line"), F.col("x.line_words").alias("words"))
-    removed = lines.join(above, ["host", "line"]).where(~F.col("first_doc").eqNullSafe(F.col("keeper")) | F.col("keeper").isNull())
-    removed = removed.groupBy("host", "body").agg(F.sum("words").alias("n_removed"))
+    gone = lines.join(above, ["host", "line"]).where(~F.col("first_doc").eqNullSafe(F.col("keeper")) | F.col("keeper").isNull())
+    removed = gone.groupBy("host", "body").agg(F.sum("words").alias("n_removed"))
     judged = rows.drop("line_hashes", "line_words").join(removed, ["host", "body"], "left").withColumn("n_removed", F.coalesce(F.col("n_removed"), F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed") >= F.col("n_words") * min_left
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & left).alias("kept"), "n_removed")
+    return judged.withColumns({"base_failed": failed, "kept": ~failed & left}), gone.select("host", "body", "line", "words")
+
+
+def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """A row per document: its measures, base_failed, n_removed (words in removed lines) and kept."""
+    judged, _ = _judged(docs, doc_id, text, host, min_docs, max_share, min_left, False)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed")
+
+
+def without_lines(data: bytes, lines: set[int]) -> bytes:
+    """The text without the lines of these hashes."""
+    return b"\n".join(x for x in data.split(b"\n") if not x.strip(WHITE) or line_hash(normal_line(x)) not in lines)
+
 
+def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", n_chars: str = "n_chars", either: bool = False) -> DataFrame:
+    """docs without the rejected ones and without the removed lines, the number of characters put right.
 
-def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """docs without the rejected ones, all columns as they are; rows with a null id stay, for no verdict names them."""
-    verdict = verdicts(docs, doc_id, text, host)
+    All other columns are as they are. Rows with a null id stay, for no verdict names them; their lines go as those of others do.
+    """
+    judged, gone = _judged(docs, doc_id, text, host, MIN_DOCS, MAX_SHARE, MIN_LEFT, either)
+    judged, gone = staged(judged.where(~F.col("kept")).select("doc_id").distinct(), "rejected"), staged(gone.groupBy("host", "body").agg(F.collect_set("line").alias("lines")), "removed")
     bad = fresh(docs, "rejected_id")
-    rejected = verdict.where(~F.col("kept")).select(F.col("doc_id").alias(bad)).distinct()
-    return docs.join(rejected, F.col(doc_id).cast("long") == F.col(bad), "left_anti")
+    good = docs.join(judged.select(F.col("doc_id").alias(bad)), F.col(doc_id).cast("long") == F.col(bad), "left_anti")
+    own_host, own_body, lines = (fresh(docs, x) for x in ("line_host", "line_body", "lines_gone"))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    keyed = good.withColumns({own_host: _host(host), own_body: F.unhex(F.md5(body))})
+    sides = gone.select(F.col("host").alias(own_host), F.col("body").alias(own_body), F.col("lines").alias(lines))
+    joined = keyed.join(sides, [own_host, own_body], "left")
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, removed: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or r is None else without_lines(t.encode(), set(r)).decode() for t, r in zip(texts, removed, strict=True)], dtype=object)
+
+    out = joined.withColumn(text, cut(F.col(text), F.col(lines)))
+    if n_chars in docs.columns:
+        out = out.withColumn(n_chars, F.when(F.col(lines).isNotNull() & F.col(text).isNotNull(), F.char_length(text).cast("long")).otherwise(F.col(n_chars)))
+    return out.select(*docs.columns)

@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from tabularium.llm import line_quality, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,3 +67,39 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert line_quality.verdicts(no_docs).count() == 0
     assert line_quality.keep_good(odd_docs).columns == odd_docs.columns
     assert [r.doc_id for r in line_quality.keep_good(odd_docs).collect()] == [None]
+
+
+def plain_clean(rows, either):
+    """Texts by id after the removal of lines, for hosts whose documents all have ids and texts of their own."""
+    normal = lambda s: " ".join(WORD.findall(s.lower()))
+    holders, hosts = defaultdict(set), Counter(r["source"] for r in rows)
+    for r in rows:
+        for line in r["text"].split("\n"):
+            holders[r["source"], normal(line)].add(r["doc_id"])
+    out = {}
+    for r in rows:
+        kept = []
+        for line in r["text"].split("\n"):
+            held, share = holders[r["source"], normal(line)], line_quality.MAX_SHARE * hosts[r["source"]]
+            above = len(held) > 10 and len(held) > share
+            if either:
+                above = len(held) > 10 or len(held) > 5 and len(held) > share or len(held) > 2 and len(line.split()) >= 50
+            if not (above and normal(line) and min(held) != r["doc_id"]):
+                kept.append(line)
+        out[r["doc_id"]] = "\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("either", [False, True])
+def test_lines_go_from_the_texts(spark, either):
+    own = lambda i: " ".join(f"é{i}x{k}" for k in range(90))
+    long = " ".join(f"long{k}" for k in range(50))
+    rows = []
+    for source, n in (("large", 400), ("small", 30), ("menu", 12)):
+        for i in range(n):
+            text = own(len(rows)) + "\n\nShare THIS  page" * (i < 12) + "\nfew words" * (i % 5 == 0 and i < 30) + f"\n{long}" * (i in (1, 4, 9)) + "\nlast"
+            rows.append({"doc_id": len(rows), "text": text, "source": source, "n_chars": len(text)})
+    frame = spark.createDataFrame([tuple(r.values()) for r in rows], "doc_id long, text string, source string, n_chars long")
+    got = line_quality.keep_good(frame, either=either).collect()
+    assert {r.doc_id: r.text for r in got} == plain_clean(rows, either)
+    assert all(r.n_chars == len(r.text) for r in got) and any(r.text != rows[r.doc_id]["text"] for r in got)
