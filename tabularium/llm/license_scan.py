@@ -7,7 +7,7 @@ up in the index. Hits of a template that lie near one diagonal are a
 candidate; the template and that part of the document are aligned in a band
 around the diagonal (match +2, other word -1, gap -1), and a candidate whose
 matched words cover enough of the template is reported with its coverage and
-its span. Where reports overlap, the one with most matched words stays.
+its span, and what is left around it is aligned again. Where reports overlap, the one with most matched words stays.
 
 Templates are a parameter and small; documents are looked at one by one,
 so nothing is shuffled.
@@ -33,7 +33,7 @@ from tabularium.llm.license_texts import TEMPLATES
 
 #: Words of a sequence, and sequences of a window: each run of GRAM + WINDOW - 1 words that is shared is found.
 GRAM, WINDOW = 4, 3
-#: Least share of a template's words that must match, and least number of them.
+#: Least share of a template's words that must match, and least number of them (all, if the template has fewer).
 COVERAGE, LEAST_WORDS = 0.8, 5
 #: Half the width of the band: a share of the template's words, and so many at least.
 BAND_SHARE, LEAST_BAND = 0.15, 6
@@ -133,14 +133,19 @@ class Index:
         for k, pairs in by_template.items():
             body = self.bodies[k]
             band = max(LEAST_BAND, int(BAND_SHARE * len(body)))
+            least = min(LEAST_WORDS, len(body))
             group: list[int] = []
             for d in [*sorted(p - q for p, q in pairs), None]:
                 if group and (d is None or d - group[0] > band):
                     middle = group[len(group) // 2]
-                    low, high = max(0, middle - band), min(len(ids), middle + len(body) + band)
-                    matched, a, b = align(body, ids[low:high].tolist(), middle - low, band)
-                    if matched >= LEAST_WORDS and matched >= COVERAGE * len(body):
+                    low, high = max(0, middle - band), min(len(ids), group[-1] + len(body) + band)
+                    part = ids[low:high].tolist()
+                    while True:
+                        matched, a, b = align(body, part, middle - low, band)
+                        if matched < least or matched < COVERAGE * len(body):
+                            break
                         found.append((matched, k, low + a, low + b))
+                        part[a:b] = [0] * (b - a)  # no word of a template: align again on what is left
                     group = []
                 if d is not None:
                     group.append(d)

@@ -90,3 +90,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
     text = "é" * 7 + " Released under the MIT License. " + "x " * 200_000 + "Licensed under CC BY-NC 4.0."
     found = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().matches
     assert [(m.license, m.start, m.end) for m in found] == [("MIT", 8, 38), ("CC-BY-NC-4.0", len(text) - 28, len(text) - 1)]
+
+
+def test_every_template_and_its_adjacent_copies_are_found():
+    index = license_scan.Index()
+    for name, text in TEMPLATES:
+        for n in (1, 2, 3, 7):
+            found = index.scan("\n".join(["first line", *[text] * n, "last line"]).encode())
+            assert len([x for x in found if x[0] == name and x[1] == 1.0]) == n, (name, n)
