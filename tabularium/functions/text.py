@@ -9,8 +9,16 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no meaning in a question; fixed values, accents folded.
-STOP_WORDS = ("bao", "bang", "cac", "co", "cong", "cua", "cuoi", "den", "dong", "la", "nam", "ngay", "nhieu", "so", "thang", "theo", "trong", "trieu", "ty", "vao", "va")
+#: Words that carry no meaning in lexical search; fixed values, accents folded.
+STOP_WORDS = ("bao", "bang", "cac", "cho", "co", "cong", "cua", "cuoi", "den", "dong", "giua", "la", "nam", "ngay", "nhieu", "so", "theo", "trong", "trieu", "ty", "vao", "va")
+#: Words that carry no meaning where a question meets labels; fixed values, with accents.
+QUESTION_STOP_WORDS = ("bao", "bằng", "các", "có", "công", "của", "cuối", "đến", "đồng", "là", "năm", "ngày", "nhiêu", "số", "tháng", "theo", "trong", "triệu", "ty", "tỷ", "vào", "và")
+#: What may stand before a company's name, longer before shorter; fixed values.
+COMPANY_PREFIXES = ("ngân hàng thương mại cổ phần", "ngân hàng tmcp", "ngân hàng", "tổng công ty cổ phần", "tổng công ty", "tập đoàn", "công ty cổ phần", "công ty tnhh", "công ty", "ctcp")
+#: Words of names that many companies bear; fixed values, accents folded.
+COLLISION_STOP_WORDS = ("bao", "co", "cong", "ctcp", "dau", "doan", "hang", "ngan", "phan", "phat", "tap", "thuong", "tong", "trien", "ty", "viet", "nam", "tmcp", "tnhh")
+#: Factors between units that a program may multiply or divide by; fixed values.
+KNOWN_SCALES = (1e3, 1e5, 1e6, 1e9, 1e11, 1e12)
 #: Letters, digits and the underscore of any script.
 WORD = r"[\p{L}\p{N}_]+"
 #: Units in questions with their factors, the first that is found counts; fixed values.
@@ -30,6 +38,10 @@ def _fold_map() -> tuple[str, str]:
 _FROM, _TO = _fold_map()
 
 
+def _fold(text: str) -> str:
+    return text.lower().translate(str.maketrans(_FROM, _TO))
+
+
 def fold(text: Column) -> Column:
     """Lower case without marks."""
     return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), _FROM, _TO)
@@ -51,6 +63,56 @@ def tokens(text: Column) -> Column:
     return let(folded, lambda w: let(meaning(w), lambda k: F.when(F.size(k) > 0, k).otherwise(w)))
 
 
+def words(text: Column) -> Column:
+    """The words of a text in lower case, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
+
+
+def question_tokens(text: Column) -> Column:
+    """The different words of two characters or more that carry meaning."""
+    return F.filter(F.array_distinct(words(text)), lambda w: (F.char_length(w) > 1) & ~w.isin(*QUESTION_STOP_WORDS))
+
+
+def is_phrase(label: Column, asked: Column) -> Column:
+    """Is the label, in words, within a question's words, joined? It must have two words, or be an acronym in capitals."""
+    acronym = F.trim(label).rlike("^[A-Z][A-Z0-9/.-]{2,9}$")
+    return let(words(label), lambda w: (F.size(w) > 0) & ((F.size(w) >= 2) | acronym) & F.contains(asked, F.array_join(w, " ")))
+
+
+def without_company_form(name: Column) -> Column:
+    """A company's name without the words for its form before it, as many as there are, and without "- CTCP" behind it."""
+    folded = [_fold(p) for p in COMPANY_PREFIXES]
+    before = lambda n: F.regexp_extract(fold(n), f"^((?:(?:{'|'.join(folded)}) )+)", 1)
+    rest = let(collapse(name), lambda n: F.array_join(F.slice(F.split(n, " "), F.size(F.split(before(n), " ")), F.size(F.split(n, " "))), " "))
+    return collapse(F.regexp_replace(rest, r"(?iu)\s*[-–—]\s*(?:CTCP|Công ty cổ phần)\s*$", ""))
+
+
+def explicit_tickers(question: Column) -> Column:
+    """Codes in brackets or behind the word for a code, in capitals."""
+    return F.array_distinct(F.regexp_extract_all(F.upper(question), F.lit(r"(?iuU)(?:\(\s*|\bmã(?:\s+cổ\s+phiếu)?\s+)([A-Za-z0-9]+)(?:\s*\)|\b)"), F.lit(1)))
+
+
+def bare_tickers(question: Column) -> Column:
+    """Words of 2 to 8 ASCII letters and digits that are written in capitals."""
+    found = F.regexp_extract_all(question, F.lit(r"(?<![A-Za-z0-9])([A-Za-z0-9]{2,8})(?![A-Za-z0-9])"), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda t: t.rlike("[A-Z]") & ~t.rlike("[a-z]")))
+
+
+def names_word(text: Column, word: Column) -> Column:
+    """Does the text hold the word, ASCII letters and digits apart, in any case?"""
+    return F.contains(F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), "[^a-z0-9]+", "  "), F.concat(F.lit(" "), F.lower(word), F.lit(" ")))
+
+
+def known_scale(value: Column) -> Column:
+    """struct<scale, reciprocal>: the known factor that a number, or one over it, is within 1e-5 of; null for others."""
+    out = F.when(F.lit(False), F.struct(F.lit(0.0).alias("scale"), F.lit(False).alias("reciprocal")))
+    near = lambda a: F.abs(value - a) <= 1e-5 * F.greatest(F.abs(value), F.lit(a))
+    for scale in KNOWN_SCALES:
+        for reciprocal, factor in ((False, scale), (True, 1 / scale)):
+            out = out.when(near(factor), F.struct(F.lit(scale).alias("scale"), F.lit(reciprocal).alias("reciprocal")))
+    return F.when(is_number(value) & (value > 0), out)
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\r\f\x0b]+", " "))
 
@@ -61,10 +123,13 @@ def bm25(tf: Column, df: Column, n: Column, length: Column, mean: Column, k1: fl
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Of two arrays of numbers, in double precision; null if one is zero."""
-    total = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(total(a, b), F.sqrt(total(a, a)) * F.sqrt(total(b, b)))
+def dot(a: Column, b: Column) -> Column:
+    """Of two arrays of numbers, in double precision."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
 
 
 def unit_factor(question: Column) -> Column:

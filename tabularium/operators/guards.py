@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tabularium.functions.text import names_word
+from tabularium.operators.selection import windows
+
 #: Phrases of questions; fixed values.
 PERCENT = r"bao\s+nhiêu\s+(phần\s+trăm|%)"
 DIFFERENCE = ("chênh lệch", "hiệu số")
@@ -18,6 +21,7 @@ MULTI_TICKER = ("trong nhóm", "xét nhóm", "nhóm doanh nghiệp", "gồm", "g
 MULTI_YEAR = ("trong giai đoạn", "trong các năm", "năm có", "năm nào", "cao nhất", "thấp nhất", "lớn nhất", "nhỏ nhất", "trung vị", "cả ba năm", "cả hai năm")
 SCOPES = ("theo báo cáo tài chính hợp nhất", "theo báo cáo tài chính riêng", "theo báo cáo hợp nhất", "theo báo cáo riêng", "báo cáo tài chính hợp nhất", "báo cáo tài chính riêng", "báo cáo hợp nhất", "báo cáo riêng", "công ty mẹ", "hợp nhất", "riêng", "tổng hợp", "consolidated", "separate", "aggregated")
 KINDS_OF_COMPANY = ("tổng công ty", "công ty cổ phần", "công ty", "tập đoàn", "ngân hàng TMCP", "ngân hàng", "CTCP")
+PLACEHOLDERS = ("placeholder", "for simplicity", "assume ", "giả sử", "tạm dùng", "...", "data missing", "missing data", "data unavailable", "defaults to 0", "default to 0", "không có dữ liệu")
 TRAILING = ("của", "tại", "trong", "năm", "theo", "từ", "đến", "giai đoạn")
 
 _EDGE = r"(?<![\p{L}\p{N}_])(?:%s)(?![\p{L}\p{N}_])"
@@ -62,7 +66,7 @@ def operation_problems(question: Column, formula: Column) -> Column:
                 F.when(has_any(text, DIFFERENCE) & ~formula.contains("-"), "difference"),
                 F.when(has_any(text, CHANGE) & ~formula.contains("-"), "change"),
                 F.when(formula.rlike(r"(?i)\bround\s*\(") & ~text.contains("làm tròn"), "rounding"),
-                F.when(formula.rlike("(?i)placeholder|for simplicity|assume "), "placeholder"),
+                F.when(has_any(F.lower(formula), PLACEHOLDERS), "placeholder"),
             )
         ),
     )
@@ -96,11 +100,69 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 def fuzzy(questions: DataFrame, aliases: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(question, alias, score) of names that are alike: 0.7 of their ratio and 0.3 of their words' F1; word counts differ by 2 at most.
 
-    The difference is an equality on the count after each question is listed under five counts.
+    Names meet on words, for without a common word the score is 0.7 at most. The ratio is at most what the names' lengths
+    allow; only pairs that could reach the threshold are compared in Python. threshold must be above 0.7.
+    """
+    if threshold <= 0.7:
+        raise ValueError("names without a common word could be alike")
+    parts = lambda c: F.split(c, " ")
+    asked = questions.select("question").distinct().select("question", F.explode(F.array_distinct(parts("question"))).alias("word"))
+    known = aliases.select("alias").distinct().select("alias", F.explode(F.array_distinct(parts("alias"))).alias("word"))
+    common = asked.join(known, "word").where(F.abs(F.size(parts("question")) - F.size(parts("alias"))) <= 2).groupBy("question", "alias").agg(F.count(F.lit(1)).alias("common"))
+    f1 = 2 * F.col("common") / (F.size(F.array_distinct(parts("question"))) + F.size(F.array_distinct(parts("alias"))))
+    length = F.char_length("question") + F.char_length("alias")
+    possible = 0.7 * 2 * F.least(F.char_length("question"), F.char_length("alias")) / length + 0.3 * f1 >= threshold - 1e-9
+    near = common.where(possible).select("question", "alias", (0.7 * sequence_ratio(F.col("question"), F.col("alias")) + 0.3 * f1).alias("score"))
+    return near.where(F.col("score") >= threshold)
+
+
+def best_windows(questions: DataFrame, aliases: DataFrame, longest: int, threshold: float = 0.8) -> DataFrame:
+    """(question_id, alias, score, matched_text): for each alias the run of words of a question that is most like it, the shortest of equals.
+
+    questions: question_id, words (array); runs of up to longest words are looked at.
     """
-    n = lambda c: F.size(F.split(c, " "))
-    asked = questions.select("question", F.explode(F.sequence(n("question") - 2, n("question") + 2)).alias("n"))
-    pairs = asked.join(aliases.select("alias", n("alias").alias("n")), "n")
-    common = F.size(F.array_intersect(F.split("question", " "), F.split("alias", " ")))
-    f1 = 2 * common / (F.size(F.array_distinct(F.split("question", " "))) + F.size(F.array_distinct(F.split("alias", " "))))
-    return pairs.select("question", "alias", (0.7 * sequence_ratio(F.col("question"), F.col("alias")) + 0.3 * f1).alias("score")).where(F.col("score") >= threshold)
+    runs = questions.select("question_id", F.explode(windows(F.col("words"), longest)).alias("w")).select("question_id", F.col("w.text").alias("question")).distinct()
+    found = runs.join(fuzzy(runs, aliases, threshold), "question")
+    order = F.struct(F.col("score"), -F.char_length("question"), F.col("question"))
+    return found.groupBy("question_id", "alias").agg(F.max(order).alias("b")).select("question_id", "alias", "b.score", F.col("b.question").alias("matched_text"))
+
+
+def context_gaps(question: Column, tables: Column) -> Column:
+    """What a question names and the used tables lack; empty if nothing.
+
+    tables: array<struct<ticker, year, used>> of all that is loaded. Every ticker named must be used; if all are, and three
+    or more years are named, so must every year.
+    """
+    years = F.regexp_extract_all(question, F.lit("([0-9]+)"), F.lit(1))
+    values = lambda rows, c: F.array_distinct(F.transform(rows, lambda t: t[c].cast("string")))
+    used = F.filter(tables, lambda t: t["used"])
+    tickers = F.filter(values(tables, "ticker"), lambda t: t.isNotNull() & (t != "") & names_word(question, t))
+    asked = F.filter(values(tables, "year"), lambda y: y.isNotNull() & F.array_contains(years, y))
+    said = lambda label, missing: F.concat(F.lit(label), F.concat_ws(",", F.array_sort(missing)))
+    no_ticker, no_year = F.array_except(tickers, values(used, "ticker")), F.array_except(asked, values(used, "year"))
+    return F.when(F.size(no_ticker) > 0, said("tickers ", no_ticker)).when((F.size(asked) >= 3) & (F.size(no_year) > 0), said("years ", no_year)).otherwise("")
+
+
+REPORT_TYPES = ("aggregated", "consolidated", "separate")
+
+
+def chosen_filters(answers: DataFrame, shortlist: DataFrame, years: tuple[int, int] = (2015, 2025)) -> DataFrame:
+    """(question_id, tickers, years, problem): a planner's filters, held to the shortlist of each question.
+
+    answers: question_id, keys, years, report_types (arrays); shortlist: question_id, key, position, ticker. Tickers come in
+    the order of the shortlist. The first problem counts: no key, a key twice, a key that is not on the list, no year,
+    a year out of bounds, not exactly one known report type.
+    """
+    each = answers.select("question_id", F.explode(F.array_distinct("keys")).alias("key")).join(shortlist, ["question_id", "key"])
+    known = each.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_known"), F.array_sort(F.collect_list(F.struct("position", "ticker"))).alias("t"))
+    rows = answers.join(known, "question_id", "left")
+    n, distinct = F.size("keys"), F.size(F.array_distinct("keys"))
+    problem = (
+        F.when(n < 1, "no key")
+        .when(distinct < n, "repeated key")
+        .when(F.coalesce("n_known", F.lit(0)) < distinct, "unknown key")
+        .when(F.size("years") < 1, "no year")
+        .when(F.exists("years", lambda y: ~y.between(*years)), "year")
+        .when((F.size("report_types") != 1) | ~F.element_at(F.concat("report_types", F.array(F.lit(""))), 1).isin(*REPORT_TYPES), "report type")
+    )
+    return rows.select("question_id", F.concat_ws(",", "t.ticker").alias("tickers"), F.concat_ws(",", F.transform(F.array_distinct("years"), lambda y: y.cast("string"))).alias("years"), problem.alias("problem"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabularium.functions.text import bm25, cosine, tokens
+from tabularium.functions.text import bm25, dot, norm, tokens
 
 FIELDS = ("ticker", "year", "report_type", "table_type")
 #: Rank that stands for "not in this list" when ties are broken.
@@ -31,33 +31,47 @@ def metadata_filter(filters: Mapping[str, Sequence]) -> Column:
 
 
 def relaxed(rows: DataFrame, report_types: Sequence[str]) -> DataFrame:
-    """For each ticker the rows of these report types, or all its rows if it has none of them."""
+    """For each ticker the rows of these report types, or all its rows if it has none of them (relaxed).
+
+    keeps_type: no ticker had to be relaxed, so the filter as a whole keeps its report types.
+    """
     strict = F.col("report_type").isin(*report_types)
     any_strict = rows.groupBy("ticker").agg(F.max(strict.cast("int")).alias("any_strict"))
-    return rows.join(any_strict, "ticker").where(strict | (F.col("any_strict") == 0)).withColumn("relaxed", F.col("any_strict") == 0).drop("any_strict")
+    whole = any_strict.agg((F.min("any_strict") == 1).alias("keeps_type"))  # one row
+    kept = rows.join(any_strict, "ticker").where(strict | (F.col("any_strict") == 0))
+    return kept.withColumn("relaxed", F.col("any_strict") == 0).drop("any_strict").join(F.broadcast(whole), F.lit(True))
+
 
+#: Stands for a document itself among its terms; no term is empty.
+SELF = ""
 
-def postings(rows: DataFrame, scope: str = "ticker") -> DataFrame:
-    """(scope, table_id, length, term, tf): how often each document of a scope has a term."""
-    terms = rows.select(scope, "table_id", tokens(F.col("index_text")).alias("terms"))
-    each = terms.select(scope, "table_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+
+def postings(rows: DataFrame, wanted: DataFrame | None = None, scope: str = "ticker") -> DataFrame:
+    """(scope, table_id, length, term, tf): how often each document of a scope has a term, and a row with SELF for each document.
+
+    With wanted (term) only these terms: others are dropped before anything is shuffled, by a semi-join that Spark broadcasts
+    if wanted is small enough for it.
+    """
+    each = rows.select(scope, "table_id", tokens(F.col("index_text")).alias("terms")).select(scope, "table_id", F.size("terms").alias("length"), F.explode(F.concat(F.array(F.lit(SELF)), "terms")).alias("term"))
+    if wanted is not None:
+        each = each.join(wanted.select("term").unionByName(wanted.sparkSession.range(1).select(F.lit(SELF).alias("term"))).distinct(), "term", "left_semi")
     return each.groupBy(scope, "table_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_scores(rows: DataFrame, questions: DataFrame, scope: str = "ticker") -> DataFrame:
     """(question_id, scope, table_id, score): documents with a word of the question; counts are those of the scope.
 
-    Only the terms of questions are joined; their counts come from all documents of the scope.
+    Texts are cut into tokens once; documents' sizes come along as rows with SELF, and the branches of the plan share one
+    exchange. Weights are dealt by document before they meet the questions, so pairs of both are summed where they arise.
     """
     terms = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
-    every = postings(rows, scope)
-    own = every.join(terms.select("term").distinct(), "term", "left_semi")
-    words = every.groupBy(scope).agg(F.sum("tf").alias("words"))
-    sizes = rows.groupBy(scope).agg(F.count(F.lit(1)).alias("n")).join(words, scope).select(scope, "n", (F.col("words") / F.col("n")).alias("mean"))
-    df = own.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = own.join(df, [scope, "term"]).join(sizes, scope)
+    every = postings(rows, terms, scope)
+    df = every.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("words"))
+    sizes = df.where(F.col("term") == SELF).select(scope, F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("mean"))
+    weighed = every.where(F.col("term") != SELF).join(df.select(scope, "term", "df"), [scope, "term"]).join(sizes, scope)
     weighed = weighed.select(scope, "table_id", "term", bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean")).alias("weight"))
-    return weighed.join(terms, "term").groupBy("question_id", scope, "table_id").agg(F.round(F.sum("weight"), 9).alias("score"))
+    dealt = weighed.repartition("table_id")
+    return dealt.join(terms, "term").groupBy("question_id", scope, "table_id").agg(F.round(F.sum("weight"), 9).alias("score"))
 
 
 def top(scores: DataFrame, k: int, by: Sequence[str] = ("question_id",), score: str = "score", rank: str = "rank") -> DataFrame:
@@ -72,9 +86,11 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, block: int = BLOCK) ->
     Queries are sent to the executors in blocks of about so many; there is no limit on the number of blocks.
     """
     blocks = -(-queries.count() // block) or 1
-    parts = [queries.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [queries]
-    score = F.round(cosine(F.col("embedding"), F.col("query")), 9).alias("score")
-    scored = [vectors.join(F.broadcast(part), F.lit(True)).select("question_id", "table_id", score) for part in parts]
+    asked = queries.withColumn("query_norm", norm(F.col("query")))
+    parts = [asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [asked]
+    held = vectors.withColumn("norm", norm(F.col("embedding")))
+    score = F.round(F.try_divide(dot(F.col("embedding"), F.col("query")), F.col("norm") * F.col("query_norm")), 9).alias("score")
+    scored = [held.join(F.broadcast(part), F.lit(True)).select("question_id", "table_id", score) for part in parts]
     return reduce(DataFrame.unionByName, scored)
 
 

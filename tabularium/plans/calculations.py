@@ -33,6 +33,11 @@ def statements(sales: DataFrame, orders: DataFrame, customers: DataFrame, nation
     return named.select(F.col("n_name").alias("entity"), F.col("year").cast("int").alias("year"), *money)
 
 
+def mean(measure: str) -> Column:
+    """Of amounts with 4 decimals, summed as decimals, so that the order of rows doesn't matter."""
+    return F.sum(F.col(measure).cast("decimal(20,4)")).cast("double") / F.count(measure)
+
+
 def previous(measure: Column, years: int = 1) -> Column:
     """The measure so many years before; null if that year is missing."""
     return F.when(F.lag("year", years).over(_by_year()) == F.col("year") - years, F.lag(measure, years).over(_by_year()))

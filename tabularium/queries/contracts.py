@@ -16,14 +16,14 @@ def payload_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that are a question of the benchmark, but for case and white space; each question's matches are counted."""
-    key = lambda c: F.lower(collapse(F.col(c)))
-    asked = read(spark, sf_dir, "benchmark").select("item_id", key("text").alias("key"))
-    held = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", key("line").alias("key"))
-    lines = read(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("line")).select("item_id", key("line").alias("key")).where("key <> ''").distinct()
-    found = lines.join(held.distinct(), "key").groupBy("item_id").agg(F.count_distinct("doc_id").alias("n"))
-    n = F.coalesce(F.col("n"), F.lit(0))
-    return asked.join(found, "item_id", "left").select("item_id", n.cast("long").alias("n_docs"), F.when(n == 1, "unique").when(n == 0, "none").otherwise("several").alias("status"))
+    """Questions as they might be typed, in other case or with other white space, or changed, against a list that holds some twice."""
+    key = lambda c: F.replace(F.lower(collapse(c)), F.lit("ß"), F.lit("ss"))
+    items, k, text = read(spark, sf_dir, "benchmark"), F.col("item_id"), F.col("text")
+    typed = F.when(k % 4 == 0, F.upper(text)).when(k % 4 == 1, F.concat(F.lit(" \t"), F.replace(text, F.lit(" "), F.lit("  ")), F.lit("\n"))).when(k % 4 == 2, F.concat(text, F.lit("x"))).otherwise(text)
+    listed = items.select(key(text).alias("key")).unionAll(items.where(k % 10 == 0).select(key(text).alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    found = items.select("item_id", key(typed).alias("key")).join(listed, "key", "left")
+    n = F.coalesce("n", F.lit(0))
+    return found.select("item_id", n.cast("long").alias("n_found"), F.when(n == 1, "unique").when(n == 0, "none").otherwise("several").alias("status"))
 
 
 def docid_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,15 +33,6 @@ def docid_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("table_id", "doc", part(1).alias("ticker"), part(2).cast("int").alias("year"), F.coalesce(F.nullif(part(3), F.lit("")), F.lit("other")).alias("report_type"))
 
 
-def filter_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each source and language: may it be a filter? Sources must be known, years within bounds, the type one of two."""
-    rows = payloads(spark, sf_dir).groupBy("ticker", "report_type").agg(F.array_sort(F.collect_set("year")).alias("years"), F.count(F.lit(1)).alias("n"))
-    known = F.col("report_type").isin("en", "fr")
-    inside = F.forall("years", lambda y: y.between(2016, 2024))
-    reason = F.when(~known, "report_type").when(~inside, "year")
-    return rows.select("ticker", "report_type", "n", F.concat_ws(",", F.transform("years", lambda y: y.cast("string"))).alias("years"), reason.alias("problem"))
-
-
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.hashed(payloads(spark, sf_dir)).select("table_id", "content")
 
@@ -53,19 +44,17 @@ def index_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.reconciled(before, now.where("table_id % 13 <> 0"))
 
 
-QUERIES = {"payload_validate": payload_validate, "question_match": question_match, "docid_parse": docid_parse, "filter_validate": filter_validate, "content_hash": content_hash, "index_reconcile": index_reconcile}
+QUERIES = {"payload_validate": payload_validate, "question_match": question_match, "docid_parse": docid_parse, "content_hash": content_hash, "index_reconcile": index_reconcile}
 
 _CLEAN = r"trim(regexp_replace({}, '[ \t\n\r\f\x0b]+', ' ', 'g'))"
 _HASH = r"sha256(ticker || '|' || report_type || '|' || CAST(year AS VARCHAR) || '|' || trim(regexp_replace(index_text, '[ \t\n\r\f\x0b]+', ' ', 'g')))"
 ORACLES = {
     "payload_validate": f"""SELECT table_id, upper(ticker) AS ticker_code, md5({_CLEAN.format('index_text')}) AS text_md5, CASE WHEN NOT regexp_full_match(CAST(table_id AS VARCHAR), '[A-Za-z0-9_-]+') THEN 'table_id'
  WHEN coalesce(trim(ticker), '') = '' THEN 'ticker' WHEN NOT year BETWEEN 2015 AND 2025 THEN 'year' WHEN start_line < 1 THEN 'start_line' WHEN length({_CLEAN.format('index_text')}) < 40 THEN 'index_text' END AS reject_reason FROM {PAYLOADS} p""",
-    "question_match": f"""WITH l AS (SELECT DISTINCT item_id, lower({_CLEAN.format('line')}) AS k FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line FROM benchmark)),
-h AS (SELECT DISTINCT doc_id, lower({_CLEAN.format('line')}) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
-f AS (SELECT item_id, count(DISTINCT doc_id) AS n FROM l JOIN h USING (k) WHERE k <> '' GROUP BY item_id)
-SELECT item_id, coalesce(n, 0) AS n_docs, CASE WHEN n = 1 THEN 'unique' WHEN n IS NULL THEN 'none' ELSE 'several' END AS status FROM benchmark LEFT JOIN f USING (item_id)""",
+    "question_match": f"""WITH l AS (SELECT replace(lower({_CLEAN.format('text')}), 'ß', 'ss') AS k, CASE WHEN item_id % 10 = 0 THEN 2 ELSE 1 END AS n FROM benchmark),
+ q AS (SELECT item_id, replace(lower({_CLEAN.format('text')}), 'ß', 'ss') || CASE WHEN item_id % 4 = 2 THEN 'x' ELSE '' END AS k FROM benchmark)
+ SELECT item_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_found, CASE coalesce(sum(n), 0) WHEN 0 THEN 'none' WHEN 1 THEN 'unique' ELSE 'several' END AS status FROM q LEFT JOIN l USING (k) GROUP BY item_id""",
     "docid_parse": f"""SELECT table_id, upper(ticker) || '_financial_statements_' || year || CASE WHEN report_type <> 'en' THEN '_' || report_type ELSE '' END AS doc, upper(ticker) AS ticker, year, CASE WHEN report_type <> 'en' THEN report_type ELSE 'other' END AS report_type FROM {PAYLOADS} p""",
-    "filter_validate": f"""SELECT ticker, report_type, count(*) AS n, string_agg(DISTINCT CAST(year AS VARCHAR), ',' ORDER BY CAST(year AS VARCHAR)) AS years, CASE WHEN report_type NOT IN ('en', 'fr') THEN 'report_type' WHEN min(year) < 2016 OR max(year) > 2024 THEN 'year' END AS problem FROM {PAYLOADS} p GROUP BY ticker, report_type""",
     "content_hash": f"SELECT table_id, {_HASH} AS content FROM {PAYLOADS} p",
     "index_reconcile": """SELECT doc_id AS table_id, CASE WHEN doc_id % 7 = 0 AND doc_id % 13 <> 0 THEN 'insert' WHEN doc_id % 13 = 0 THEN 'delete' WHEN doc_id % 11 = 0 THEN 'update' END AS action FROM documents
  WHERE NOT (doc_id % 7 = 0 AND doc_id % 13 = 0) AND (doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0)""",

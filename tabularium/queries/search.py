@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.functions.text import STOP_WORDS
 from tabularium.operators import search
 from tabularium.sources.payloads import payloads, read
 
 PAYLOADS = """(SELECT doc_id AS table_id, source AS ticker, lang AS report_type, CAST(2015 + doc_id % 11 AS INTEGER) AS year,
   CASE doc_id % 4 WHEN 0 THEN 'balance_sheet' WHEN 1 THEN 'income_statement' WHEN 2 THEN 'cash_flow' ELSE 'note_table' END AS table_type,
   doc_id + 1 AS start_line, text AS index_text FROM documents)"""
-_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_STOP = "'bao', 'bang', 'cac', 'cho', 'co', 'cong', 'cua', 'cuoi', 'den', 'dong', 'giua', 'la', 'nam', 'ngay', 'nhieu', 'so', 'theo', 'trong', 'trieu', 'ty', 'vao', 'va'"
 
 
 def fold_sql(x: str) -> str:
@@ -41,7 +40,7 @@ def token_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_relax(spark: SparkSession, sf_dir: str) -> DataFrame:
     recent = payloads(spark, sf_dir).where("table_type = 'cash_flow' and year = 2020")
-    return search.relaxed(recent, ["fr"]).select("table_id", "ticker", "report_type", "relaxed")
+    return search.relaxed(recent, ["fr"]).select("table_id", "ticker", "report_type", "relaxed", "keeps_type")
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +96,7 @@ QUERIES = {"metadata_filter": metadata_filter, "token_fold": token_fold, "filter
 ORACLES = {
     "metadata_filter": f"SELECT table_id, ticker, year, report_type, table_type FROM {PAYLOADS} p WHERE ticker IN ('src1', 'src3', 'src7') AND year IN (2016, 2017, 2021) AND report_type IN ('en', 'fr')",
     "token_fold": f"SELECT table_id, CAST(len(terms) AS BIGINT) AS n_terms, array_to_string(terms, ' ') AS terms FROM (SELECT table_id, {tokens_sql('index_text')} AS terms FROM {PAYLOADS} p)",
-    "filter_relax": f"SELECT table_id, ticker, report_type, NOT strict AS relaxed FROM (SELECT *, max(report_type = 'fr') OVER (PARTITION BY ticker) AS strict FROM {PAYLOADS} p WHERE table_type = 'cash_flow' AND year = 2020) WHERE NOT strict OR report_type = 'fr'",
+    "filter_relax": f"SELECT table_id, ticker, report_type, NOT strict AS relaxed, keeps_type FROM (SELECT *, min(strict) OVER () AS keeps_type FROM (SELECT *, max(report_type = 'fr') OVER (PARTITION BY ticker) AS strict FROM {PAYLOADS} p WHERE table_type = 'cash_flow' AND year = 2020)) WHERE NOT strict OR report_type = 'fr'",
     "bm25_topk": f"WITH {_LEXICAL} SELECT question_id, rank, table_id, round(score, 6) AS score FROM {_rank('lexical')} WHERE rank <= 10",
     "dense_topk": f"WITH {_DENSE} SELECT question_id, rank, table_id, round(score, 5) AS score FROM {_rank('dense')} WHERE rank <= 10",
     "rrf_fusion": f"""WITH {_LEXICAL}, {_DENSE}, l AS (SELECT question_id, table_id, rank AS bm25_rank FROM {_rank('lexical')} WHERE rank <= 40), d AS (SELECT question_id, table_id, rank AS dense_rank FROM {_rank('dense')} WHERE rank <= 40),

@@ -118,7 +118,7 @@ def plain_balanced(rows, k):
 def test_balanced_selection(spark):
     rng, rows, wanted = random.Random(3), [], {}
     for q in range(60):
-        own = [(i, rng.choice("abcdef"[: rng.randint(2, 6)]), rng.choice(["x", "y", None]), rng.randint(0, 9)) for i in range(rng.randint(1, 30))]
+        own = [(i, rng.choice("abcdef"[: 1 if q % 4 == 0 else rng.randint(2, 6)]), rng.choice(["x", "y", None]), rng.randint(0, 9)) for i in range(rng.randint(1, 30))]
         own.sort(key=lambda r: (-r[3], r[0]))
         rows += [(q, *r) for r in own]
         wanted[q] = plain_balanced(own, 8)
@@ -203,3 +203,89 @@ def test_questions_without_content_give_null(spark):
     ask = lambda q: one(spark, guards.semantic_query(F.col("q"), F.col("t")), q=q, t="ABC")
     assert ask("Công ty ABC năm 2020 là bao nhiêu?") is None
     assert ask("Tổng tài sản của ABC tại năm 2020 theo báo cáo riêng là bao nhiêu?") == "Tổng tài sản"
+
+
+def test_one_bucket_has_its_best(spark):
+    rows = [(1, k, "a", "y" if k == 25 else "x", 100 - k) for k in range(1, 26)]
+    frame = spark.createDataFrame(rows, "question_id int, table_id int, bucket string, k string, score int")
+    assert sorted(r.table_id for r in selection.balanced(frame, 20, ("bucket",), F.col("k")).collect()) == list(range(1, 21))
+
+
+def test_kinds_of_balance_sheets(spark):
+    kind = lambda t, x: one(spark, selection.balance_kind(F.col("t"), F.col("x")), t=t, x=x)
+    assert [kind("balance_sheet", x) for x in ("Tổng TÀI SẢN và nợ", "Nguồn vốn", "khác")] == ["balance_sheet_assets", "balance_sheet_liabilities", "balance_sheet"]
+    assert kind("cash_flow", "tài sản") == "cash_flow" and kind("note_table", "nợ") is None
+
+
+def test_company_forms(spark):
+    bare = lambda n: one(spark, text.without_company_form(F.col("n")), n=n)
+    assert bare("Ngân hàng TMCP  Công ty TNHH ABC") == "ABC"
+    assert bare("CTCP Tập đoàn Hòa Phát - CTCP") == "Hòa Phát"
+    assert bare("TỔNG CÔNG TY CỔ PHẦN Dầu khí – Công ty Cổ phần ") == "Dầu khí"
+    assert bare("công ty") == "công ty" and bare("Công tyX") == "Công tyX" and bare("Ngân hàng ngân hàng") == "ngân hàng"
+
+
+def test_ticker_patterns(spark):
+    q = "Mã cổ phiếu fpt, (VNM ) và mã hpg; ACB aCb XACBé A 123 A1B2C3D4E5"
+    assert sorted(one(spark, text.explicit_tickers(F.col("q")), q=q)) == ["FPT", "HPG", "VNM"]
+    assert sorted(one(spark, text.bare_tickers(F.col("q")), q=q)) == ["ACB", "VNM", "XACB"]
+
+
+def test_phrases(spark):
+    asked = "doanh thu thuần của fpt năm 2020"
+    is_phrase = lambda label: one(spark, text.is_phrase(F.col("l"), F.col("a")), l=label, a=asked)
+    assert is_phrase("Doanh  thu-thuần") and is_phrase("FPT") and not is_phrase("fpt") and not is_phrase("doanh") and not is_phrase("--") and not is_phrase("thuần doanh thu")
+
+
+def test_two_lists_share_a_budget(spark):
+    rows = [(1, 10, 0, 1, 20), (1, 10, 0, 2, 99), (1, 10, 0, 3, 1), (1, 10, 1, 1, 30), (1, 10, 1, 2, 29), (1, 10, 1, 3, 20), (2, 95, 0, 1, 9), (2, 95, 1, 1, 5)]
+    frame = spark.createDataFrame(rows, "g int, header int, which int, position int, size int")
+    got = {(r.g, r.which, r.position): r.used for r in selection.packed_lists(frame, 100, ["g"]).collect()}
+    assert got == {(1, 0, 1): 30, (1, 1, 1): 60, (1, 1, 2): 90, (2, 1, 1): 100}
+
+
+def test_diverse_takes_turns(spark):
+    rows = [(1, "a", 9), (1, "a", 8), (1, "a", 7), (1, "b", 6), (1, "c", 5), (1, "c", 4)]
+    frame = spark.createDataFrame(rows, "question_id int, matched_text string, score int")
+    got = [(r.matched_text, r.score) for r in selection.diverse(frame, 5, [F.desc("score")]).orderBy("position").collect()]
+    assert got == [("a", 9), ("b", 6), ("c", 5), ("a", 8), ("c", 4)]
+
+
+def test_too_many_exact_matches(spark):
+    rows = [(1, k, "exact_ticker", 1.0, "x") for k in range(16)] + [(2, 1, "exact_alias", 1.0, "x"), (2, 2, "fuzzy_company_name", 0.9, "y"), (2, 1, "explicit_ticker", 1.0, "z")]
+    frame = spark.createDataFrame(rows, "question_id int, entity int, match_type string, score double, matched_text string")
+    out = selection.shortlisted(frame).collect()
+    assert {r.status for r in out if r.question_id == 1} == {"too many"}
+    assert sorted((r.position, r.entity, r.match_type) for r in out if r.question_id == 2) == [(1, 1, "explicit_ticker"), (2, 2, "fuzzy_company_name")]
+
+
+def test_best_windows_against_all_runs(spark):
+    names = ["red bolt", "blue bolt", "old red bolt", "green gear wheel", "gear"]
+    asked = {1: "price of ed bolt and grene gear wheel", 2: "gears", 3: "the old rd bolt", 4: "bolt"}
+    questions = spark.createDataFrame([(k, v.split()) for k, v in asked.items()], "question_id int, words array<string>")
+    got = {(r.question_id, r.alias): round(r.score, 9) for r in guards.best_windows(questions, spark.createDataFrame([(n,) for n in names], "alias string"), 5).collect()}
+    wanted = {}
+    for k, q in asked.items():
+        w = q.split()
+        runs = {" ".join(w[i : i + n]) for n in range(1, 6) for i in range(len(w) - n + 1)}
+        for a in names:
+            scores = [0.7 * SequenceMatcher(None, r, a).ratio() + 0.6 * len(set(r.split()) & set(a.split())) / (len(set(r.split())) + len(set(a.split()))) for r in runs if abs(len(r.split()) - len(a.split())) <= 2]
+            if scores and max(scores) >= 0.8:
+                wanted[k, a] = round(max(scores), 9)
+    assert got == wanted and len(wanted) >= 4
+
+
+def test_semantic_rewrites_of_other_shapes(spark):
+    ask = lambda q: one(spark, guards.semantic_query(F.col("q"), F.col("t")), q=q, t="ABC")
+    assert ask("Lợi nhuận ròng của Tập đoàn ABC giai đoạn 2018 đến 2020") == "Lợi nhuận ròng"
+    assert "ABCD" in ask("Vốn của ABCD và ABC")
+
+
+def test_mean_of_ties_does_not_depend_on_order(spark):
+    values = [(k, 1_030_030.6175 + k / 10_000) for k in range(24)] * 3
+    seen = set()
+    for seed in range(5):
+        random.Random(seed).shuffle(values)
+        frame = spark.createDataFrame(values, "k int, revenue double").repartition(4)
+        seen.add(frame.agg(calc.mean("revenue").alias("m")).first().m)
+    assert len(seen) == 1
