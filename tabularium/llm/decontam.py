@@ -2,21 +2,27 @@
 
 The index is a table of segments. A segment holds the postings of all tokens
 of some documents: its terms, how often each is found, and for each term the
-ascending positions, as differences. Windows of a benchmark item are looked up
-in each segment by themselves, so nothing is shuffled: the postings of a
-window's rarest term (by its frequency in the whole corpus) give the starts
-that are possible, the lists of its other terms are intersected with them in
-order of rarity, each shifted by the term's offset, and what is left are exact
-matches. Terms of an item that stand close together without an exact match are
-proximity matches.
+ascending positions, as differences in blocks that are unpacked one by one.
+Windows of a benchmark item are looked up in each segment by themselves, so
+nothing is shuffled: the postings of a window's rarest term (by its frequency
+in the whole corpus) give the starts that are possible; from rare to frequent
+the sorted list of each further term, shifted by the term's offset, is
+intersected with them; what is left are exact matches. The list of a term is
+read only when a window that holds the term still has a possible start.
+
+Proximity matches are documents without exact match of an item in which at
+least near_least() of the item's NEAR_TERMS rarest terms stand within NEAR_WORDS
+words after one of them. Terms that the corpus lacks don't count, and items
+with a single term have none.
 
 The benchmark is looked up in blocks of bounded size, each sent to the
 executors as a whole; there is no limit on the number of blocks.
 
 Defined results: null and empty texts have no words; documents without words
 give a row with zeros; null ids of documents are kept; items with a null id
-are named "null"; repeated items count once; empty tables give no rows or no
-hits; other columns are ignored.
+hit words like others, but no list of items names them; repeated items count
+once, and so do windows that items share or repeat; empty tables give no rows
+or no hits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,15 +41,20 @@ from tabularium.llm.common import byte_values, fresh, staged
 
 WINDOW = 10
 #: Words of a segment, and characters of benchmark text in a block.
-SEGMENT_WORDS, BLOCK_CHARS = 1 << 18, 1 << 24
-#: For proximity: how many of an item's rarest terms must stand within how many words.
-NEAR_TERMS, NEAR_WORDS = 4, 25
-#: Possible starts that are looked at together.
-STARTS = 1 << 20
+SEGMENT_WORDS, BLOCK_CHARS = 1 << 18, 1 << 22
+#: For proximity: how many of an item's rarest terms are looked at, and within how many words.
+NEAR_TERMS, NEAR_WORDS = 6, 25
+#: Possible starts that are looked at together, and postings that are packed together.
+STARTS, PACKED = 1 << 20, 1 << 12
 
 #: Letters in lower case, other word bytes as they are, the rest as a space.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_SEGMENT = "segment long, doc_ids array<long>, n_words array<int>, terms binary, counts binary, steps binary"
+_SEGMENT = "segment long, doc_ids array<long>, n_words array<int>, terms binary, counts binary, steps array<binary>"
+
+
+def near_least(n: int) -> int:
+    """Of so many terms, how many must stand near each other: two thirds, and two at least."""
+    return max(2, (2 * n + 2) // 3)
 
 
 def words_of(data: bytes | None) -> list[bytes]:
@@ -74,12 +85,13 @@ def _segment(ids: list, texts: list[bytes]) -> list:
     first = np.append(0, np.cumsum(counts)[:-1]).astype(np.int64)[: len(counts)]
     steps[first] = positions[first]
     terms = b"\n".join(flat.dictionary.to_pylist())
-    return [ids, n_words.tolist(), len(terms).to_bytes(8, "little") + pa.compress(terms, codec="zstd", asbytes=True), _pack(counts), _pack(steps)]
+    blocks = [_pack(steps[k : k + PACKED]) for k in range(0, len(steps), PACKED)]
+    return [ids, n_words.tolist(), len(terms).to_bytes(8, "little") + pa.compress(terms, codec="zstd", asbytes=True), _pack(counts), blocks]
 
 
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The table of segments over all documents, written to the shared folder."""
-    names, kinds = [x.split()[0] for x in _SEGMENT.split(", ")], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+    names, kinds = [x.split()[0] for x in _SEGMENT.split(", ")], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.binary())]
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
@@ -131,123 +143,169 @@ def _frequencies(index: DataFrame, terms: list[bytes]) -> np.ndarray:
     return out
 
 
+def _spread(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of ranges one after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _parts(sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """Places cut into runs whose sizes sum to about most, one at least in each."""
+    return np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1) if len(sizes) else []
+
+
+class _Postings:
+    """The lists of one segment, unpacked as they are asked for; terms have the numbers of the lookup."""
+
+    def __init__(self, n_terms: int, terms: pa.Array, numbers: pa.Array, counts: np.ndarray, blocks: list[bytes]):
+        at = pc.index_in(terms, value_set=numbers).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place = np.full(n_terms + 1, -1, np.int64)  # the last is for -1
+        place[at] = np.arange(len(at))
+        place[-1] = -1
+        begin = np.cumsum(counts) - counts
+        self.sizes, self.first = np.where(place >= 0, counts[place], 0)[:-1], np.where(place >= 0, begin[place], 0)[:-1]
+        self.blocks, self.span = blocks, int(counts.sum()) + 1
+        self.steps, self.open = np.zeros(self.span, np.int64), np.zeros(len(blocks), bool)
+
+    def lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The positions of each of the terms one after the other, and how many each has."""
+        first, sizes = self.first[terms], self.sizes[terms]
+        low, high = first // PACKED, np.where(sizes > 0, (first + sizes - 1) // PACKED, first // PACKED - 1)
+        for k in np.unique(_spread(low, high - low + 1)):
+            if not self.open[k]:
+                own = _unpack(self.blocks[k])
+                self.steps[k * PACKED : k * PACKED + len(own)], self.open[k] = own, True
+        summed = np.cumsum(self.steps[_spread(first, sizes)])
+        before = np.append(0, summed)[np.cumsum(sizes) - sizes]
+        return summed - np.repeat(before, sizes), sizes
+
+    def keys(self, terms: np.ndarray) -> np.ndarray:
+        """The positions of distinct ascending terms as one ascending list of term * span + position."""
+        positions, sizes = self.lists(terms)
+        return np.repeat(terms, sizes) * self.span + positions
+
+
 class _Lookup:
     """The windows of a block of items, ready to be looked up in segments."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], terms: list[bytes], frequency: np.ndarray, window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], terms: list[bytes], frequency: np.ndarray, window: int):
         number = {t: k for k, t in enumerate(terms)}
         self.terms, self.names = pa.array(terms, pa.binary()), [x for x, _ in items]
-        windows: dict[tuple[int, ...], set[int]] = {}
-        self.near: list[tuple[int, np.ndarray]] = []
+        codes = np.fromiter((number[w] for _, words in items for w in words), np.int64)
+        sizes = np.array([len(words) for _, words in items], np.int64)
+        n = np.maximum(1, sizes - window + 1)
+        item = np.repeat(np.arange(len(items)), n)
+        first = _spread(np.cumsum(sizes) - sizes, n)
+        inside = np.arange(window) < np.minimum(sizes, window)[item][:, None]
+        # places beyond a short window hold -1
+        whole = np.where(inside, codes[np.minimum(first[:, None] + np.arange(window), len(codes) - 1)], -1) if len(items) else np.zeros((0, window), np.int64)
+        self.codes, which = np.unique(whole, axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([which.ravel(), item], axis=1), axis=0)
+        self.item, self.item_first = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.codes) + 1))
+        self.sizes = (self.codes >= 0).sum(axis=1)
+        # offsets from the rarest term on; places beyond a short window come last
+        self.order = np.argsort(np.where(self.codes >= 0, np.append(frequency, 0)[self.codes], np.iinfo(np.int64).max), axis=1, kind="stable")
+        self.rarest = np.take_along_axis(self.codes, self.order[:, :1], axis=1)[:, 0]
+        self.near, self.least = np.full((len(items), NEAR_TERMS), -1, np.int64), np.zeros(len(items), np.int64)
         for k, (_, words) in enumerate(items):
-            codes = [number[w] for w in words]
-            for s in range(max(1, len(codes) - window + 1)):
-                windows.setdefault(tuple(codes[s : s + window]), set()).add(k)
-            rare = sorted(set(codes), key=lambda t: (frequency[t], t))[:NEAR_TERMS]
-            if len(rare) == NEAR_TERMS:
-                self.near.append((k, np.array(rare)))
-        self.items = [sorted(x) for x in windows.values()]
-        self.sizes = np.array([len(x) for x in windows], np.int64)
-        self.codes = np.full((len(windows), window), -2, np.int64)
-        for k, w in enumerate(windows):
-            self.codes[k, : len(w)] = w
-        # offsets from the rarest term on; places beyond a short window come last and always match
-        weight = np.where(self.codes >= 0, frequency[np.maximum(self.codes, 0)], np.iinfo(np.int64).max)
-        self.order = np.argsort(weight, axis=1, kind="stable")
-        self.rarest = self.codes[np.arange(len(self.codes)), self.order[:, 0]] if len(windows) else np.zeros(0, np.int64)
-
-    def search(self, n_words: np.ndarray, terms: pa.Array, counts: np.ndarray, steps: np.ndarray) -> dict[int, tuple[list[int], set[int], set[int]]]:
+            rare = sorted({t for t in map(number.__getitem__, words) if frequency[t] > 0}, key=lambda t: (frequency[t], t))[:NEAR_TERMS]
+            self.near[k, : len(rare)], self.least[k] = rare, near_least(len(rare))
+
+    def search(self, n_words: np.ndarray, terms: pa.Array, counts: np.ndarray, blocks: list[bytes]) -> dict[int, tuple[list[int], set[int], set[int]]]:
         """By number of the document in the segment: places of words hit, items with exact matches, items with near ones only."""
-        total = int(n_words.sum())
-        at = pc.index_in(terms, value_set=self.terms)
-        term_of = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(counts).astype(np.int64)
-        first = ends - counts
-        summed = np.cumsum(steps, dtype=np.int64)
-        positions = summed - np.repeat(np.where(first > 0, summed[np.maximum(first - 1, 0)], 0), counts)
-        lists = {int(t): (int(a), int(b)) for t, a, b in zip(term_of, first, ends, strict=True) if t >= 0}
-        token = np.full(total + self.codes.shape[1], -1, np.int64)
-        token[positions] = np.repeat(term_of, counts)
-        doc_of = np.repeat(np.arange(len(n_words)), n_words)
-        doc_end = np.cumsum(n_words)
-
-        cover, exact = np.zeros(total + 1, np.int64), {}
-        known = np.flatnonzero(np.isin(self.rarest, np.fromiter(lists, np.int64, len(lists))))
-        sizes = np.array([lists[int(t)][1] - lists[int(t)][0] for t in self.rarest[known]], np.int64)
-        for part in np.split(np.arange(len(known)), np.flatnonzero(np.diff(np.cumsum(sizes) // STARTS)) + 1) if len(known) else []:
-            w = np.repeat(known[part], sizes[part])
-            start = np.concatenate([positions[slice(*lists[int(t)])] for t in self.rarest[known[part]]]) - self.order[w, 0]
+        postings, doc_end = _Postings(len(self.terms), terms, self.terms, counts, blocks), np.cumsum(n_words)
+        doc_of = lambda at: np.searchsorted(doc_end, at, side="right")
+        cover, exact, near = np.zeros(postings.span + 1, np.int64), {}, {}
+        known = np.flatnonzero(postings.sizes[self.rarest] > 0) if len(self.codes) else np.zeros(0, np.int64)
+        for part in _parts(postings.sizes[self.rarest[known]], STARTS):
+            own = known[part]
+            positions, sizes = postings.lists(self.rarest[own])
+            w, start = np.repeat(own, sizes), positions - np.repeat(self.order[own, 0], sizes)
             fits = start >= 0
             w, start = w[fits], start[fits]
             for k in range(1, self.codes.shape[1]):
                 offset = self.order[w, k]
                 term = self.codes[w, offset]
-                fits = (term == -2) | (token[np.minimum(start + offset, total)] == term)
+                keys = postings.keys(np.unique(term[term >= 0]))
+                wanted = term * postings.span + start + offset
+                at = np.searchsorted(keys, wanted)
+                fits = (term < 0) | ((np.append(keys, -1)[at] == wanted) & (start + offset < postings.span))
                 w, start = w[fits], start[fits]
                 if not len(w):
                     break
-            if len(w):
-                fits = start + self.sizes[w] <= doc_end[doc_of[start]]
-                for k, s in zip(w[fits].tolist(), start[fits].tolist(), strict=True):
-                    cover[s] += 1
-                    cover[s + self.sizes[k]] -= 1
-                    exact.setdefault(int(doc_of[s]), set()).update(self.items[k])
+            doc = doc_of(start)
+            fits = start + self.sizes[w] <= np.append(doc_end, 0)[doc]
+            for k, s, d in zip(w[fits].tolist(), start[fits].tolist(), doc[fits].tolist(), strict=True):
+                cover[s] += 1
+                cover[s + self.sizes[k]] -= 1
+                exact.setdefault(d, set()).update(self.item[self.item_first[k] : self.item_first[k + 1]].tolist())
         hit: dict[int, list[int]] = {}
-        for at_word in np.flatnonzero(np.cumsum(cover[:-1]) > 0).tolist():
-            d = int(doc_of[at_word])
-            hit.setdefault(d, []).append(at_word - int(doc_end[d] - n_words[d]))
-
-        near: dict[int, set[int]] = {}
-        for item, rare in self.near:
-            if all(int(t) in lists for t in rare):
-                here = positions[slice(*lists[int(rare[0])])]
-                for t in rare[1:]:
-                    there = positions[slice(*lists[int(t)])]
-                    k = np.searchsorted(there, here)
-                    below, above = there[np.maximum(k - 1, 0)], there[np.minimum(k, len(there) - 1)]
-                    ok = [(np.abs(x - here) <= NEAR_WORDS) & (doc_of[x] == doc_of[here]) for x in (below, above)]
-                    here = here[ok[0] | ok[1]]
-                for d in np.unique(doc_of[here]).tolist():
-                    near.setdefault(d, set()).add(item)
+        places = np.flatnonzero(np.cumsum(cover) > 0)
+        for d, at in zip(doc_of(places).tolist(), places.tolist(), strict=True):
+            hit.setdefault(d, []).append(at - int(doc_end[d] - n_words[d]))
+
+        held = np.where(self.near >= 0, postings.sizes[self.near], 0) if len(self.near) else self.near
+        likely = np.flatnonzero(((held > 0).sum(axis=1) >= self.least) & (self.least > 0)) if len(held) else []
+        for part in _parts(held[likely].sum(axis=1), STARTS) if len(likely) else []:
+            own = likely[part]
+            keys = postings.keys(np.unique(self.near[own][held[own] > 0]))
+            row, rank = np.nonzero(held[own] > 0)
+            at, sizes = postings.lists(self.near[own[row], rank])
+            item = np.repeat(own[row], sizes)
+            end = np.minimum(doc_end[doc_of(at)], at + NEAR_WORDS + 1)
+            n = np.zeros(len(at), np.int64)
+            for j in range(NEAR_TERMS):
+                term = self.near[item, j]
+                low = np.searchsorted(keys, term * postings.span + at)
+                following = np.append(keys, -1)[low]
+                n += (term >= 0) & (following >= 0) & (following < term * postings.span + end)
+            fits = n >= self.least[item]
+            for d, k in np.unique(np.stack([doc_of(at[fits]), item[fits]], axis=1), axis=0).tolist():
+                near.setdefault(d, set()).add(k)
         return {d: (hit.get(d, []), exact.get(d, set()), near.get(d, set()) - exact.get(d, set())) for d in exact.keys() | near.keys()}
 
 
 _FOUND = "segment long, place int, doc_id long, n_words long, hit array<int>, items array<string>, near array<string>"
 
 
-def _searching(sent):  # noqa: ANN001, ANN202
-    """Looks a block up: a row per document, with the places of its hit words."""
+def _searching(sent, every: bool):  # noqa: ANN001, ANN202
+    """Looks a block up: a row per document with matches (or for every document), with the places of its hit words."""
     strings = pa.list_(pa.string())
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for segment, ids, n_words, terms, counts, steps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts, n = _unpack(counts).astype(np.int64), len(ids)
-                found = sent.value.search(np.array(n_words, np.int64), _terms(terms, len(counts)), counts, _unpack(steps)) if len(counts) else {}
-                got = [found.get(d, ((), (), ())) for d in range(n)]
+                counts = _unpack(counts).astype(np.int64)
+                found = sent.value.search(np.array(n_words, np.int64), _terms(terms, len(counts)), counts, steps) if len(counts) else {}
+                own = list(range(len(ids))) if every else sorted(found)
+                got = [found.get(d, ((), (), ())) for d in own]
                 hit = pa.array([x[0] for x in got], pa.list_(pa.int32()))
-                items, near = (pa.array([sorted({sent.value.names[k] for k in x[c]}) for x in got], strings) for c in (1, 2))
-                yield pa.RecordBatch.from_arrays([pa.array([segment] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), hit, items, near], [x.split()[0] for x in _FOUND.split(", ")])
+                named = [[{sent.value.names[k] for k in x[c]} - {None} for c in (1, 2)] for x in got]
+                items, near = (pa.array([sorted(x) for x in c], strings) for c in ([a for a, _ in named], [b - a for a, b in named]))
+                yield pa.RecordBatch.from_arrays([pa.array([segment] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array([ids[d] for d in own], pa.int64()), pa.array([n_words[d] for d in own], pa.int64()), hit, items, near], [x.split()[0] for x in _FOUND.split(", ")])
 
     return run
 
 
-def matches(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def matches(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, block_chars: int | None = None) -> DataFrame:
     """A row per document: doc_id, n_words, n_hit, items (with exact matches), near (with proximity matches only)."""
-    spark = index.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item_id"), F.col(text).cast("string").alias("text"))
+    spark, block_chars = index.sparkSession, block_chars or BLOCK_CHARS
+    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).cast("string").alias("text")).where("text is not null").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks, parts = -(-chars // block_chars) or 1, []
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        held = [(x, words_of(t.encode() if t else b"")) for x, t in own.collect()]  # block_chars or so
+        held = [(x, words_of(t.encode())) for x, t in own.collect()]  # block_chars or so
         held = [x for x in held if x[1]]
         terms = sorted({w for _, words in held for w in words})
         sent = spark.sparkContext.broadcast(_Lookup(held, terms, _frequencies(index, terms), window))
-        parts.append(index.mapInArrow(_searching(sent), _FOUND))
+        parts.append(index.mapInArrow(_searching(sent, blocks == 1), _FOUND))
     found = parts[0]
     if blocks > 1:
-        for part in parts[1:]:
+        # blocks give the documents with matches alone; every document has its row from the index
+        docs = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("place", "d"))
+        none = [F.array().cast(kind).alias(c) for c, kind in (("hit", "array<int>"), ("items", "array<string>"), ("near", "array<string>"))]
+        found = docs.select("segment", "place", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").cast("long").alias("n_words"), *none)
+        for part in parts:
             found = found.unionByName(part)
         whole = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
         found = found.groupBy("segment", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), whole("hit").alias("hit"), F.array_sort(whole("items")).alias("items"), whole("near").alias("near"))

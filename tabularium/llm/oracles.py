@@ -39,8 +39,14 @@ v AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS window
 e AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS window_text FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM v) WHERE len(w) >= n)),
 m AS (SELECT doc_id, n, i, item_id FROM e JOIN v USING (n, window_text)),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM m GROUP BY doc_id),
+o AS (SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS term FROM d),
+r AS (SELECT item_id, term FROM (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY n, term) AS k FROM (SELECT DISTINCT item_id, unnest(w) AS term FROM q) JOIN (SELECT term, count(*) AS n FROM o GROUP BY term) USING (term)) WHERE k <= 6),
+l AS (SELECT item_id, greatest(2, (2 * count(*) + 2) // 3) AS least FROM r GROUP BY item_id),
+x AS (SELECT item_id, doc_id, p, term FROM o JOIN r USING (term)),
+y AS (SELECT DISTINCT a.item_id, a.doc_id FROM x a JOIN x b ON a.item_id = b.item_id AND a.doc_id = b.doc_id AND b.p BETWEEN a.p AND a.p + 25 JOIN l ON l.item_id = a.item_id GROUP BY a.item_id, a.doc_id, a.p HAVING count(DISTINCT b.term) >= any_value(least)),
+z AS (SELECT doc_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS near_items FROM y ANTI JOIN m USING (doc_id, item_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(near_items, '') AS near_items FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN z USING (doc_id)"""
 
 
 def _quoted(pattern: str) -> str:

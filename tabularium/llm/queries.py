@@ -32,7 +32,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     named = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), named, (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), named, (F.col("n_hit") > 0).alias("contaminated"), F.concat_ws(",", "near").alias("near_items"))
 
 
 def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

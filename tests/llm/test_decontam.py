@@ -1,6 +1,12 @@
 import hashlib
+import math
+import pickle
 import random
 import re
+import time
+from collections import Counter
+
+import numpy as np
 
 from tabularium.llm import decontam, queries
 
@@ -30,6 +36,20 @@ def plain(docs, items, size=10):
     return out
 
 
+def plain_near(docs, items):
+    """By document, the items whose rare terms stand near each other in it, exact matches or not."""
+    docs = [(i, words(t)) for i, t in docs]
+    frequency = Counter(w for _, own in docs for w in own)
+    out = {}
+    for item, text in items:
+        rare = set(sorted({w for w in words(text) if frequency[w]}, key=lambda w: (frequency[w], w.encode()))[:6])
+        for doc, own in docs:
+            at = [p for p, w in enumerate(own) if w in rare]
+            if any(len({own[p] for p in at if a <= p <= a + 25}) >= max(2, math.ceil(2 * len(rare) / 3)) for a in at):
+                out.setdefault(doc, set()).add(str(item))
+    return out
+
+
 def test_query_against_brute_force(spark, sf_dir, documents):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in queries.op5_decontamination(spark, sf_dir).collect()}
@@ -38,6 +58,32 @@ def test_query_against_brute_force(spark, sf_dir, documents):
     assert any(x[4] for x in wanted.values())
 
 
+def test_near_items_against_brute_force(spark, sf_dir, documents):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    rows = decontam.contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()
+    wanted = plain_near([(d["doc_id"], d["text"]) for d in documents], items)
+    assert {r.doc_id: set(r.near) for r in rows} == {r.doc_id: wanted.get(r.doc_id, set()) - set(r["items"]) for r in rows}
+    shown = {r.doc_id: r.near_items for r in queries.op5_decontamination(spark, sf_dir).collect()}
+    assert shown == {r.doc_id: ",".join(sorted(r.near)) for r in rows}
+
+
+def test_a_full_block(spark):
+    """A benchmark of about BLOCK_CHARS characters: the lookup that is sent stays well below what an executor holds."""
+    rng = random.Random(2)
+    vocabulary = [f"w{k:05}" for k in range(50_000)]
+    items = [(str(k), [w.encode() for w in rng.choices(vocabulary, k=100)]) for k in range(decontam.BLOCK_CHARS // 700)]
+    terms = sorted({w for _, own in items for w in own})
+    began = time.time()
+    lookup = decontam._Lookup(items, terms, np.ones(len(terms), np.int64), 10)
+    assert len(pickle.dumps(lookup)) < 200 << 20
+    segment = decontam._segment([1, 2], [b" ".join(items[7][1]), b"x " * 1000 + b" ".join(items[8][1][20:31])])
+    counts = decontam._unpack(segment[3]).astype(np.int64)
+    found = lookup.search(np.array(segment[1], np.int64), decontam._terms(segment[2], len(counts)), counts, segment[4])
+    assert found[0][0] == list(range(100)) and found[0][1] == {7}
+    assert found[1][0] == list(range(1000, 1011)) and found[1][1] == {8}
+    assert time.time() - began < 60
+
+
 def test_few_words_and_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "SEGMENT_WORDS", 50)
     rng = random.Random(1)
@@ -48,6 +94,8 @@ def test_few_words_and_many_blocks(spark, monkeypatch):
     for chars in (1 << 20, 40):
         found = decontam.matches(decontam.build_index(frame), bench, block_chars=chars).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, len(r["items"])) for r in found} == {k: v[:3] for k, v in wanted.items()}
+        near = plain_near(docs, items)
+        assert {r.doc_id: set(r.near) for r in found} == {r.doc_id: near.get(r.doc_id, set()) - set(r["items"]) for r in found}
 
 
 def test_proximity(spark):
