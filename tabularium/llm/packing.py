@@ -1,8 +1,10 @@
 """Best-fit packing of token sequences into bins of several permitted lengths.
 
 Documents longer than the longest permitted length are cut into pieces. Pieces
-are dealt evenly to groups of bounded size by a hash that does not depend on
-any key of the data; each group is packed by itself, longest piece first:
+are dealt evenly to groups of bounded size by a hash; pieces that are equal in
+all that is returned are counted first and numbered, so no key makes a group
+large, and neither files nor partitions decide. Each group is packed by
+itself, longest piece first:
 
 * a piece goes to the open bin in which it leaves least room;
 * if it fits none, a bin is opened in the permitted length that is cheapest
@@ -11,10 +13,14 @@ any key of the data; each group is packed by itself, longest piece first:
 * at the end each bin is cut down to the shortest permitted length that holds
   its contents.
 
+The group is also packed for each permitted length with no bin opened below
+it, and of all these the cheapest is taken, so the lengths are chosen together.
+
 Defined results: null and empty texts have no tokens and are not packed, for
 there is nothing to train on; they have a row with a null bin. Repeated rows
-are packed once each; null ids are kept; an empty table gives no rows; other
-columns are ignored.
+are packed once each; null ids are kept; of equal sizes the smaller id (null
+last) and the earlier piece go first; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,18 +31,17 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import byte_values
+from tabularium.llm.common import byte_values, staged
 from tabularium.llm.subwords import TOKENIZER, counter
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: Cost of a bin of n tokens: n * (1 + n / QUADRATIC).
 QUADRATIC = 65536
-#: Pieces of a group, about.
-GROUP = 20_000
+#: Pieces of a group, about, and equal pieces that one row stands for while they are dealt.
+GROUP, EQUAL = 20_000, 10_000
 
 
 def bin_cost(length: int) -> float:
@@ -82,10 +87,10 @@ def cheapest(left: _Left, size: int, lengths: Sequence[int]) -> int:
     return min((x for x in lengths if x >= size), key=cost)
 
 
-def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, ahead: bool = False) -> list[tuple[int, int, int]]:
+def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, ahead: bool = False, floor: int = 0) -> list[tuple[int, int, int]]:
     """(bin, offset, bin's final length) for each size, in the given order; sizes are at most the longest length.
 
-    With ahead, bins are opened by cheapest(); without, in the smallest length that holds the piece.
+    With ahead, bins are opened by cheapest(); without, in the smallest length of floor or more that holds the piece.
     """
     lengths = sorted(lengths)
     order = sorted(range(len(sizes)), key=lambda k: (-sizes[k], k))
@@ -104,7 +109,7 @@ def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, ahead: bool = F
             if not by_room[r]:
                 free &= ~(1 << r)
         else:
-            length = cheapest(left, size, lengths) if ahead else min(x for x in lengths if x >= size)
+            length = cheapest(left, size, lengths) if ahead else min(x for x in lengths if x >= max(size, floor))
             b, r = len(room), length
             room.append(r)
             opened.append(length)
@@ -118,39 +123,52 @@ def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS, ahead: bool = F
     return [(b, offset, final[b]) for b, offset in place]
 
 
+def cost_of(found: Sequence[tuple[int, int, int]]) -> float:
+    return sum(map(bin_cost, {b: final for b, _, final in found}.values()))
+
+
+def cheapest_pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> list[tuple[int, int, int]]:
+    """The cheapest of pack() with a look ahead, and with no bin opened below each of the lengths; what is opened is cut in all."""
+    return min((pack(sizes, lengths, ahead=True), *(pack(sizes, lengths, floor=x) for x in sorted(lengths))), key=cost_of)
+
+
+_PIECE = "doc_id long, piece int, start long, n_tokens long"
+
+
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", longest: int = max(LENGTHS), tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, piece, start, n_tokens, row): the pieces of each document; row numbers the rows of docs."""
+    """(doc_id, piece, start, n_tokens): the pieces of each document."""
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, row = counter(tokenizer), TaskContext.get().partitionId() << 33
+        count = counter(tokenizer)
         for batch in rows:
             total = np.array([count(x or b"") for x in byte_values(batch.column(1))], np.int64)
             parts = np.maximum(1, -(-total // longest))
             at = np.repeat(np.arange(len(total)), parts)
             piece = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
             start = piece * longest
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(np.minimum(longest, total[at] - start)), pa.array(row + at)], ["doc_id", "piece", "start", "n_tokens", "row"])
-            row += len(total)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(np.minimum(longest, total[at] - start))], [x.split()[0] for x in _PIECE.split(", ")])
 
     columns = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return columns.mapInArrow(run, "doc_id long, piece int, start long, n_tokens long, row long")
+    return columns.mapInArrow(run, _PIECE)
 
 
 def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengths: Sequence[int] = LENGTHS, tokenizer: str = TOKENIZER, group: int = GROUP) -> DataFrame:
     """A row per piece: doc_id, piece, start (its first token in the document), n_tokens, bin_id, bin_length, bin_offset."""
-    cut = pieces(docs, doc_id, text, max(lengths), tokenizer)
-    groups = max(1, -(-docs.count() // group))
-    dealt = cut.withColumn("group", F.when(F.col("n_tokens") > 0, F.pmod(F.xxhash64("row", "piece"), F.lit(groups))).otherwise(-1 - F.pmod(F.xxhash64("row"), F.lit(groups))))
-    schema = "doc_id long, piece int, start long, n_tokens long, bin_id string, bin_length int, bin_offset int"
-    names = [x.split()[0] for x in schema.split(", ")]
+    names = [x.split()[0] for x in _PIECE.split(", ")]
+    cut = staged(pieces(docs, doc_id, text, max(lengths), tokenizer).groupBy(*names).agg(F.count(F.lit(1)).alias("times")), "pieces")
+    groups = max(1, -(-(cut.agg(F.sum("times")).first()[0] or 0) // group))
+    runs = cut.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(EQUAL).cast("long"))))
+    each = runs.withColumn("copy", F.explode(F.sequence("first", F.least(F.col("first") + EQUAL, F.col("times")) - 1)))
+    number = F.pmod(F.xxhash64(*names, "copy"), F.lit(groups))
+    dealt = each.select(*names, "copy", F.when(F.col("n_tokens") > 0, number).otherwise(-1 - number).alias("group"))
+    schema = f"{_PIECE}, bin_id string, bin_length int, bin_offset int"
 
     def run(table: pa.Table) -> pa.Table:
-        # ids are only named, the order of equal sizes is by place in the input: the same input gives the same bins
-        table = table.sort_by([("row", "ascending"), ("piece", "ascending")]).combine_chunks()
-        base, own = table.select(names[:4]), table["group"][0].as_py()
-        found = pack(table["n_tokens"].to_pylist(), lengths, ahead=True) if own >= 0 else []
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "start", "n_tokens", "copy")]).combine_chunks()
+        base, own = table.select(names), table["group"][0].as_py()
+        found = cheapest_pack(table["n_tokens"].to_pylist(), lengths) if own >= 0 else []
         bins = [[f"{own}-{b}" for b, _, _ in found], [x for _, _, x in found], [x for _, x, _ in found]] if found else [[None] * len(table)] * 3
-        for name, values, kind in zip(names[4:], bins, (pa.string(), pa.int32(), pa.int32()), strict=True):
+        for name, values, kind in zip(("bin_id", "bin_length", "bin_offset"), bins, (pa.string(), pa.int32(), pa.int32()), strict=True):
             base = base.append_column(name, pa.array(values, kind))
         return base
 
