@@ -36,12 +36,16 @@ from pyspark.sql import functions as F
 from tabularium.llm.common import byte_values
 
 KINDS = ("email", "ip", "card", "phone")
+#: Patterns of base spans. That of e-mail addresses is what follows the sign; see emails(). A network address starts where its
+#: first number starts: what fails there fails within the number as well, and is not tried again at each of its digits.
 PATTERNS = {
-    "email": re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "email": re.compile(rb"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(rb"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(rb"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: What may stand before the sign of an e-mail address.
+LOCAL = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DIGIT = re.compile(rb"[0-9]")
 
 #: Longest segment in tokens and in bytes; candidates have so many digits, or a sign of an address, and no more digits than that.
@@ -71,19 +75,35 @@ def _only_digits(data: bytes) -> bytes:
 
 def valid(kind: str, data: bytes) -> bool:
     if kind == "ip":
-        return all(len(x.lstrip(b"0")) <= 3 and int(x) <= 255 for x in data.split(b"."))
+        return all(len(x) <= 3 and int(x or b"0") <= 255 for x in (part.lstrip(b"0") for part in data.split(b".")))
     digits = _only_digits(data)
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     return kind == "email" or 9 <= len(digits) <= 15
 
 
+def emails(data: bytes) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses that don't overlap: outward from each sign, so that each character is looked at a few times only."""
+    done, sign = 0, data.find(b"@")
+    while sign >= 0:
+        # what may stand before this sign lies behind the last match and the last sign
+        start = done + len(data[done:sign].rstrip(LOCAL))
+        match = PATTERNS["email"].match(data, sign + 1) if start < sign else None
+        done = sign + 1
+        if match:
+            done = match.end()
+            yield start, done
+        sign = data.find(b"@", done)
+
+
 def base_spans(data: bytes) -> list[tuple[int, int, int]]:
     """(rank of the kind, start, end) in bytes."""
     out = []
     digits = DIGIT.search(data) is not None
     for rank, kind in enumerate(KINDS):
-        if digits if kind != "email" else b"@" in data:
+        if kind == "email":
+            out += [(rank, a, b) for a, b in emails(data)]
+        elif digits:
             out += [(rank, m.start(), m.end()) for m in PATTERNS[kind].finditer(data) if valid(kind, m[0])]
     return out
 
@@ -119,9 +139,12 @@ def _chunk(data: bytes, at: int, end: int) -> tuple[int, int]:
 
 
 def _before(data: bytes, at: int) -> int:
+    """Where the two words before a place begin; a word is at most 24 bytes."""
     for _ in range(2):
         at = max(at - 1, 0)
-        at = max(data.rfind(b" ", max(0, at - 24), at), data.rfind(b"\n", max(0, at - 24), at)) + 1 if at else 0
+        low = max(0, at - 24)
+        gap = max(data.rfind(b" ", low, at), data.rfind(b"\n", low, at))
+        at = gap + 1 if gap >= 0 else low
     return at
 
 

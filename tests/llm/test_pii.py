@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -96,3 +98,19 @@ def test_odd_rows(spark, odd_docs, no_docs, weights):
     texts = [(1, "é😀 a.b@c.de"), (2, "1 2 3 4 " * 5_000), (3, "x" * 500_000 + "@" + "y" * 100 + ".com")]
     got = {r.doc_id: r.spans for r in pii.scan(spark.createDataFrame(texts, "doc_id long, text string"), weights=weights).collect()}
     assert got[1] == "email:3:11" and "email:0:500105" in got[3]
+
+
+def test_base_spans_of_random_signs():
+    rng = random.Random(6)
+    for alphabet in ("ab@.-", "1 2.-+", "0.1@a", "9.25"):
+        for _ in range(400):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
+            got = [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in pii.base_spans(text.encode())]
+            assert got == plain_base(text), text
+
+
+def test_a_megabyte_of_one_kind(weights):
+    for data in (b"7" * 1_000_000, b"a" * 1_000_000 + b"@", b"a@" * 100_000, b"1." * 100_000, b"1 " * 50_000, b"+1(" * 50_000, b"0" * 5000 + b".1.1.1"):
+        began = time.time()
+        pii.find(weights, data)
+        assert time.time() - began < 40, data[:4]
