@@ -19,6 +19,7 @@ ignored by scan() and kept by redact().
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,20 +48,46 @@ ALLOWED = (
     r"^sha(1|256|384|512)[-_:=]",
 )
 MARK = "[SECRET]"
+#: Matches that are summed in one fold; counts in a word, and bits of a count.
+BLOCK, PACKED, COUNT_BITS = 256, 11, 5
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(size: Column) -> Column:
+    """The first places, from 1, of the blocks of so many values; one at least."""
+    return F.sequence(F.lit(1), F.greatest(size, F.lit(1)), F.lit(BLOCK))
 
 
 def _places(text: Column, pattern: str) -> Column:
-    """array<struct<start, end>> of the leftmost matches that don't overlap, in code points."""
+    """array<struct<start, end>> of the leftmost matches that don't overlap, in code points.
+
+    Running sums of lengths are folded in two steps, within blocks of matches and over blocks, for each step of a fold
+    copies what it has gathered.
+    """
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    both = F.arrays_zip(found.alias("found"), F.slice(between, 1, F.greatest(F.size(found), F.lit(1))).alias("between"))
+    sizes = lambda x: F.transform(x, F.char_length)
     none = F.array().cast("array<struct<start:int,end:int>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["between"])
-        end = start + F.char_length(x["found"])
-        return F.struct(end.alias("at"), F.array_append(acc["all"], F.struct(start.alias("start"), end.alias("end"))).alias("all"))
+    def within(both: Column, start: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            a = acc["at"] + x["gap"]
+            b = a + x["size"]
+            return F.struct(b.alias("at"), F.array_append(acc["all"], F.struct(a.alias("start"), b.alias("end"))).alias("all"))
+
+        return F.aggregate(both, F.struct(start.alias("at"), none.alias("all")), step, lambda acc: acc["all"])
 
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("all")), step, lambda acc: acc["all"])
+    def summed(both: Column) -> Column:
+        part = lambda first: F.slice(both, first, F.lit(BLOCK))
+        totals = F.transform(_blocks(F.size(both)), lambda first: F.aggregate(part(first), F.lit(0), lambda s, x: s + x["gap"] + x["size"]))
+        starts = F.aggregate(totals, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+        return F.flatten(F.transform(F.arrays_zip(_blocks(F.size(both)).alias("first"), F.slice(starts, 1, F.size(starts) - 1).alias("start")), lambda b: within(part(b["first"]), b["start"])))
+
+    both = _let(sizes(found), lambda own: F.arrays_zip(own.alias("size"), F.slice(sizes(between), 1, F.greatest(F.size(own), F.lit(1))).alias("gap")))
+    return _let(F.filter(both, lambda x: x["size"].isNotNull()), summed)
 
 
 def _spans(places: Column, kind: str) -> Column:
@@ -84,26 +111,29 @@ def _assigned(text: Column) -> Column:
 def hot_window(candidate: Column, bits: Column) -> Column:
     """struct<first, last>: from the first window with more bits than given to the end of the last; null if there is none.
 
-    Windows must hold a digit and a letter.
+    Windows must hold a digit and a letter. The counts of a window's characters are kept in words of PACKED counts, COUNT_BITS
+    bits each; a character that comes in or goes out changes one of them.
     """
     terms = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)))
-    codes = F.transform(F.split(candidate, ""), lambda ch: F.instr(F.lit(ALPHABET), ch) - 1)
-    size = F.char_length(candidate)
     digit = lambda k: ((k >= 52) & (k < 62)).cast("int")
     letter = lambda k: ((k >= 0) & (k < 52)).cast("int")
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("digits"), F.lit(0).alias("letters"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    word = lambda k: ((k - k % PACKED) / PACKED).cast("int")
+    bit = lambda k: (k % PACKED * COUNT_BITS).cast("int")
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), bit(k))
+    count = lambda counts, k: F.call_function("shiftright", F.get(counts, word(k)), bit(k)).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(ALPHABET) // PACKED)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("digits"), F.lit(0).alias("letters"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
 
     def step(acc: Column, x: Column) -> Column:
         i, new, old = x["i"], x["new"], x["old"]
-        count_new = F.get(acc["counts"], new)
-        count_old = F.get(acc["counts"], old) + (old == new).cast("int")
-        came = F.get(terms, count_new + 1) - F.get(terms, count_new)
+        came = F.get(terms, count(acc["counts"], new) + 1) - F.get(terms, count(acc["counts"], new))
+        count_old = count(acc["counts"], old) + (old == new).cast("int")
         went = F.when(old >= 0, F.get(terms, count_old) - F.get(terms, count_old - 1)).otherwise(0.0)
         total = acc["sum"] + came - went
         digits, letters = acc["digits"] + digit(new) - digit(old), acc["letters"] + letter(new) - letter(old)
         hot = (i >= WINDOW - 1) & (math.log2(WINDOW) - total / WINDOW > bits) & (digits > 0) & (letters > 0)
+        moved = lambda c, k: c + F.when(word(new) == k, one(new)).otherwise(0) - F.when((old >= 0) & (word(old) == k), one(old)).otherwise(0)
         return F.struct(
-            F.transform(acc["counts"], lambda c, k: c + (k == new).cast("int") - (k == old).cast("int")).alias("counts"),
+            F.transform(acc["counts"], moved).alias("counts"),
             total.alias("sum"),
             digits.alias("digits"),
             letters.alias("letters"),
@@ -111,8 +141,11 @@ def hot_window(candidate: Column, bits: Column) -> Column:
             F.when(hot, i + 1).otherwise(acc["last"]).alias("last"),
         )
 
-    steps = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.struct(i.alias("i"), F.get(codes, i).alias("new"), F.coalesce(F.get(codes, F.when(i >= WINDOW, i - WINDOW)), F.lit(-1)).alias("old")))
-    return F.aggregate(steps, zero, step, lambda acc: F.when(acc["last"].isNotNull(), F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))
+    def slid(codes: Column) -> Column:
+        steps = F.transform(codes, lambda new, i: F.struct(i.alias("i"), new.alias("new"), F.coalesce(F.get(codes, F.when(i >= WINDOW, i - WINDOW)), F.lit(-1)).alias("old")))
+        return F.aggregate(steps, zero, step, lambda acc: F.when(acc["last"].isNotNull(), F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))
+
+    return _let(F.transform(F.split(candidate, ""), lambda ch: F.instr(F.lit(ALPHABET), ch) - 1), slid)
 
 
 def _random(text: Column) -> Column:
@@ -157,10 +190,11 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", mark:
 
     def step(acc: Column, x: Column) -> Column:
         apart = x["start"] >= acc["at"]
-        new = F.concat(acc["out"], whole.substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(apart, new).otherwise(acc["out"]).alias("out"))
+        part = whole.substr(acc["at"] + 1, x["start"] - acc["at"])
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(apart, F.array_append(acc["parts"], part)).otherwise(acc["parts"]).alias("parts"))
 
-    cut = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], whole.substr(acc["at"] + 1, F.char_length(whole))))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    cut = F.aggregate(every, none, step, lambda acc: F.array_join(F.array_append(acc["parts"], whole.substr(acc["at"] + 1, F.char_length(whole))), mark))
     out = found.withColumn(text, F.when(F.size(every) > 0, cut).otherwise(whole))
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.when(F.size(every) > 0, F.char_length(text).cast("long")).otherwise(F.col(n_chars)))

@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import time
 
 from tabularium.llm import queries, secret_scan
 
@@ -82,3 +84,18 @@ def test_odd_rows(spark, odd_docs, no_docs):
     redacted = secret_scan.redact(odd_docs)
     assert redacted.columns == odd_docs.columns
     assert sum(r.text is None for r in redacted.collect()) == 1
+
+
+def test_long_runs_and_many_matches(spark):
+    """A run of 100,000 characters, and 20,000 matches: linear, so within the time; a fifth of each against brute force."""
+    rng = random.Random(4)
+    run = lambda n: "".join(rng.choice(secret_scan.ALPHABET) for _ in range(n))
+    texts = [f"{run(20_000)} é {run(400)}", "token=abcdefgh1 😀 " * 4000]
+    frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in secret_scan.scan(frame(texts)).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
+    began = time.time()
+    rows = secret_scan.scan(frame([run(100_000), texts[1] * 5])).collect()
+    assert [r.n_assign for r in sorted(rows, key=lambda r: r.doc_id)] == [0, 20_000]
+    assert all("é" not in r.text for r in secret_scan.redact(spark.createDataFrame([(1, texts[1])], "doc_id long, text string")).collect())
+    assert time.time() - began < 60
