@@ -4,15 +4,17 @@ Calls and results meet in a hash join on conversation and identifier. Each
 call gets a level, the length of the longest chain of calls that it waits
 for, so that ordering by level is a topological order; calls in or behind a
 cycle have none. Conversations of at most MOST calls are ordered in one pass
-over their rows; larger ones by rounds over all of them in parallel, in each of
-which the calls are settled whose needs are settled. Arguments are validated
+over their rows; in larger ones chains of calls that need one other are jumped
+over by doubling, and rounds over all other calls in parallel settle those whose
+needs are settled. Arguments are validated
 against the schema of their tool, and each call is written as JSON with sorted
 keys, without spaces, in UTF-8.
 
 Defined results: of several calls (or results) with the same identifier the
 first by turn counts, and the status says so; calls without identifier are
 kept, unlinked; results without call are kept with status "no call"; unknown
-needs are listed and not waited for; null arguments are invalid JSON; tools
+needs are listed and not waited for; null arguments are invalid JSON, and so are
+those with half a surrogate pair or nested deeper than Python reads; tools
 without schema take anything; empty tables give no rows; other columns are
 ignored.
 """
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from tabularium.llm.common import discard, staged
 
 #: Calls of a conversation that one task orders.
-MOST = 10_000
+MOST = 100_000
 
 
 def canonical(value: object) -> str:
@@ -126,17 +128,42 @@ def _levels_small(calls: DataFrame) -> DataFrame:
     return calls.select("conv", "call", "needs").repartition("conv").sortWithinPartitions("conv", "call").mapInArrow(run, "conv string, call string, level int")
 
 
+def _jumps(single: DataFrame, n: int) -> DataFrame:
+    """(conv, call, to, distance): from each call that needs one other along such calls to the first that does not; none for those in a cycle.
+
+    The way of a call doubles in each round.
+    """
+    now = staged(single.select("conv", "call", F.col("need").alias("to"), F.lit(1).cast("long").alias("distance")), "jumps")
+    for _ in range(n.bit_length()):
+        further = now.select("conv", F.col("call").alias("to"), F.col("to").alias("beyond"), F.col("distance").alias("more"))
+        joined = now.join(further, ["conv", "to"], "left")
+        if joined.where("beyond is not null").isEmpty():
+            break
+        held, now = now, staged(joined.select("conv", "call", F.coalesce("beyond", "to").alias("to"), (F.col("distance") + F.coalesce("more", F.lit(0))).alias("distance")), "jumps")
+        discard(held)
+    ends = single.select("conv", F.col("call").alias("to"))
+    return now.join(ends, ["conv", "to"], "left_anti").select("conv", "call", "to", "distance")
+
+
 def _levels_large(calls: DataFrame) -> DataFrame:
-    """Conversations of any size: rounds of joins over all calls that are not settled."""
-    edges = staged(calls.select("conv", "call", F.explode(F.array_distinct("needs")).alias("need")).join(calls.select("conv", F.col("call").alias("need")), ["conv", "need"], "left_semi"), "needs")
-    done = staged(calls.select("conv", "call").join(edges, ["conv", "call"], "left_anti").withColumn("level", F.lit(0)), "levels")
+    """Conversations of any size: chains of calls that need one other are jumped over, then rounds of joins settle the other calls."""
+    edges = staged(calls.select("conv", "call", F.explode(F.array_distinct("needs")).alias("need")).join(calls.select("conv", F.col("call").alias("need")), ["conv", "need"], "left_semi").select("conv", "call", "need"), "needs")
+    needed = edges.groupBy("conv", "call").agg(F.count(F.lit(1)).alias("n"))
+    single = staged(edges.join(needed.where("n = 1"), ["conv", "call"], "left_semi").select("conv", "call", "need"), "single")
+    jumps = staged(_jumps(single, single.count()), "jumped")
+    # a need that is such a call stands for the call at the end of its chain, so much further; one that leads into a cycle stays and is never settled
+    far = jumps.select("conv", F.col("call").alias("need"), "to", "distance")
+    knots = edges.join(needed.where("n > 1"), ["conv", "call"], "left_semi").join(far, ["conv", "need"], "left")
+    knots = staged(knots.select("conv", "call", F.coalesce("to", "need").alias("need"), (F.coalesce("distance", F.lit(0)) + 1).alias("step")), "knots")
+    done = staged(calls.select("conv", "call").join(edges, ["conv", "call"], "left_anti").withColumn("level", F.lit(0).cast("long")), "levels")
     out, new = done, done
     while not new.isEmpty():
-        met = edges.join(out.select("conv", F.col("call").alias("need"), "level"), ["conv", "need"], "left").groupBy("conv", "call").agg(F.max("level").alias("top"), F.bool_and(F.col("level").isNotNull()).alias("ready"))
-        new = staged(met.where("ready").select("conv", "call", (F.col("top") + 1).alias("level")).join(out, ["conv", "call"], "left_anti"), "levels")
+        met = knots.join(out.select("conv", F.col("call").alias("need"), "level"), ["conv", "need"], "left").groupBy("conv", "call").agg(F.max(F.col("level") + F.col("step")).alias("top"), F.bool_and(F.col("level").isNotNull()).alias("ready"))
+        new = staged(met.where("ready").select("conv", "call", F.col("top").alias("level")).join(out, ["conv", "call"], "left_anti"), "levels")
         held, out = out, staged(out.unionByName(new), "levels")
         discard(held)
-    return calls.select("conv", "call").join(out, ["conv", "call"], "left")
+    along = jumps.join(out.select("conv", F.col("call").alias("to"), "level"), ["conv", "to"]).select("conv", "call", (F.col("level") + F.col("distance")).alias("level"))
+    return calls.select("conv", "call").join(out.unionByName(along), ["conv", "call"], "left").select("conv", "call", F.col("level").cast("int").alias("level"))
 
 
 def levels(calls: DataFrame, most: int = MOST) -> DataFrame:
@@ -177,11 +204,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping], m
         errors, arguments = [], None
         try:
             arguments = json.loads(x["arguments"] if x["arguments"] is not None else "")
-            canonical(arguments)
-        except ValueError:
+            canonical(arguments).encode()
+            if not errors and x["name"] in schemas:
+                errors = violations(arguments, schemas[x["name"]])
+                "".join(errors).encode()
+        except (ValueError, RecursionError):  # no JSON, no characters of Unicode, or nested too deep
             arguments, errors = None, ["$: no JSON"]
-        if not errors and x["name"] in schemas:
-            errors = violations(arguments, schemas[x["name"]])
         loose = x["conv"] is None or x["call"] is None
         status = "no identifier" if loose else "cycle" if x["level"] is None else "invalid" if errors else "several calls" if x["n_calls"] > 1 else "no result" if x["n_results"] is None else "several results" if x["n_results"] > 1 else "ok"
         record = {"id": x["call"], "name": x["name"], "arguments": arguments, "needs": sorted(set(x["needs"])), "level": x["level"], "result": x["content"]}

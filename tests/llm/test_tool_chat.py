@@ -93,3 +93,25 @@ def test_odd_rows(spark):
     assert sorted(r.status for r in got) == ["invalid", "invalid", "no identifier", "no identifier"]
     calls, results = tool_chat.calls_of(frame.limit(0))
     assert tool_chat.link(calls, results, {}).count() == 0
+
+
+def test_arguments_that_are_hard_to_read(spark):
+    schema = {"t": {"type": "object", "additionalProperties": False, "properties": {"a": {"type": "string"}}}}
+    bad = ['{"a":"\\ud800"}', "[" * 3000 + "]" * 3000, '{"a":' * 3000 + "1" + "}" * 3000, "9" * 5000, '{"\\udfff":1}', "1e999"]
+    good = ['{"a":"\\ud83d\\ude00"}', "[" * 50 + "]" * 50]
+    rows = [("c", str(k), k, "t" if k % 2 else "u", x, None) for k, x in enumerate(bad + good)]
+    got = {int(r.call): r for r in tool_chat.link(spark.createDataFrame(rows, CALLS), spark.createDataFrame([], RESULTS), schema).collect()}
+    assert len(got) == len(rows)
+    for k in range(len(bad)):
+        assert got[k].status == "invalid" and got[k].errors == ["$: no JSON"] and json.loads(got[k].record)["arguments"] is None
+    assert "\U0001f600" in got[len(bad)].record and got[len(bad)].status == "no result"
+
+
+def test_a_long_chain(spark):
+    """In few rounds; with a cycle, what leads into it, and a call that needs two chains."""
+    n = 3000
+    rows = [("a", f"{k}", [f"{k - 1}"] if k else []) for k in range(n)] + [("a", "x", ["y"]), ("a", "y", ["x"]), ("a", "z", ["y"]), ("a", "both", ["100", "2000"]), ("a", "lost", ["100", "z"]), ("a", "after", ["both"]), ("b", "1", ["0"])]
+    frame = spark.createDataFrame(rows, "conv string, call string, needs array<string>")
+    got = {(r.conv, r.call): r.level for r in tool_chat.levels(frame, 5).collect()}
+    assert all(got["a", str(k)] == k for k in range(n))
+    assert [got["a", c] for c in ("x", "y", "z", "both", "lost", "after")] == [None, None, None, 2001, None, 2002] and got["b", "1"] == 0
