@@ -17,15 +17,15 @@ The archive's folder may be in any file system that pyarrow can open on the
 executors (shared disk, object store).
 
 Defined results: null texts have an empty payload; null urls are written as
-"urn:none"; null page ids come after all others and, as a revisit, refer to
-the smallest id that is not null; repeated rows have a record each, and one
-with the payload and id of the first revisits it; empty tables give an archive
+"urn:none"; null page ids come after all others, in shards by payload, and, as
+a revisit, refer to the smallest id that is not null; repeated rows have a
+record each, and one with the payload and id of the first revisits it; equal
+payloads of one id go by url; empty tables give an archive
 without files; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import re
 import uuid
@@ -33,7 +33,9 @@ import zlib
 from collections.abc import Iterable, Iterator
 from io import BufferedReader
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,8 @@ from tabularium.llm.common import byte_values, remove
 LEAST_REVISIT = 100
 #: Payload bytes of a shard, and compressed bytes at which a file is closed.
 SHARD_BYTES, FILE_BYTES = 64 << 20, 16 << 20
+#: A reader's tasks: as many as files up to so many, then one for so many bytes.
+FEW_FILES, READ_BYTES = 1024, 64 << 20
 #: Cells of a histogram of ids.
 CELLS = 1 << 14
 #: Records carry no time of their own; the date is a parameter, for the bytes must not depend on the clock.
@@ -91,24 +95,55 @@ def member(data: bytes, level: int = 6) -> bytes:
     return pack.compress(data) + pack.flush()
 
 
+def _sizes(pages: DataFrame, lows: np.ndarray, highs: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Rows (range, cell, bytes, first id, last id) of cells of so many ids in disjoint ascending ranges of ids, in one job.
+
+    Each task sums its rows before anything is shuffled.
+    """
+    sent = pages.sparkSession.sparkContext.broadcast((lows, highs, widths))
+    names = ["part", "cell", "size", "a", "b"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows, highs, widths = sent.value
+        for batch in batches:
+            kept = batch.filter(pc.is_valid(batch.column(0)))
+            ids, sizes = (kept.column(k).to_numpy() for k in (0, 1))
+            part = np.searchsorted(lows, ids, side="right") - 1
+            inside = (part >= 0) & (ids <= highs[part])
+            ids, sizes, part = ids[inside], sizes[inside], part[inside]
+            cell = (ids.astype(object) - lows[part] if len(ids) and int(highs[-1]) - int(lows[0]) >= 1 << 63 else ids - lows[part]) // widths[part]
+            table = pa.table({"part": part, "cell": np.array(cell, np.int64), "size": sizes, "a": ids, "b": ids})
+            own = table.group_by(["part", "cell"]).aggregate([("size", "sum"), ("a", "min"), ("b", "max")]).rename_columns({"size_sum": "size", "a_min": "a", "b_max": "b"})
+            yield from own.select(names).combine_chunks().to_batches()
+
+    summed = pages.select("page_id", "size").mapInArrow(run, "part long, cell long, size long, a long, b long").groupBy("part", "cell").agg(F.sum("size").alias("size"), F.min("a").alias("a"), F.max("b").alias("b"))
+    return np.array(sorted(map(tuple, summed.collect())), np.int64).reshape(-1, 5)  # CELLS or so
+
+
 def shard_bounds(pages: DataFrame, shard_bytes: int) -> list[int]:
-    """Smallest ids of all shards but the first, from exact sums over all rows; a pass for each time that a cell is too large."""
-    low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
+    """Smallest ids of all shards but the first, from exact sums over all rows.
+
+    A histogram of ids; all its cells that are too large are looked at again together, until they have one id or are small.
+    """
+    low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum(F.when(F.col("page_id").isNotNull(), F.col("size")))).first()
     if low is None or (total or 0) <= shard_bytes:
         return []
-
-    def cells(low: int, high: int) -> list[tuple[int, int, int]]:
-        """(first id, last id, bytes) in order; a cell of several ids that is too large is looked at again."""
-        width = max(1, -(-(high - low + 1) // CELLS))
-        cell = F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)).cast("long") if width > 1 else F.col("page_id") - F.lit(low)
-        rows = pages.where(F.col("page_id").between(low, high)).groupBy(cell.alias("cell")).agg(F.sum("size").alias("size"), F.min("page_id").alias("a"), F.max("page_id").alias("b")).collect()  # CELLS at most
-        out = []
-        for r in sorted(rows, key=lambda r: r["cell"]):
-            out += cells(r["a"], r["b"]) if r["size"] > shard_bytes and r["a"] < r["b"] else [(r["a"], r["b"], r["size"])]
-        return out
-
+    done: list[tuple[int, int]] = []
+    large = [(low, high)]
+    while large:
+        later = []
+        for k in range(0, len(large), CELLS):
+            lows, highs = (np.array(x, np.int64) for x in zip(*large[k : k + CELLS], strict=True))
+            cells = max(2, CELLS // len(lows))
+            widths = np.array([max(1, -(-(int(b) - int(a) + 1) // cells)) for a, b in zip(lows, highs, strict=True)], np.int64)
+            for _, _, size, a, b in _sizes(pages, lows, highs, widths).tolist():
+                if size > shard_bytes and a < b:
+                    later.append((a, b))
+                else:
+                    done.append((a, size))
+        large = later
     bounds, size = [], 0
-    for first, _, own in cells(low, high):
+    for first, own in sorted(done):
         if size and size + own > shard_bytes:
             bounds.append(first)
             size = 0
@@ -153,6 +188,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     sized = own.select("page_id", F.octet_length("html").cast("long").alias("size"))
     bounds = shard_bounds(sized, shard_bytes)
+    nameless = max(1, -(-(sized.where("page_id is null").agg(F.sum("size")).first()[0] or 0) // shard_bytes))  # shards of rows without id
     # the least id of each payload, then of the rows that have another: few and narrow, the payloads stay where they are
     digests = own.where(F.octet_length("html") >= LEAST_REVISIT).select("page_id", F.unhex(F.sha2(F.encode("html", "utf-8"), 256)).alias("digest"))
     least = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -160,10 +196,9 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     # a note on a page travels with the page itself, and comes before it
     void = lambda kind: F.lit(None).cast(kind)
     rows = own.select("page_id", "url", "html", F.lit(1).alias("kind"), void("binary").alias("digest"), void("long").alias("refers_to")).unionByName(again.select("page_id", void("string").alias("url"), void("string").alias("html"), F.lit(0).alias("kind"), "digest", "refers_to"))
-    array = F.array(*map(F.lit, bounds)).cast("array<long>")
-    shard = F.when(F.col("page_id").isNull(), len(bounds)).otherwise(F.size(F.filter(array, lambda b: b <= F.col("page_id")))) if len(bounds) < 32 else None
-    dealt = rows.withColumn("shard", shard.cast("int")) if shard is not None else _numbered(rows, bounds)
-    dealt = dealt.repartitionById(len(bounds) + 1, F.col("shard"))
+    payload = F.coalesce("digest", F.unhex(F.sha2(F.encode("html", "utf-8"), 256)))  # for rows without id alone: they meet by payload
+    numbered = _numbered(rows, bounds).withColumn("shard", F.when(F.col("page_id").isNull(), F.col("shard") + F.pmod(F.xxhash64(payload), F.lit(nameless)).cast("int")).otherwise(F.col("shard")))
+    dealt = numbered.repartitionById(len(bounds) + nameless, F.col("shard"))
     dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "kind", "url", "html")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,14 +234,14 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
 
 
 def _numbered(rows: DataFrame, bounds: list[int]) -> DataFrame:
-    """rows with the number of their shard, by binary search."""
+    """rows with the number of their shard, by binary search; rows without id have the number after the last bound."""
+    sent = rows.sparkSession.sparkContext.broadcast(np.array(bounds, np.int64))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shards = [len(bounds) if x is None else bisect.bisect_right(bounds, x) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards, pa.int32())], [*batch.schema.names, "shard"])
+    def run(ids: pa.Array) -> pa.Array:
+        out = np.searchsorted(sent.value, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), len(sent.value), out).astype(np.int32))
 
-    return rows.mapInArrow(run, f"{', '.join(f'{name} {kind}' for name, kind in rows.dtypes)}, shard int")
+    return rows.withColumn("shard", F.arrow_udf(run, "int")("page_id") if bounds else F.lit(0))
 
 
 def _commit(spark: SparkSession, folder: str) -> DataFrame:
@@ -272,7 +307,9 @@ _RECORDS = "page_id long, url string, record_type string, payload_bytes long, pa
 def read_archive(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """A row per record of the archive's files. Responses carry their payload if asked for; its digest is checked in any case."""
     files = manifest(spark, folder)
-    found = files.select("file", "sha256").repartition(F.col("file"))
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    # a task for each file while there are few, then one for READ_BYTES; a number that is given is kept as it is
+    found = files.select("file", "sha256").repartition(max(1, min(n, max(FEW_FILES, -(-size // READ_BYTES)))), F.col("file"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = fs.FileSystem.from_uri(folder)

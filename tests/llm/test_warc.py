@@ -1,5 +1,8 @@
+import bisect
 import gzip
 import hashlib
+import random
+from collections import Counter
 
 import pytest
 
@@ -68,3 +71,32 @@ def test_damage_is_found(spark):
     data[-20] ^= 1
     with pytest.raises(ValueError, match="damaged"):
         warc.parse(bytes(data))
+
+
+@pytest.mark.parametrize("cells", [4, 1 << 14])
+def test_bounds_of_skewed_ids(spark, monkeypatch, cells):
+    """Each shard but those of a single id stays within the limit, and two neighbours don't; in few jobs."""
+    monkeypatch.setattr(warc, "CELLS", cells)
+    rng = random.Random(5)
+    ids = [rng.choice([-(1 << 62), 1 << 61]) + rng.randint(0, 9) if rng.random() < 0.3 else int(rng.expovariate(1 / 5000)) for _ in range(3000)]
+    rows = [(i, rng.randint(0, 50)) for i in ids] + [(7, 900)]
+    bounds = warc.shard_bounds(spark.createDataFrame([*rows, (None, 5)], "page_id long, size long"), 400)
+    assert bounds == sorted(set(bounds))
+    sizes, held = Counter(), {}
+    for i, size in rows:
+        k = bisect.bisect_right(bounds, i)
+        sizes[k] += size
+        held.setdefault(k, set()).add(i)
+    assert all(sizes[k] <= 400 or len(held[k]) == 1 for k in held)
+    assert len(bounds) > 100
+
+
+def test_rows_without_id_are_dealt_by_payload(spark):
+    rows = [(None, "u", f"{k % 50:04} " * 100) for k in range(200)] + [(3, "u", "0007 " * 100)]
+    folder = new_path(spark, "archive")
+    files = warc.write(spark.createDataFrame(rows, PAGES), folder, shard_bytes=10_000).collect()
+    assert len({r.shard for r in files}) > 5
+    got = warc.read_archive(spark, folder).collect()
+    assert Counter(r.record_type for r in got) == {"response": 50, "revisit": 151}
+    assert Counter(r.refers_to for r in got if r.record_type == "revisit") == {3: 4, None: 147}
+    assert warc.read_archive(spark, folder).rdd.getNumPartitions() > 1
