@@ -124,3 +124,20 @@ def test_one_large_group_of_near_copies(spark):
     frame = spark.createDataFrame([(k, " ".join(changed(rng, words, 2))) for k in range(300)], "doc_id long, text string")
     assert similar.pairs(frame).count() <= 2 * similar.BANDS * 300
     assert [r.doc_id for r in simhash.keep_first(frame).collect()] == [0]
+
+
+def test_copies_of_one_text_that_are_not_copies_of_each_other(spark):
+    """400 texts of similarity 0.8 or more to the first, nearly all less to each other: one class."""
+    rng = random.Random(9)
+    source = [f"w{k}" for k in range(400)]
+    rows = [(0, " ".join(source))]
+    for k in range(1, 401):
+        own = list(source)
+        for at in rng.sample(range(0, 400, 5), 8):
+            own[at] = f"c{k}x{at}"
+        rows.append((k, " ".join(own)))
+    assert all(similar.similarity(rows[0][1].encode(), t.encode()) >= 0.8 for _, t in rows)
+    near = [similar.similarity(a.encode(), b.encode()) for (_, a), (_, b) in zip(rows[1:], rows[2:], strict=False)]
+    assert sum(x >= 0.8 for x in near) < 0.1 * len(near)
+    got = simhash.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
