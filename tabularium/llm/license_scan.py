@@ -7,10 +7,12 @@ up in the index. Hits of a template that lie near one diagonal are a
 candidate; the template and that part of the document are aligned in a band
 around the diagonal (match +2, other word -1, gap -1), and a candidate whose
 matched words cover enough of the template is reported with its coverage and
-its span, and what is left around it is aligned again. Where reports overlap, the one with most matched words stays.
+its span, and what is left around it is aligned again. Where reports overlap,
+the one with most matched words stays; of equals the one that starts first, then the earlier template.
 
-Templates are a parameter and small; documents are looked at one by one,
-so nothing is shuffled.
+Templates are a parameter and small: notices and short licenses are built in,
+and templates_in() reads whole licenses from a folder. Documents are looked at
+one by one, so nothing is shuffled.
 
 Defined results: null and empty texts have no licenses; repeated rows have a
 row each; null ids are kept; an empty table gives no rows; other columns are
@@ -22,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -66,41 +69,59 @@ def winnow(hashes: np.ndarray, window: int = WINDOW) -> list[int]:
 
 
 def align(a: Sequence[int], b: Sequence[int], diagonal: int, band: int) -> tuple[int, int, int]:
-    """(matched words, start, end in b) of the best local alignment with j - i within band of the diagonal."""
+    """(matched words, start, end in b) of the best local alignment with j - i within band of the diagonal.
+
+    A row of scores is computed at once: gaps along the row are a running maximum.
+    """
     width = 2 * band + 1
-    best, rows, at = 0, [], (0, 0)
-    above = [0] * (width + 2)
+    # b with room to both sides, where nothing matches
+    own = np.zeros(len(a) + len(b) + 2 * width + 2 * abs(diagonal), np.int64)
+    shift = width + abs(diagonal)
+    own[shift : shift + len(b)] = b
+    inside = np.zeros(len(own), bool)
+    inside[shift : shift + len(b)] = True
+    rows = np.zeros((len(a) + 1, width + 2), np.int32)
+    steps, best, at = np.arange(width, dtype=np.int32), 0, (0, 0)
     for i, word in enumerate(a):
-        row = [0] * (width + 2)
-        shift = i + diagonal - band
-        for c in range(1, width + 1):
-            j = shift + c - 1
-            if 0 <= j < len(b):
-                score = max(0, above[c] + (2 if word == b[j] and word else -1), above[c + 1] - 1, row[c - 1] - 1)
-                row[c] = score
-                if score > best:
-                    best, at = score, (i, c)
-        rows.append(row)
-        above = row
+        low = i + diagonal - band + shift
+        if low >= len(own) or low + width <= 0:
+            continue
+        part = slice(max(low, 0), min(low + width, len(own)))
+        first = part.start - low
+        n, above = part.stop - part.start, rows[i]
+        same = (own[part] == word) & (word != 0)
+        scores = np.maximum(above[1 + first : 1 + first + n] + np.where(same, 2, -1), above[2 + first : 2 + first + n] - 1)
+        scores[~inside[part]] = 0
+        np.maximum(scores, 0, out=scores)
+        row = np.maximum.accumulate(scores + steps[:n]) - steps[:n]
+        row[~inside[part]] = 0
+        rows[i + 1, 1 + first : 1 + first + n] = row
+        top = int(row.argmax())
+        if row[top] > best:
+            best, at = int(row[top]), (i, 1 + first + top)
     if not best:
         return 0, 0, 0
     i, c = at
     matched, end, start = 0, 0, 0
-    while i >= 0 and rows[i][c] > 0:
-        j = i + diagonal - band + c - 1
-        up = rows[i - 1] if i else [0] * (width + 2)
-        same = a[i] == b[j] and a[i]
-        if rows[i][c] == up[c] + (2 if same else -1):
+    while i >= 0 and rows[i + 1, c] > 0:
+        j, score, up = i + diagonal - band + c - 1, rows[i + 1, c], rows[i]
+        same = bool(a[i]) and a[i] == b[j]
+        if score == up[c] + (2 if same else -1):
             if same:
                 matched, start, end = matched + 1, j, max(end, j + 1)
             i -= 1
-        elif rows[i][c] == up[c + 1] - 1:
+        elif score == up[c + 1] - 1:
             i, c = i - 1, c + 1
         else:
             c -= 1
     return matched, start, end
 
 
+def templates_in(folder: str) -> tuple[tuple[str, str], ...]:
+    """The files of a folder of license texts as templates, each under its name."""
+    return tuple((p.name, p.read_text(encoding="utf-8", errors="replace")) for p in sorted(Path(folder).iterdir()) if p.is_file() and not p.is_symlink())
+
+
 class Index:
     """The templates' fingerprints."""
 

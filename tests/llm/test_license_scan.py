@@ -40,6 +40,59 @@ def plain_align(a, b):
     return best
 
 
+def plain_band(a, b, diagonal, band):
+    """Cell by cell: the best score with j - i within band of the diagonal."""
+    best, score = 0, {}
+    for i, x in enumerate(a):
+        for j in range(max(0, i + diagonal - band), min(len(b), i + diagonal + band + 1)):
+            score[i, j] = max(0, score.get((i - 1, j - 1), 0) + (2 if x == b[j] and x else -1), score.get((i - 1, j), 0) - 1, score.get((i, j - 1), 0) - 1)
+            best = max(best, score[i, j])
+    return best
+
+
+def test_alignment_within_a_band():
+    rng = random.Random(14)
+    for _ in range(300):
+        a, b = ([rng.randint(0, 3) for _ in range(rng.randint(1, 14))] for _ in range(2))
+        diagonal, band = rng.randint(-6, 16), rng.randint(0, 8)
+        matched, start, end = license_scan.align(a, b, diagonal, band)
+        best = plain_band(a, b, diagonal, band)
+        assert (matched > 0) == (best > 0) and 2 * matched >= best and matched <= end - start
+
+
+def test_whole_table_against_all_alignments(spark, sf_dir, documents):
+    """Each document against each template, without fingerprints and bands: the same documents hold enough of the same template."""
+    index, wanted = license_scan.Index(), {}
+    rows = [d for d in documents if d["text"]]
+    rows += [{"doc_id": -1 - k, "text": " ".join(w for i, w in enumerate(t.split()) if i % 11 != 5)} for k, (_, t) in enumerate(TEMPLATES) if len(t.split()) > 30]
+    for d in rows:
+        ids = [index.words.get(w, 0) for w in d["text"].encode().translate(license_scan._TO_WORDS).split()]
+        found = set()
+        for name, body in zip(index.names, index.bodies, strict=True):
+            if sum(x in ids for x in set(body)) >= 0.8 * len(set(body)) - 1:  # else too few words could match
+                matched, _, _ = license_scan.align(body, ids, 0, len(body) + len(ids))
+                if matched >= max(min(license_scan.LEAST_WORDS, len(body)), license_scan.COVERAGE * len(body)):
+                    found.add(name)
+        wanted[d["doc_id"]] = found
+    frame = spark.createDataFrame([(d["doc_id"], d["text"]) for d in rows], "doc_id long, text string")
+    got = {r.doc_id: {m.license for m in r.matches} for r in license_scan.scan(frame).collect()}
+    both = sum(len(got[k] & wanted[k]) for k in wanted)
+    assert all(bool(got[k]) <= bool(wanted[k]) for k in wanted)
+    assert sum(bool(got[k]) for k in wanted) >= 0.97 * sum(bool(x) for x in wanted.values())
+    assert both == sum(map(len, got.values())) > 10  # of overlapping templates the longest alone is reported
+
+
+def test_whole_licenses_from_a_folder(tmp_path):
+    rng = random.Random(3)
+    body = " ".join(f"w{rng.randint(0, 900)}" for _ in range(4000))
+    (tmp_path / "LONG-1.0").write_text(body)
+    (tmp_path / "SHORT-1.0").write_text("one two three four five six seven eight nine ten")
+    index = license_scan.Index(license_scan.templates_in(str(tmp_path)))
+    changed = " ".join(w for w in body.split() if rng.random() > 0.08)
+    found = index.scan(f"before it {changed} after it".encode())
+    assert [x[0] for x in found] == ["LONG-1.0"] and 0.9 < found[0][1] < 0.95
+
+
 def test_changed_texts_are_found():
     rng, index = random.Random(2), license_scan.Index()
     for name, text in TEMPLATES:
