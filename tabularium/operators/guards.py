@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tabularium.functions.text import names_word
+from tabularium.functions.text import known_scale, names_word
 from tabularium.operators.selection import windows
 
 #: Phrases of questions; fixed values.
@@ -72,6 +72,18 @@ def operation_problems(question: Column, formula: Column) -> Column:
     )
 
 
+def scale_problem(expected: Column, formula: Column) -> Column:
+    """"scale" if a formula should divide by the expected factor and no factor in it does so; empty otherwise.
+
+    Factors are numbers behind / or * that are known scales or one over them; nothing is expected if the factor is null or one.
+    """
+    pattern = r"([/*])\s*([0-9][0-9.]*(?:[eE]-?[0-9]+)?)"
+    signs, numbers = (F.regexp_extract_all(formula, F.lit(pattern), F.lit(k)) for k in (1, 2))
+    factors = F.zip_with(signs, F.transform(numbers, lambda x: known_scale(x.try_cast("double"))), lambda sign, k: F.when((sign == "/") == ~k["reciprocal"], k["scale"]).otherwise(1 / k["scale"]))
+    used = F.exists(factors, lambda x: F.coalesce(F.abs(x - expected) <= 1e-5 * expected, F.lit(False)))
+    return F.when(expected.isNull() | (expected == 1) | used, "").otherwise("scale")
+
+
 def json_object(text: Column, key: str) -> Column:
     """The value of a key as text: from the object, with or without a code fence around it; salvaged if it is malformed."""
     bare = F.regexp_replace(F.regexp_replace(text, r"^\s*```(?:json)?\s*", ""), r"\s*```\s*$", "")

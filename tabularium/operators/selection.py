@@ -184,11 +184,28 @@ def capped(rows: DataFrame, per_bucket: int, total: int, order: Sequence[Column]
     return few.withColumn("position", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).where(F.col("position") <= total).drop("b")
 
 
-def nominated(scouts: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Merges nominations (question_id, table_id, bucket, position): the first of each table, and an anchor for each bucket without one."""
-    first = scouts.groupBy("question_id", "table_id", "bucket").agg(F.min("position").alias("position"))
-    missing = anchors.join(first.select("question_id", "bucket"), ["question_id", "bucket"], "left_anti")
-    return first.withColumn("source", F.lit("scout")).unionByName(missing.withColumn("source", F.lit("anchor")))
+def salvaged(lists: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """(question_id, scout, table_id, place): of each scout's list (position, table_id) the first k that are candidates, each once."""
+    first = lists.groupBy("question_id", "scout", "table_id").agg(F.min("position").alias("position")).join(known.select("question_id", "table_id"), ["question_id", "table_id"], "left_semi")
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("question_id", "scout").orderBy("position", "table_id")))
+    return placed.where(F.col("place") <= k).select("question_id", "scout", "table_id", "place")
+
+
+def nominated(scouts: DataFrame, rescues: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(question_id, place, table_id, bucket, source): what scouts nominate, by their earliest place, then rescued tables, then anchors.
+
+    scouts: as salvaged() has them; rescues: question_id, table_id, position; candidates: question_id, table_id, bucket, rank.
+    A bucket without any table gets its best candidate as anchor.
+    """
+    keys = ["question_id", "table_id"]
+    first = scouts.groupBy(*keys).agg(F.min("place").alias("at")).withColumns({"step": F.lit(0), "source": F.lit("scout")})
+    more = rescues.select(*keys, F.col("position").alias("at")).join(first, keys, "left_anti").withColumns({"step": F.lit(1), "source": F.lit("rescue")})
+    held = first.unionByName(more).join(candidates, keys)
+    missing = candidates.join(held.select("question_id", "bucket"), ["question_id", "bucket"], "left_anti")
+    anchors = missing.groupBy("question_id", "bucket").agg(F.min_by(F.struct("table_id", "rank"), "rank").alias("a")).select("question_id", "a.table_id", F.lit(0).alias("at"), F.lit(2).alias("step"), F.lit("anchor").alias("source"), "bucket", "a.rank")
+    every = held.select("question_id", "table_id", "at", "step", "source", "bucket", "rank").unionByName(anchors)
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy("step", "at", "rank", "table_id"))
+    return every.select("question_id", place.alias("place"), "table_id", "bucket", "source")
 
 
 def match_text(name: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.functions.text import is_number, known_scale, raw_scale, unit_factor
+from tabularium.operators import guards
 from tabularium.plans import calculations as calc
 from tabularium.sources.payloads import read
 
@@ -62,6 +63,16 @@ def answer_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", value.alias("x")).select("event_id", is_number(F.col("x")).alias("accepted"), F.when(is_number(F.col("x")), F.col("x")).alias("answer"))
 
 
+#: Formulas that bring stored values to a unit, or should.
+SCALED = ("df_1 / 1e6", "df_1 * 0.000001", "(df_1 + df_2) / 1000", "df_1 / 1000000000", "df_1", "df_1 * 1e3 / 1e5", "df_1/100000")
+
+
+def scale_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas for the questions of unit_scale(), held to the factor that they should divide by."""
+    formula = F.element_at(F.array(*map(F.lit, SCALED)), (F.col("o_custkey") % len(SCALED) + 1).cast("int"))
+    return unit_scale(spark, sf_dir).select("o_custkey", guards.scale_problem(F.col("divisor"), formula).alias("problem"))
+
+
 def scale_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Factors near known scales, or one over them, that each order might be multiplied by."""
     k = F.col("o_orderkey")
@@ -72,10 +83,12 @@ def scale_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", value.alias("value")).select("o_orderkey", found["scale"].alias("scale"), found["reciprocal"].alias("reciprocal"))
 
 
-QUERIES = {name: _query(form) for name, (form, _) in _FORMS.items()} | {"unit_scale": unit_scale, "scale_match": scale_match, "answer_guard": answer_guard}
+QUERIES = {name: _query(form) for name, (form, _) in _FORMS.items()} | {"unit_scale": unit_scale, "scale_check": scale_check, "scale_match": scale_match, "answer_guard": answer_guard}
+_UNIT_SCALE = """SELECT o_custkey, stored, factor, factor / stored AS divisor FROM (SELECT o_custkey, CASE WHEN largest >= 1e10 THEN 1.0::DOUBLE WHEN largest <= 1e9 THEN 1e6::DOUBLE END AS stored,
+ CASE o_custkey % 4 WHEN 0 THEN 1e6::DOUBLE WHEN 1 THEN 1e9::DOUBLE WHEN 2 THEN 1e11::DOUBLE END AS factor FROM (SELECT o_custkey, max(abs(o_totalprice) * 30000) AS largest FROM orders GROUP BY o_custkey))"""
 ORACLES = {name: f"WITH {STMT} {sql}" for name, (_, sql) in _FORMS.items()} | {
-    "unit_scale": """SELECT o_custkey, stored, factor, factor / stored AS divisor FROM (SELECT o_custkey, CASE WHEN largest >= 1e10 THEN 1.0::DOUBLE WHEN largest <= 1e9 THEN 1e6::DOUBLE END AS stored,
- CASE o_custkey % 4 WHEN 0 THEN 1e6::DOUBLE WHEN 1 THEN 1e9::DOUBLE WHEN 2 THEN 1e11::DOUBLE END AS factor FROM (SELECT o_custkey, max(abs(o_totalprice) * 30000) AS largest FROM orders GROUP BY o_custkey))""",
+    "unit_scale": _UNIT_SCALE,
+    "scale_check": f"SELECT o_custkey, CASE WHEN divisor IS NULL OR divisor = 1 OR list_contains([[1e6], [1e6], [1e3], [1e9], [], [1e-3, 1e5], [1e5]][o_custkey % 7 + 1], divisor) THEN '' ELSE 'scale' END AS problem FROM ({_UNIT_SCALE})",
     "scale_match": """WITH v AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 1 / nullif(f, 0) WHEN o_orderkey % 7 = 0 THEN CAST(o_totalprice AS DOUBLE) ELSE f END AS x FROM (SELECT o_orderkey, o_totalprice, [1e3, 1e5, 1e6, 1e9, 1e11, 1e12, 1e4, -1e6, 0.0][o_orderkey % 9 + 1]::DOUBLE * [1.0, 1.000009, 0.999992, 1.00002][o_orderkey % 4 + 1]::DOUBLE AS f FROM orders)),
  m AS (SELECT o_orderkey, s, r FROM v, (SELECT unnest([1e3, 1e5, 1e6, 1e9, 1e11, 1e12])::DOUBLE AS s), (SELECT unnest([false, true]) AS r) WHERE x > 0 AND abs(x - CASE WHEN r THEN 1 / s ELSE s END) <= 1e-5::DOUBLE * greatest(x, CASE WHEN r THEN 1 / s ELSE s END))
  SELECT o_orderkey, s AS scale, r AS reciprocal FROM orders LEFT JOIN m USING (o_orderkey)""",

@@ -136,12 +136,16 @@ def fallback_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nomination_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best of each question, and the best table of each source that has none among them."""
-    scores = _lexical(spark, sf_dir).withColumnRenamed("ticker", "bucket")
-    scouts = search.top(scores, 10, rank="position").select("question_id", "table_id", "bucket", "position")
-    anchors = search.top(scores, 1, by=("question_id", "bucket"), rank="position").select("question_id", "table_id", "bucket", "position")
-    out = selection.nominated(scouts, anchors)
-    return out.select("question_id", "bucket", "table_id", F.col("position").cast("long").alias("position"), "source")
+    """Two scouts name the twelve best tables in turn, some twice and some that are no candidates; four of each are kept."""
+    best = _candidates(spark, sf_dir, 20)
+    top = best.where("rank <= 12").withColumn("scout", F.col("rank") % 2)
+    named = top.select("question_id", "scout", F.floor(F.col("rank") / 2).alias("position"), "table_id")
+    again = top.select("question_id", "scout", (F.col("rank") + 20).cast("long").alias("position"), "table_id")
+    unknown = top.where("rank <= 2").select("question_id", "scout", F.lit(0).cast("long").alias("position"), (-F.col("table_id") - 1).alias("table_id"))
+    scouts = selection.salvaged(named.unionByName(again).unionByName(unknown), best, 4)
+    rescues = selection.rescued(best, _labels(spark, sf_dir).select("table_id", "label")).select("question_id", "table_id", "position")
+    out = selection.nominated(scouts, rescues, best.select("question_id", "table_id", "bucket", "rank"))
+    return out.select("question_id", F.col("place").cast("long").alias("place"), "table_id", "bucket", "source")
 
 
 def selection_materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,6 +252,9 @@ _SEEN = lambda k: rf"""seen AS (SELECT question_id, table_id, ticker AS bucket,
  shared AS (SELECT *, coalesce(overlap::DOUBLE / nullif(len(lt), 0), 0) AS label_share, coalesce(overlap::DOUBLE / nullif(len(qt), 0), 0) AS question_share FROM strong)"""
 _SUMMARY = rf"""ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id, table_id ORDER BY exact DESC, overlap DESC, label_share DESC, CAST(row_position AS VARCHAR)) AS n, least(sum(exact) OVER (PARTITION BY question_id, table_id), 3) AS x FROM shared),
  rows_of AS (SELECT question_id, table_id, CASE WHEN n <= x THEN 'exact_row' ELSE 'strong_row' END AS kind, CAST(CASE WHEN n <= x THEN n ELSE n - x END AS BIGINT) AS n, row_position FROM ranked WHERE n <= x + 5)"""
+_RESCUED = """best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, table_id ORDER BY exact DESC, overlap DESC, label_share DESC, question_share DESC) AS i FROM shared WHERE len(qt) > 0 AND len(lt) > 0) WHERE i = 1 AND exact = 1),
+ o AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, label_share DESC, question_share DESC, rank) AS p FROM best),
+ k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY p) AS position FROM (SELECT *, row_number() OVER (PARTITION BY question_id, bucket ORDER BY p) AS b FROM o) WHERE b <= 2)"""
 _JSON_ROW = "length(CAST(to_json({'row': row_position + 2, 'label': l}) AS VARCHAR))"
 _FORM = lambda key: f"[{', '.join(repr(x) for x in FORMS)}][{key} % {len(FORMS)} + 1]"
 _COMPANY = lambda key, letter: f"{_FORM(key)} || 'Việt ' || {letter} || ' ' || CAST({key} AS VARCHAR) || [{', '.join(repr(x) for x in TAILS)}][{key} % {len(TAILS)} + 1]"
@@ -288,12 +295,16 @@ ORACLES = {
     "fallback_order": f"""WITH {_LEXICAL}, h AS (SELECT question_id, table_id, CASE WHEN table_id % 3 <> 0 THEN rank // 4 END AS r, CASE WHEN table_id % 5 <> 0 AND table_id % 7 <> 0 THEN score END AS s FROM {_BEST(20)})
  SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY r NULLS LAST, s DESC NULLS LAST, CAST(table_id AS VARCHAR)) AS place, table_id FROM h""",
     "company_strip": f"""WITH RECURSIVE n AS (SELECT c_custkey AS key, {_SPACED.format(_COMPANY('c_custkey', 'c_mktsegment[1]'))} AS name FROM customer), {_BARE('n')} SELECT key AS c_custkey, bare FROM bare""",
-    "lexical_rescue": f"""WITH {_LEXICAL}, {_LABELS}, {_SEEN(20)}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, table_id ORDER BY exact DESC, overlap DESC, label_share DESC, question_share DESC) AS i FROM shared WHERE len(qt) > 0 AND len(lt) > 0) WHERE i = 1 AND exact = 1),
- o AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, label_share DESC, question_share DESC, rank) AS p FROM best),
- k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY p) AS position FROM (SELECT *, row_number() OVER (PARTITION BY question_id, bucket ORDER BY p) AS b FROM o) WHERE b <= 2)
+    "lexical_rescue": f"""WITH {_LEXICAL}, {_LABELS}, {_SEEN(20)}, {_RESCUED}
  SELECT question_id, position, bucket, table_id, overlap, round(label_share, 6) AS label_share, round(question_share, 6) AS question_share FROM k WHERE position <= 8""",
-    "nomination_merge": f"""WITH {_LEXICAL}, s AS (SELECT question_id, ticker AS bucket, table_id, rank AS position FROM {_BEST(10)}), a AS (SELECT question_id, ticker AS bucket, table_id, rank AS position FROM {_rank('lexical', 'question_id, ticker')} WHERE rank = 1)
- SELECT *, 'scout' AS source FROM s UNION ALL SELECT *, 'anchor' FROM a WHERE (question_id, bucket) NOT IN (SELECT (question_id, bucket) FROM s)""",
+    "nomination_merge": f"""WITH {_LEXICAL}, {_LABELS}, {_SEEN(20)}, {_RESCUED}, x AS (SELECT * FROM seen WHERE rank <= 12),
+ n AS (SELECT question_id, rank % 2 AS scout, rank // 2 AS p, table_id FROM x UNION ALL SELECT question_id, rank % 2, rank + 20, table_id FROM x UNION ALL SELECT question_id, rank % 2, 0, -table_id - 1 FROM x WHERE rank <= 2),
+ s AS (SELECT *, row_number() OVER (PARTITION BY question_id, scout ORDER BY p, table_id) AS place FROM (SELECT question_id, scout, table_id, min(p) AS p FROM n WHERE (question_id, table_id) IN (SELECT (question_id, table_id) FROM seen) GROUP BY ALL)),
+ f AS (SELECT question_id, table_id, min(place) AS a, 0 AS step, 'scout' AS source FROM s WHERE place <= 4 GROUP BY ALL),
+ g AS (SELECT * FROM f UNION ALL SELECT question_id, table_id, position, 1, 'rescue' FROM k WHERE position <= 8 AND (question_id, table_id) NOT IN (SELECT (question_id, table_id) FROM f)),
+ h AS (SELECT g.*, bucket, rank FROM g JOIN seen USING (question_id, table_id)),
+ e AS (SELECT * FROM h UNION ALL SELECT question_id, arg_min(table_id, rank), 0, 2, 'anchor', bucket, min(rank) FROM seen WHERE (question_id, bucket) NOT IN (SELECT (question_id, bucket) FROM h) GROUP BY question_id, bucket)
+ SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY step, a, rank, table_id) AS place, table_id, bucket, source FROM e""",
     "selection_materialize": f"WITH {_LEXICAL} SELECT question_id, table_id, round((count(*) OVER (PARTITION BY question_id) - rank + 1)::DOUBLE / count(*) OVER (PARTITION BY question_id), 6) AS selection_score FROM {_BEST(18)}",
     "coverage_audit": f"WITH {_LEXICAL} SELECT question_id, term FROM ask WHERE (question_id, term) NOT IN (SELECT (question_id, term) FROM {_BEST(10)} JOIN post USING (table_id))",
     "candidate_keys": f"""WITH {_LEXICAL}, t AS (SELECT *, min(rank) OVER (PARTITION BY question_id, ticker) AS f, row_number() OVER (PARTITION BY question_id, ticker ORDER BY rank) AS t FROM {_BEST(20)})
