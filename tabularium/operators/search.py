@@ -66,9 +66,11 @@ def bm25_scores(rows: DataFrame, questions: DataFrame, scope: str = "ticker") ->
     """
     terms = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("question")))).alias("term"))
     every = postings(rows, terms, scope)
-    df = every.groupBy(scope, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("words"))
-    sizes = df.where(F.col("term") == SELF).select(scope, F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("mean"))
-    weighed = every.where(F.col("term") != SELF).join(df.select(scope, "term", "df"), [scope, "term"]).join(sizes, scope)
+    # all three branches take the same columns of every, and no filter of a branch goes below its exchange
+    df = every.groupBy(scope, "term").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"), F.sum("length").alias("words"))
+    own = lambda c: F.max(F.when(F.col("term") == SELF, F.col(c)))
+    sizes = df.groupBy(scope).agg(own("df").alias("n"), (own("words") / own("df")).alias("mean"))
+    weighed = every.join(df.select(scope, "term", "df"), [scope, "term"]).join(sizes, scope)
     weighed = weighed.select(scope, "table_id", "term", bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean")).alias("weight"))
     dealt = weighed.repartition("table_id")
     return dealt.join(terms, "term").groupBy("question_id", scope, "table_id").agg(F.round(F.sum("weight"), 9).alias("score"))
