@@ -16,7 +16,9 @@ all segmentations).
 
 Defined results: null and empty texts have no spans; repeated rows have a row
 each; null ids are kept; an empty table gives no rows; other columns are
-ignored. Texts are looked at as a whole, whatever their length.
+ignored. Base spans of different kinds may overlap and all stay; added spans
+overlap none. Of segmentations that score alike that whose last entity starts
+first is taken, and of kinds the first listed. Texts are looked at as a whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -388,11 +390,11 @@ def _said(data: bytes, spans: list[tuple[int, int, int]], ascii_only: bool) -> s
     return ",".join(f"{KINDS[k]}:{at(a)}:{at(b)}" for k, a, b in spans)
 
 
-_SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+_SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", weights: np.ndarray | None = None) -> DataFrame:
-    """A row per document: doc_id, the number of base spans by kind, the digest of the base spans, all spans."""
+    """A row per document: doc_id, the number of base spans by kind, the digest of the base spans, all spans and their number."""
     sent = docs.sparkSession.sparkContext.broadcast(fitted() if weights is None else weights)
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,14 +404,14 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", weights: n
             out = []
             for data in byte_values(batch.column(1)):
                 if not data or not TRIGGER.search(data):
-                    out.append((0, 0, 0, 0, nothing, ""))
+                    out.append((0, 0, 0, 0, nothing, "", 0))
                     continue
                 base, every = find(sent.value, data)
                 plain = data.isascii()
                 counts = [sum(k == x[0] for x in base) for k in range(len(KINDS))]
-                out.append((*counts, hashlib.sha256(_said(data, base, plain).encode()).hexdigest(), _said(data, every, plain)))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
+                out.append((*counts, hashlib.sha256(_said(data, base, plain).encode()).hexdigest(), _said(data, every, plain), len(every)))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, _SCHEMA)

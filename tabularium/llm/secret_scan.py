@@ -13,7 +13,8 @@ Everything is computed within a row; nothing is shuffled.
 
 Defined results: null and empty texts have no spans; repeated rows have a row
 each; null ids are kept; an empty table gives no rows; other columns are
-ignored by scan() and kept by redact().
+ignored by scan() and kept by redact(). Base spans of different kinds may
+overlap and all stay, by start, then kind; redact() marks what overlaps once.
 """
 
 from __future__ import annotations

@@ -49,6 +49,7 @@ def test_query_against_brute_force(spark, sf_dir):
         assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k) for x in base) for k in PATTERNS]
         assert set(base) <= set(filter(None, r.spans.split(",")))
+        assert r.n_spans == len(r.spans.split(",")) - (r.spans == "")
 
 
 def test_held_out_accuracy(weights):
