@@ -75,4 +75,23 @@ x AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1
 y AS (SELECT doc_id, {_SAID} AS spans FROM every GROUP BY doc_id)
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(said, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)"""
 
-ORACLES = {"op2_line_quality": LINE_QUALITY, "op4_warc": WARC, "op5_decontamination": DECONTAMINATION, "op7_secret_scan": SECRETS}
+_DRAW = "CAST('0x' || substring(h, {0}, 8) AS BIGINT)"
+_CUT_AT = f"{_DRAW.format(1)} % (n + 1) AS x, {_DRAW.format(9)} % (n + 1) AS y, {_DRAW.format(17)} % 100 AS z, {_DRAW.format(25)} % 100 AS q"
+FILL_MIDDLE = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+c AS (SELECT *, {_CUT_AT} FROM d),
+f AS (SELECT *, least(x, y) AS a, greatest(x, y) AS b, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR z >= 90 THEN 'plain' WHEN q < 20 THEN 'spm' ELSE 'psm' END AS form FROM c),
+p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(prefix || middle || suffix) AS restored_sha256 FROM p"""
+
+_TERMS = rf"regexp_extract_all({_small('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+LEXICAL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents), q AS (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+s AS (SELECT count(*) AS n_docs, sum(len(w)) AS n_terms FROM d WHERE len(w) > 0),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+g AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM t, s GROUP BY term),
+m AS (SELECT r, doc_id, CAST(25 + (75 * len(w) * n_docs) // n_terms AS BIGINT) AS m FROM d, s WHERE len(w) > 0),
+x AS (SELECT item_id, r, any_value(doc_id) AS doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN t USING (term) JOIN g USING (term) JOIN m USING (r) GROUP BY item_id, r),
+y AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT * FROM y WHERE rank <= 10"""
+
+ORACLES = {"op2_line_quality": LINE_QUALITY, "op4_warc": WARC, "op5_decontamination": DECONTAMINATION, "op7_secret_scan": SECRETS, "op12_fill_middle": FILL_MIDDLE, "op13_lexical_search": LEXICAL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm import attention_lm, decontam, license_scan, line_quality, packing, pii, secret_scan, simhash, tool_chat, warc
+from tabularium.llm import attention_lm, decontam, fill_middle, hilbert, lexical, license_scan, line_quality, packing, pii, secret_scan, simhash, tool_chat, warc
 from tabularium.llm.common import new_path, read
 from tabularium.llm.oracles import ORACLES  # noqa: F401
 
@@ -57,6 +57,22 @@ def op10_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("conv").cast("long").alias("conv_id"), F.col("call").alias("call_id"), "turn", "name", "level", "result_turn", "status", F.size("errors").cast("long").alias("n_errors"), F.sha2("record", 256).alias("record_sha256"))
 
 
+def op11_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = hilbert.described(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars"))
+    found = hilbert.sharded(docs, ["source", "lang", "n_chars", "doc_id"], 24, "rows", F.col("size"), ties=["text_hash", "doc_id"])
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.examples(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    rebuilt = F.sha2(fill_middle.restored("form", "output"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), rebuilt.alias("restored_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_quality": op2_line_quality,
@@ -68,5 +84,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_pii": op9_pii,
     "op10_tool_chat": op10_tool_chat,
+    "op11_hilbert_shards": op11_hilbert_shards,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_lexical_search": op13_lexical_search,
 }
-
