@@ -3,7 +3,7 @@
 Calls and results meet in a hash join on conversation and identifier. Each
 call gets a level, the length of the longest chain of calls that it waits
 for, so that ordering by level is a topological order; calls in or behind a
-cycle have none. Conversations of at most MOST calls are ordered in one pass
+cycle have none. Conversations whose identifiers take MOST_BYTES at most are ordered in one pass
 over their rows; in larger ones chains of calls that need one other are jumped
 over by doubling, and rounds over all other calls in parallel settle those whose
 needs are settled. Arguments are validated
@@ -14,7 +14,7 @@ Defined results: of several calls (or results) with the same identifier the
 first by turn counts, and the status says so; calls without identifier are
 kept, unlinked; results without call are kept with status "no call"; unknown
 needs are listed and not waited for; null arguments are invalid JSON, and so are
-those with half a surrogate pair or nested deeper than Python reads; tools
+those with half a surrogate pair or nested more than DEPTH deep; tools
 without schema take anything; empty tables give no rows; other columns are
 ignored.
 """
@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 
 from tabularium.llm.common import discard, staged
 
-#: Calls of a conversation that one task orders.
-MOST = 100_000
+#: Bytes of identifiers (16 more for each) of a conversation that one task orders: some million calls.
+MOST_BYTES = 1 << 26
+#: How deep arguments may be nested.
+DEPTH = 100
 
 
 def canonical(value: object) -> str:
@@ -51,6 +53,14 @@ def canonical(value: object) -> str:
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def depth(value: object) -> int:
+    """How many lists and objects lie in one another."""
+    n, now = 0, [value]
+    while now := [x for x in now if isinstance(x, (list, dict))]:
+        n, now = n + 1, [y for x in now for y in (x if isinstance(x, list) else x.values())]
+    return n
+
+
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -166,9 +176,10 @@ def _levels_large(calls: DataFrame) -> DataFrame:
     return calls.select("conv", "call").join(out.unionByName(along), ["conv", "call"], "left").select("conv", "call", F.col("level").cast("int").alias("level"))
 
 
-def levels(calls: DataFrame, most: int = MOST) -> DataFrame:
+def levels(calls: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """(conv, call, level) for calls (conv, call, needs) whose identifiers are unique."""
-    sizes = calls.groupBy("conv").agg(F.count(F.lit(1)).alias("n"))
+    needed = F.aggregate("needs", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 16)
+    sizes = calls.groupBy("conv").agg(F.sum(F.octet_length("call") + 16 + needed).alias("n"))
     large = sizes.where(F.col("n") > most).select("conv")
     if large.isEmpty():
         return _levels_small(calls)
@@ -178,7 +189,7 @@ def levels(calls: DataFrame, most: int = MOST) -> DataFrame:
 _OUT = "conv string, call string, turn long, name string, level int, result_turn long, status string, errors array<string>, record string"
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping], most: int = MOST) -> DataFrame:
+def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping], most: int = MOST_BYTES) -> DataFrame:
     """A row per call, and per result without call.
 
     calls: conv, call (identifiers), turn, name, arguments (JSON), needs (identifiers of calls);
@@ -201,19 +212,22 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping], m
     def one(x: dict) -> tuple:
         if x["n_calls"] is None:
             return (x["conv"], x["call"], None, None, None, x["result_turn"], "no call", [], canonical({"id": x["call"], "result": x["content"]}))
-        errors, arguments = [], None
+        errors, text = [], "null"
         try:
             arguments = json.loads(x["arguments"] if x["arguments"] is not None else "")
-            canonical(arguments).encode()
-            if not errors and x["name"] in schemas:
+            if depth(arguments) > DEPTH:
+                raise ValueError("nested too deep")
+            if x["name"] in schemas:
                 errors = violations(arguments, schemas[x["name"]])
                 "".join(errors).encode()
+            (text := canonical(arguments)).encode()
         except (ValueError, RecursionError):  # no JSON, no characters of Unicode, or nested too deep
-            arguments, errors = None, ["$: no JSON"]
+            errors, text = ["$: no JSON"], "null"
         loose = x["conv"] is None or x["call"] is None
         status = "no identifier" if loose else "cycle" if x["level"] is None else "invalid" if errors else "several calls" if x["n_calls"] > 1 else "no result" if x["n_results"] is None else "several results" if x["n_results"] > 1 else "ok"
-        record = {"id": x["call"], "name": x["name"], "arguments": arguments, "needs": sorted(set(x["needs"])), "level": x["level"], "result": x["content"]}
-        return (x["conv"], x["call"], x["turn"], x["name"], x["level"], x["result_turn"], status, errors, canonical(record))
+        rest = {"id": x["call"], "name": x["name"], "needs": sorted(set(x["needs"])), "level": x["level"], "result": x["content"]}
+        record = f'{{"arguments":{text},{canonical(rest)[1:]}'  # the first of the sorted keys, as it was written when it was checked
+        return (x["conv"], x["call"], x["turn"], x["name"], x["level"], x["result_turn"], status, errors, record)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _OUT.split(", ")]

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import time
 import random
 
 import pytest
@@ -30,7 +31,7 @@ def test_query_against_brute_force(spark, sf_dir):
     assert got == wanted
 
 
-@pytest.mark.parametrize("most", [tool_chat.MOST, 3])
+@pytest.mark.parametrize("most", [tool_chat.MOST_BYTES, 60])
 def test_levels_of_any_graph(spark, most):
     rng = random.Random(8)
     rows, wanted = [], {}
@@ -115,3 +116,26 @@ def test_a_long_chain(spark):
     got = {(r.conv, r.call): r.level for r in tool_chat.levels(frame, 5).collect()}
     assert all(got["a", str(k)] == k for k in range(n))
     assert [got["a", c] for c in ("x", "y", "z", "both", "lost", "after")] == [None, None, None, 2001, None, 2002] and got["b", "1"] == 0
+
+
+def test_arguments_of_any_depth(spark):
+    """Up to DEPTH they are kept, beyond it refused; no depth ends the job."""
+    opened = {"list": ("[", "]"), "object": ('{"a":', "}")}
+    rows = [(kind, str(d), d, "t", a * d + "1" + b * d, None) for kind, (a, b) in opened.items() for d in [*range(1, 1101), 20_000]]
+    for r in tool_chat.link(spark.createDataFrame(rows, CALLS).repartition(8), spark.createDataFrame([], RESULTS), {"t": {}}).collect():
+        (a, b), d = opened[r.conv], int(r.call)
+        text = a * d + "1" + b * d if d <= tool_chat.DEPTH else "null"
+        assert r.record.startswith(f'{{"arguments":{text},"id":"{d}"') and r.status == ("no result" if d <= tool_chat.DEPTH else "invalid")
+
+
+def test_depth():
+    assert [tool_chat.depth(x) for x in (1, [], {}, [[], {"a": [1]}], {"a": 1})] == [0, 1, 1, 3, 1]
+
+
+def test_a_ladder_takes_one_pass(spark):
+    """Each call needs the two before it, so that no chain can be jumped over."""
+    n = 100_001
+    rows = spark.range(n).selectExpr("'a' as conv", "cast(id as string) as call", "filter(array(cast(id - 1 as string), cast(id - 2 as string)), x -> x not like '-%') as needs")
+    began = time.time()
+    assert tool_chat.levels(rows).where("level = cast(call as int)").count() == n
+    assert time.time() - began < 60
