@@ -53,24 +53,40 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def _spans(pattern: str, rank: int, keep: str = "true") -> str:
-    """(doc_id, rank, a, b, found, value) of all matches."""
+def _spans(pattern: str, rank: int, keep: str = "true", source: str = "d", key: str = "doc_id") -> str:
+    """(key, rank, a, b, found) of all matches."""
     p = _quoted(pattern)
     value = f"regexp_extract_all(t, {p}, 2)" if "(" in pattern else f"regexp_extract_all(t, {p})"
-    return f"""SELECT doc_id, {rank} AS rank, a, a + length(found) AS b, found FROM (SELECT doc_id, f[k] AS found, v[k] AS val, CAST(list_sum(list_transform(s[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS a
-  FROM (SELECT doc_id, f, v, s, unnest(range(1, len(f) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS f, {value} AS v, regexp_split_to_array(t, {p}) AS s FROM d WHERE regexp_matches(t, {p})))) WHERE {keep}"""
+    return f"""SELECT {key}, {rank} AS rank, a, a + length(found) AS b, found FROM (SELECT {key}, f[k] AS found, v[k] AS val, CAST(list_sum(list_transform(s[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+  FROM (SELECT {key}, f, v, s, unnest(range(1, len(f) + 1)) AS k FROM (SELECT {key}, regexp_extract_all(t, {p}) AS f, {value} AS v, regexp_split_to_array(t, {p}) AS s FROM {source} WHERE regexp_matches(t, {p})))) WHERE {keep}"""
+
+
+def _parted(x: str) -> str:
+    """Words that stand by themselves next to a separator, as spaces; twice, since two may share what stands between them."""
+    for word in secret_scan.PARTING * 2:
+        blank = " " * len(word)
+        x = f"regexp_replace(regexp_replace({x}, '(^|[^A-Za-z0-9])(?i:{word})({secret_scan.SEPARATOR})', '\\1{blank}\\2', 'g'), '({secret_scan.SEPARATOR})(?i:{word})([^A-Za-z0-9]|$)', '\\1{blank}\\2', 'g')"
+    return x
 
 
 _BARE = {k: p.replace("(?<![0-9a-f])", "").replace("(?<![A-Za-z0-9+/_=-])", "") for k, p in (("hex", secret_scan.HEX), ("run", secret_scan.RUN))}
 _ALLOWED = " OR ".join(f"regexp_matches(found, {_quoted(p)})" for p in secret_scan.ALLOWED)
 _SAID = "coalesce(string_agg(['assign', 'access', 'hex', 'entropy'][rank + 1] || ':' || a || ':' || b, ',' ORDER BY a, rank, b), '')"
+_W = secret_scan.WINDOW
 SECRETS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 base AS ({_spans(secret_scan.ASSIGN, 0, 'length(val) >= 6')} UNION ALL {_spans(secret_scan.ACCESS, 1)} UNION ALL {_spans(_BARE['hex'], 2)}),
-runs AS (SELECT doc_id, a, found, CASE WHEN regexp_full_match(found, '[0-9a-fA-F]+') THEN {secret_scan.HEX_BITS} ELSE {secret_scan.OTHER_BITS} END AS bits FROM ({_spans(_BARE['run'], 3)}) WHERE regexp_matches(found, '[0-9]') AND regexp_matches(found, '[A-Za-z]') AND NOT ({_ALLOWED})),
-wins AS (SELECT doc_id, a, bits, i, substring(found, i + 1, 20) AS w FROM (SELECT *, unnest(range(0, length(found) - 19)) AS i FROM runs)),
-hot AS (SELECT doc_id, a, i FROM wins WHERE regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]') AND log2(20) - list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: (20 - length(replace(w, c, ''))) * log2(20 - length(replace(w, c, ''))))) / 20 > bits),
-added AS (SELECT doc_id, 3 AS rank, a + min(i) AS a, a + max(i) + 20 AS b FROM hot GROUP BY doc_id, a),
-every AS (SELECT doc_id, rank, a, b FROM base UNION ALL SELECT * FROM added e WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = e.doc_id AND e.a < x.b AND x.a < e.b)),
+ends AS (SELECT doc_id, a, coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM base UNION ALL SELECT doc_id, length(t), coalesce(max(b), 0) FROM d LEFT JOIN base USING (doc_id) GROUP BY doc_id, t),
+pieces AS (SELECT doc_id, off, {_parted('substring(t, off + 1, a - off)')} AS t FROM ends JOIN d USING (doc_id) WHERE a > off),
+runs AS (SELECT doc_id, off + a AS a, found, CASE WHEN regexp_full_match(found, '[0-9a-fA-F]+') THEN {secret_scan.HEX_BITS} ELSE {secret_scan.OTHER_BITS} END AS bits FROM ({_spans(_BARE['run'], 3, source='pieces', key='doc_id, off')})
+  WHERE (regexp_matches(found, '[0-9]') AND regexp_matches(found, '[A-Za-z]') OR regexp_matches(found, '[A-Z]') AND regexp_matches(found, '[a-z]')) AND NOT ({_ALLOWED})),
+wins AS (SELECT doc_id, a, found, bits, i, substring(found, i + 1, {_W}) AS w FROM (SELECT *, unnest(range(0, length(found) - {_W - 1})) AS i FROM runs)),
+hot AS (SELECT doc_id, a, found, i FROM wins WHERE log2({_W}) - list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: ({_W} - length(replace(w, c, ''))) * log2({_W} - length(replace(w, c, ''))))) / {_W} >
+  CASE WHEN regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]') THEN bits WHEN NOT regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Z]') AND regexp_matches(w, '[a-z]') THEN {secret_scan.LETTER_BITS} END),
+marked AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, a ORDER BY i) AS g FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, a ORDER BY i) <= {_W} THEN 0 ELSE 1 END AS apart FROM hot)),
+harm AS (SELECT doc_id, off AS run, a AS h1, b AS h2 FROM ({_spans(secret_scan.HARMLESS, 0, source='(SELECT DISTINCT doc_id, a AS off, found AS t FROM hot)', key='doc_id, off')})),
+stretches AS (SELECT doc_id, a AS run, min(i) AS s, max(i) + {_W} AS e FROM marked GROUP BY doc_id, a, g),
+added AS (SELECT doc_id, 3 AS rank, run + s AS a, run + e AS b FROM stretches x WHERE NOT EXISTS (SELECT 1 FROM harm h WHERE h.doc_id = x.doc_id AND h.run = x.run AND h1 < e + {_W} AND h2 > s - {_W})),
+every AS (SELECT doc_id, rank, a, b FROM base UNION ALL SELECT doc_id, rank, a, b FROM added),
 x AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2, {_SAID} AS said FROM base GROUP BY doc_id),
 y AS (SELECT doc_id, {_SAID} AS spans FROM every GROUP BY doc_id)
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(said, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)"""
