@@ -105,6 +105,17 @@ def fused(dense: DataFrame, lexical: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("rrf_score"), best, "table_id")))
 
 
+def metadata_conflicts(dense: DataFrame, lexical: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """(question_id, table_id, conflicts): of tables that both lists hold, the fields in which they differ; nulls are equal to nulls.
+
+    Both lists describe a table by themselves; where they differ one of them is stale, and a fused row would be right for neither.
+    """
+    keys = ["question_id", "table_id"]
+    other = lexical.select(*keys, *(F.col(f).alias(f"other_{f}") for f in fields))
+    differ = F.array_compact(F.array(*(F.when(~F.col(f).eqNullSafe(F.col(f"other_{f}")), F.lit(f)) for f in fields)))
+    return dense.select(*keys, *fields).join(other, keys).select(*keys, F.concat_ws(",", differ).alias("conflicts"))
+
+
 def interleaved(rows: DataFrame, total: int, bucket: str = "ticker") -> DataFrame:
     """Takes one row of each bucket in turn: rows have question_id, the bucket, bucket_rank and table_id; a table counts once."""
     first = Window.partitionBy("question_id", "table_id").orderBy("bucket_rank", bucket)

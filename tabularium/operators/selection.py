@@ -148,15 +148,24 @@ def diverse(rows: DataFrame, limit: int, order: Sequence[Column], group: str = "
 MATCH_TYPES = ("explicit_ticker", "exact_ticker", "exact_alias", "normalized_alias", "collision", "fuzzy_company_name")
 
 
+def _match_order() -> list[Column]:
+    return [F.col("priority"), F.desc("score"), F.desc(F.char_length("matched_text")), F.col("entity"), F.col("matched_text")]
+
+
+def preferred(matches: DataFrame) -> DataFrame:
+    """The best match of each entity of a question, with the priority of its kind."""
+    kind = F.element_at(F.create_map(*(F.lit(x) for k, name in enumerate(MATCH_TYPES) for x in (name, k))), F.col("match_type"))
+    best = Window.partitionBy("question_id", "entity").orderBy(*_match_order())
+    return matches.withColumn("priority", kind).withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
+
+
 def shortlisted(matches: DataFrame, limit: int = 15) -> DataFrame:
     """(question_id, position, entity, match_type, status): the companies that a question may mean, best kind of match first.
 
     matches: question_id, entity, match_type, score, matched_text. Fuzzy matches fill what is left, one of each text in turn.
     Status: "too many" if more than limit match exactly (then none are safe to drop); else "ok".
     """
-    kind = F.element_at(F.create_map(*(F.lit(x) for k, name in enumerate(MATCH_TYPES) for x in (name, k))), F.col("match_type"))
-    order = [F.col("priority"), F.desc("score"), F.desc(F.char_length("matched_text")), F.col("entity"), F.col("matched_text")]
-    own = matches.withColumn("priority", kind).withColumn("n", F.row_number().over(Window.partitionBy("question_id", "entity").orderBy(*order))).where("n = 1").drop("n")
+    order, own = _match_order(), preferred(matches)
     sure = own.where("match_type <> 'fuzzy_company_name'").withColumn("position", F.row_number().over(Window.partitionBy("question_id").orderBy(*order)))
     counts = sure.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_sure"), F.count_if(F.col("priority") < 4).alias("n_exact"))
     tail = diverse(own.where("match_type = 'fuzzy_company_name'"), limit, order).join(counts.select("question_id", "n_sure"), "question_id", "left")

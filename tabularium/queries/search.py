@@ -89,6 +89,19 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fused(dense, lexical).select("question_id", F.col("rank").cast("long").alias("rank"), "table_id", F.col("dense_rank").cast("long").alias("dense_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"), F.round("rrf_score", 9).alias("rrf_score"))
 
 
+def fusion_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused rows with their metadata, or the fields in which the two lists disagree: the lexical list is stale for every seventh table, and lacks a type for every 31st."""
+    about = payloads(spark, sf_dir).select("table_id", *search.FIELDS)
+    stale = about.withColumn("year", F.when(F.col("table_id") % 7 == 0, F.col("year") - 1).otherwise(F.col("year"))).withColumn("table_type", F.when(F.col("table_id") % 31 != 0, F.col("table_type")))
+    dense = search.top(_dense(spark, sf_dir), 40, rank="dense_rank").select("question_id", "table_id", "dense_rank")
+    lexical = search.top(_lexical(spark, sf_dir), 40, rank="bm25_rank").select("question_id", "table_id", "bm25_rank")
+    checked = search.metadata_conflicts(dense.join(about, "table_id"), lexical.join(stale, "table_id"))
+    out = search.fused(dense, lexical).join(checked, ["question_id", "table_id"], "left").join(about, "table_id", "left")
+    conflicts = F.coalesce("conflicts", F.lit(""))
+    known = [F.when(conflicts == "", F.col(f)).alias(f) for f in ("year", "table_type")]
+    return out.select("question_id", F.col("rank").cast("long").alias("rank"), "table_id", conflicts.alias("conflicts"), F.when(conflicts != "", "conflict").otherwise("ok").alias("status"), *known)
+
+
 def balanced_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = search.top(_lexical(spark, sf_dir), 80, by=("question_id", "ticker"), rank="bucket_rank")
     out = search.interleaved(ranked, 80)
@@ -123,7 +136,7 @@ def _rank(source: str, by: str = "question_id") -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, table_id) AS rank FROM {source})"
 
 
-QUERIES = {"metadata_filter": metadata_filter, "token_fold": token_fold, "filter_relax": filter_relax, "bm25_topk": bm25_topk, "dense_topk": dense_topk, "rrf_fusion": rrf_fusion, "balanced_interleave": balanced_interleave, "index_search": index_search}
+QUERIES = {"metadata_filter": metadata_filter, "token_fold": token_fold, "filter_relax": filter_relax, "bm25_topk": bm25_topk, "dense_topk": dense_topk, "rrf_fusion": rrf_fusion, "balanced_interleave": balanced_interleave, "index_search": index_search, "fusion_metadata": fusion_metadata}
 
 ORACLES = {
     "metadata_filter": f"SELECT table_id, ticker, year, report_type, table_type FROM {PAYLOADS} p WHERE ticker IN ('src1', 'src3', 'src7') AND year IN (2016, 2017, 2021) AND report_type IN ('en', 'fr')",
@@ -139,3 +152,8 @@ q AS (SELECT question_id, ceil(80.0 / count(DISTINCT ticker)) AS quota FROM r GR
 SELECT * FROM (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY bucket_rank, ticker, table_id) AS position, ticker, bucket_rank, table_id FROM r JOIN q USING (question_id) WHERE bucket_rank <= quota) WHERE position <= 80""",
 }
 ORACLES["index_search"] = ORACLES["bm25_topk"]
+ORACLES["fusion_metadata"] = f"""WITH {_LEXICAL}, {_DENSE}, l AS (SELECT question_id, table_id, rank AS bm25_rank FROM {_rank('lexical')} WHERE rank <= 40), d AS (SELECT question_id, table_id, rank AS dense_rank FROM {_rank('dense')} WHERE rank <= 40),
+f AS (SELECT question_id, table_id, dense_rank, bm25_rank, round(coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + bm25_rank), 0), 12) AS s FROM d FULL JOIN l USING (question_id, table_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, least(coalesce(dense_rank, 1000000000), coalesce(bm25_rank, 1000000000)), table_id) AS rank,
+  CASE WHEN dense_rank IS NOT NULL AND bm25_rank IS NOT NULL THEN concat_ws(',', CASE WHEN table_id % 7 = 0 THEN 'year' END, CASE WHEN table_id % 31 = 0 THEN 'table_type' END) ELSE '' END AS conflicts FROM f)
+SELECT question_id, rank, table_id, conflicts, CASE WHEN conflicts = '' THEN 'ok' ELSE 'conflict' END AS status, CASE WHEN conflicts = '' THEN year END AS year, CASE WHEN conflicts = '' THEN table_type END AS table_type FROM r LEFT JOIN {PAYLOADS} p USING (table_id)"""
