@@ -27,17 +27,15 @@ the result needs itself is refused before any work (the query selects its column
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabularium.llm.common import discard, staged
+from tabularium.llm.common import discard, numbered, staged
 
 #: Bits of a dimension, and buckets of the grid by which numbers are counted.
 BITS, GRID = 5, 1 << 12
@@ -145,38 +143,6 @@ def curve(df: DataFrame, dims: Sequence[str], bits: int = BITS, bounds: list[lis
     return place(*(cell(_sort_key(df, d), most) for d, most in zip(dims, bounds, strict=True)))
 
 
-def numbered(df: DataFrame, order: Sequence[str], weight: Column | None = None) -> tuple[DataFrame, int, int]:
-    """Rows with `rank` (from 0, in the order of the columns) and `bytes_before` (the sum of weights of rows before); how many, and the sum of weights.
-
-    The rows are written to the shared folder, so that counts and numbers come from the same partitions.
-    """
-    spark = df.sparkSession
-    rows = df.withColumns({"_weight": (F.lit(0) if weight is None else weight).cast("long"), "_place": F.monotonically_increasing_id()})
-    sort = [F.col(c).asc_nulls_first() for c in (*order, "_place")]
-    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in ("_part", "rank", "bytes_before"))])
-    at = rows.columns.index("_weight")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, n, total = TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
-            weights = batch.column(at).to_numpy()
-            upto = total + np.cumsum(weights)
-            new = [np.full(len(weights), part), np.arange(n, n + len(weights)), upto - weights]
-            n, total = n + len(weights), int(upto[-1]) if len(upto) else total
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in new)], schema.names)
-
-    written = staged(rows.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(run, schema), "sorted")
-    parts = sorted(written.groupBy("_part").agg(F.count("*").alias("n"), F.sum("_weight").alias("w")).collect())  # a row per partition
-    begins, n, total = [], 0, 0
-    for r in parts:
-        begins.append((r["_part"], n, total))
-        n, total = n + r["n"], total + r["w"]
-    known = F.broadcast(spark.createDataFrame(begins, "_part long, _n long, _w long"))
-    out = written.join(known, "_part").withColumns({"rank": F.col("rank") + F.col("_n"), "bytes_before": F.col("bytes_before") + F.col("_w")}).drop("_part", "_n", "_w", "_weight", "_place")
-    out._staged_path = written._staged_path
-    return out, n, total
-
-
 def sharded(df: DataFrame, dims: Sequence[str], n_shards: int = SHARDS, law: str = "rows", size: Column | None = None, ties: Sequence[str] = (), bits: int = BITS) -> DataFrame:
     """df with curve, shard and slot (the place in its shard), and the columns rank and bytes_before of the whole order."""
     if law not in LAWS:

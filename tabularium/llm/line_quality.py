@@ -32,10 +32,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 3
 #: Base rules: fewest words, and the largest share of words (percent) in repeated windows.
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: A line is boilerplate in more documents of a host than this many and than this share of the host's documents.
+#: A line is boilerplate in more documents of a host than this many, or than this share of the host's documents.
 MIN_DOCS, MAX_SHARE = 10, 0.05
-#: For the stage either limit does: more documents than MIN_DOCS, whatever the host holds; or the share, in more than SMALL_DOCS
-#: documents; a line of LONG_WORDS words or more is boilerplate in more than LONG_DOCS.
+#: Either limit does: more documents than MIN_DOCS, whatever the host holds; or the share, in more than SMALL_DOCS
+#: documents; a line of LONG_WORDS words or more is boilerplate in more than LONG_DOCS. (Both limits at once can be asked for.)
 SMALL_DOCS, LONG_WORDS, LONG_DOCS = 5, 50, 2
 #: A document with a smaller share of its words left is depleted.
 MIN_LEFT = 0.3
@@ -131,9 +131,9 @@ def _judged(docs: DataFrame, doc_id: str, text: str, host: str, min_docs: int, m
     return judged.withColumns({"base_failed": failed, "kept": ~failed & left}), gone.select("host", "body", "line", "words")
 
 
-def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, either: bool = True) -> DataFrame:
     """A row per document: its measures, base_failed, n_removed (words in removed lines) and kept."""
-    judged, _ = _judged(docs, doc_id, text, host, min_docs, max_share, min_left, False)
+    judged, _ = _judged(docs, doc_id, text, host, min_docs, max_share, min_left, either)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed")
 
 
@@ -142,7 +142,7 @@ def without_lines(data: bytes, lines: set[int]) -> bytes:
     return b"\n".join(x for x in data.split(b"\n") if not x.strip(WHITE) or line_hash(normal_line(x)) not in lines)
 
 
-def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", n_chars: str = "n_chars", either: bool = False) -> DataFrame:
+def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", n_chars: str = "n_chars", either: bool = True) -> DataFrame:
     """docs without the rejected ones and without the removed lines, the number of characters put right.
 
     All other columns are as they are. Rows with a null id stay, for no verdict names them; their lines go as those of others do.

@@ -23,8 +23,8 @@ r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i +
 k AS (SELECT source, t, min(doc_id) AS first, any_value(lines) AS lines FROM d GROUP BY source, t),
 u AS (SELECT source, first, {_WORDS.format(_small('l'))} AS w FROM (SELECT source, first, unnest(lines) AS l FROM k)),
 h AS (SELECT source, first, array_to_string(w, ' ') AS line, sum(len(w)) AS n FROM u GROUP BY ALL),
-b AS (SELECT source, line, count(*) AS n_docs, min(first) AS keeper FROM h GROUP BY ALL),
-a AS (SELECT source, line, keeper FROM b JOIN (SELECT source, count(*) AS n_all FROM k GROUP BY source) USING (source) WHERE n_docs > {line_quality.MIN_DOCS} AND n_docs > n_all * {line_quality.MAX_SHARE}::DOUBLE),
+b AS (SELECT source, line, count(*) AS n_docs, min(first) AS keeper, min(n) AS words FROM h GROUP BY source, line),
+a AS (SELECT source, line, keeper FROM b JOIN (SELECT source, count(*) AS n_all FROM k GROUP BY source) USING (source) WHERE n_docs > {line_quality.MIN_DOCS} OR n_docs > {line_quality.SMALL_DOCS} AND n_docs > n_all * {line_quality.MAX_SHARE}::DOUBLE OR n_docs > {line_quality.LONG_DOCS} AND words >= {line_quality.LONG_WORDS}),
 x AS (SELECT source, first, sum(n) AS n_removed FROM h JOIN a USING (source, line) WHERE first <> keeper GROUP BY ALL),
 m AS (SELECT d.doc_id, len(d.w) AS n_words, list_sum(list_transform(d.w, lambda x: length(x))) AS word_chars, length(regexp_replace(d.t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(d.lines) - len(list_distinct(d.lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(n_removed, 0) AS n_removed
   FROM d LEFT JOIN r USING (doc_id) JOIN k ON k.source IS NOT DISTINCT FROM d.source AND k.t = d.t LEFT JOIN x ON x.source = k.source AND x.first = k.first),

@@ -40,7 +40,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import byte_values, remove
+from tabularium.llm.common import byte_values, discard, numbered, remove, staged
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
@@ -48,8 +48,6 @@ LEAST_REVISIT = 100
 SHARD_BYTES, FILE_BYTES = 64 << 20, 16 << 20
 #: A reader's tasks: as many as files up to so many, then one for so many bytes.
 FEW_FILES, READ_BYTES = 1024, 64 << 20
-#: Cells of a histogram of ids.
-CELLS = 1 << 14
 #: Records carry no time of their own; the date is a parameter, for the bytes must not depend on the clock.
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -95,59 +93,20 @@ def member(data: bytes, level: int = 6) -> bytes:
     return pack.compress(data) + pack.flush()
 
 
-def _sizes(pages: DataFrame, lows: np.ndarray, highs: np.ndarray, widths: np.ndarray) -> np.ndarray:
-    """Rows (range, cell, bytes, first id, last id) of cells of so many ids in disjoint ascending ranges of ids, in one job.
+def shard_bounds(sizes: DataFrame, shard_bytes: int) -> list[int]:
+    """Smallest ids of all shards but the first, from exact sums over all rows (page_id, size); null ids are left out.
 
-    Each task sums its rows before anything is shuffled.
+    A shard begins with the first id before which a further multiple of shard_bytes has been filled. Ids are summed and sorted in ranges, and the
+    sums of the ranges added up, so it takes the same few jobs at any size; what comes back is a number per shard.
     """
-    sent = pages.sparkSession.sparkContext.broadcast((lows, highs, widths))
-    names = ["part", "cell", "size", "a", "b"]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lows, highs, widths = sent.value
-        for batch in batches:
-            kept = batch.filter(pc.is_valid(batch.column(0)))
-            ids, sizes = (kept.column(k).to_numpy() for k in (0, 1))
-            part = np.searchsorted(lows, ids, side="right") - 1
-            inside = (part >= 0) & (ids <= highs[part])
-            ids, sizes, part = ids[inside], sizes[inside], part[inside]
-            cell = (ids.astype(object) - lows[part] if len(ids) and int(highs[-1]) - int(lows[0]) >= 1 << 63 else ids - lows[part]) // widths[part]
-            table = pa.table({"part": part, "cell": np.array(cell, np.int64), "size": sizes, "a": ids, "b": ids})
-            own = table.group_by(["part", "cell"]).aggregate([("size", "sum"), ("a", "min"), ("b", "max")]).rename_columns({"size_sum": "size", "a_min": "a", "b_max": "b"})
-            yield from own.select(names).combine_chunks().to_batches()
-
-    summed = pages.select("page_id", "size").mapInArrow(run, "part long, cell long, size long, a long, b long").groupBy("part", "cell").agg(F.sum("size").alias("size"), F.min("a").alias("a"), F.max("b").alias("b"))
-    return np.array(sorted(map(tuple, summed.collect())), np.int64).reshape(-1, 5)  # CELLS or so
-
-
-def shard_bounds(pages: DataFrame, shard_bytes: int) -> list[int]:
-    """Smallest ids of all shards but the first, from exact sums over all rows.
-
-    A histogram of ids; all its cells that are too large are looked at again together, until they have one id or are small.
-    """
-    low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum(F.when(F.col("page_id").isNotNull(), F.col("size")))).first()
-    if low is None or (total or 0) <= shard_bytes:
+    own = sizes.where("page_id is not null").groupBy("page_id").agg(F.sum("size").alias("size"))
+    placed, _, total = numbered(own, ["page_id"], F.col("size"))
+    if total <= shard_bytes:
+        discard(placed)
         return []
-    done: list[tuple[int, int]] = []
-    large = [(low, high)]
-    while large:
-        later = []
-        for k in range(0, len(large), CELLS):
-            lows, highs = (np.array(x, np.int64) for x in zip(*large[k : k + CELLS], strict=True))
-            cells = max(2, CELLS // len(lows))
-            widths = np.array([max(1, -(-(int(b) - int(a) + 1) // cells)) for a, b in zip(lows, highs, strict=True)], np.int64)
-            for _, _, size, a, b in _sizes(pages, lows, highs, widths).tolist():
-                if size > shard_bytes and a < b:
-                    later.append((a, b))
-                else:
-                    done.append((a, size))
-        large = later
-    bounds, size = [], 0
-    for first, own in sorted(done):
-        if size and size + own > shard_bytes:
-            bounds.append(first)
-            size = 0
-        size += own
+    firsts = placed.groupBy(F.expr(f"bytes_before div {shard_bytes}").alias("k")).agg(F.min("page_id").alias("first"))
+    bounds = sorted(r["first"] for r in firsts.where("k > 0").collect())  # a row per shard
+    discard(placed)
     return bounds
 
 
@@ -186,7 +145,7 @@ def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "u
     """Write the archive into a new folder; returns its manifest, a row per file."""
     spark = pages.sparkSession
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
-    sized = own.select("page_id", F.octet_length("html").cast("long").alias("size"))
+    sized = staged(own.select("page_id", F.octet_length("html").cast("long").alias("size")), "sizes")
     bounds = shard_bounds(sized, shard_bytes)
     nameless = max(1, -(-(sized.where("page_id is null").agg(F.sum("size")).first()[0] or 0) // shard_bytes))  # shards of rows without id
     # the least id of each payload, then of the rows that have another: few and narrow, the payloads stay where they are

@@ -10,16 +10,16 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def plain(rows, min_docs, max_share, min_left):
     """(doc_id, measures.., base_failed, kept, n_removed) for rows with doc_id, text, source."""
-    holders, texts = defaultdict(dict), defaultdict(set)
+    holders, texts, spread = defaultdict(dict), defaultdict(set), defaultdict(dict)
     lower = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
     for r in rows:
         text = r["text"] or ""
         texts[r["source"]].add(text)
-        for line in text.split("\n"):
-            key = " ".join(WORD.findall(lower(line)))
+        for key, n in Counter(" ".join(WORD.findall(lower(line))) for line in text.split("\n")).items():
             if key:
                 held = holders[r["source"], key]
                 held[text] = min(held.get(text, r["doc_id"]), r["doc_id"])
+                spread[r["source"], key][text] = n * len(key.split(" "))
     out = []
     for r in rows:
         text = r["text"] or ""
@@ -33,7 +33,8 @@ def plain(rows, min_docs, max_share, min_left):
         for line in lines:
             own = WORD.findall(lower(line))
             held = holders[r["source"], " ".join(own)]
-            if len(held) > min_docs and len(held) > max_share * len(texts[r["source"]]) and min(held.values()) != first:
+            long = min(spread[r["source"], " ".join(own)].values()) >= line_quality.LONG_WORDS and len(held) > line_quality.LONG_DOCS
+            if (len(held) > min_docs or len(held) > max(line_quality.SMALL_DOCS, max_share * len(texts[r["source"]])) or long) and min(held.values()) != first:
                 removed += len(own)
         failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
         kept = not failed and len(words) - removed >= min_left * len(words)

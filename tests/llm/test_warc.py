@@ -73,22 +73,28 @@ def test_damage_is_found(spark):
         warc.parse(bytes(data))
 
 
-@pytest.mark.parametrize("cells", [4, 1 << 14])
-def test_bounds_of_skewed_ids(spark, monkeypatch, cells):
-    """Each shard but those of a single id stays within the limit, and two neighbours don't; in few jobs."""
-    monkeypatch.setattr(warc, "CELLS", cells)
+def test_bounds_of_skewed_ids(spark):
+    """Each shard stays within the limit but for its last id, whatever the layout, and as many jobs are run for many shards as for few."""
     rng = random.Random(5)
     ids = [rng.choice([-(1 << 62), 1 << 61]) + rng.randint(0, 9) if rng.random() < 0.3 else int(rng.expovariate(1 / 5000)) for _ in range(3000)]
     rows = [(i, rng.randint(0, 50)) for i in ids] + [(7, 900)]
-    bounds = warc.shard_bounds(spark.createDataFrame([*rows, (None, 5)], "page_id long, size long"), 400)
-    assert bounds == sorted(set(bounds))
-    sizes, held = Counter(), {}
-    for i, size in rows:
-        k = bisect.bisect_right(bounds, i)
-        sizes[k] += size
-        held.setdefault(k, set()).add(i)
-    assert all(sizes[k] <= 400 or len(held[k]) == 1 for k in held)
+    frame = spark.createDataFrame([*rows, (None, 5)], "page_id long, size long")
+    bounds = warc.shard_bounds(frame, 400)
+    assert bounds == sorted(set(bounds)) == warc.shard_bounds(frame.repartition(5, "size"), 400)
+    held = {}
+    for i, size in sorted(rows):
+        held.setdefault(bisect.bisect_right(bounds, i), Counter())[i] += size
+    for own in held.values():
+        assert sum(own.values()) - own[max(own)] < 400 or len(own) == 1
     assert len(bounds) > 100
+    jobs = []
+    for n, limit in ((10, 30), (200_000, 40)):
+        spark.sparkContext.setJobGroup(f"bounds {n}", "")
+        wide = spark.range(n).selectExpr("id * 1000003 as page_id", "10L as size")
+        assert abs(len(warc.shard_bounds(wide, limit)) - n * 10 // limit) <= 1
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"bounds {n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 3, jobs  # adaptive plans may run a stage or two by themselves
 
 
 def test_rows_without_id_are_dealt_by_payload(spark):
