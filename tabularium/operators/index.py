@@ -94,11 +94,17 @@ class Index:
         if rows.isEmpty():
             return False
         cut = rows.select("scope", F.col("table_id").cast("long").alias("table_id"), "content", tokens(F.col("index_text")).alias("terms"))
+        # texts are cut into tokens once, for both tables
+        draft = f"{self.path}/cut/segment={segment}"
+        cut.write.parquet(draft)
+        cut = self.spark.read.schema(cut.schema).parquet(draft)
         cut.select("scope", "table_id", F.size("terms").alias("length"), "content").write.parquet(f"{self.path}/docs/segment={segment}")
         each = cut.select("scope", "table_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).withColumn("bucket", _bucket(F.col("term"), self.buckets)).withColumn("part", F.pmod(F.xxhash64("table_id"), F.lit(self.parts)))
         # the terms of a document are counted where they are written: one shuffle
         counted = each.repartition("bucket", "part").groupBy("bucket", "part", "scope", "term", "table_id", "length").agg(F.count(F.lit(1)).alias("tf"))
         counted.drop("part").sortWithinPartitions("bucket", "term", "scope", "table_id").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
+        fs, folder = file_system(self.spark, draft)
+        fs.delete(folder, True)
         return True
 
     def _committed(self, segments: tuple[int, ...], gone: tuple[int, ...], last: int) -> Index:
@@ -133,6 +139,8 @@ class Index:
     def synced(self, rows: DataFrame) -> Index:
         """The index of rows (ticker, report_type, year, table_id, index_text): only what differs is written, and it is checked before it counts."""
         now = hashed(rows).withColumn("scope", F.col("ticker"))
+        if not self.segments:
+            return self.change(now.select("scope", "table_id", "index_text", "content"))
         todo = reconciled(self.docs().select("table_id", "content"), now.select("table_id", "content"))
         upserts = now.join(todo.where("action <> 'delete'").select("table_id"), "table_id", "left_semi").select("scope", "table_id", "index_text", "content")
         new = self.change(upserts, todo.where("action = 'delete'"))
