@@ -1,7 +1,7 @@
 """Registered queries, each with the SQL that gives the same rows."""
 
-from tabularium.queries import calculation, contracts, evaluation, guarding, records, routing, search, selection, tables
+from tabularium.queries import calculation, contracts, covering, evaluation, guarding, records, routing, search, selection, tables
 
-MODULES = (contracts, search, selection, evaluation, calculation, guarding, tables, records, routing)
+MODULES = (contracts, search, selection, evaluation, calculation, guarding, tables, records, routing, covering)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
