@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -20,7 +21,7 @@ CHANGE = ("tỷ lệ thay đổi", "tốc độ tăng", "tăng trưởng")
 MULTI_TICKER = ("trong nhóm", "xét nhóm", "nhóm doanh nghiệp", "gồm", "giữa", "so sánh", "so với", "trung bình", "bình quân", "hiệu số", "chênh lệch", "tổng chi phí", "tổng giá trị")
 MULTI_YEAR = ("trong giai đoạn", "trong các năm", "năm có", "năm nào", "cao nhất", "thấp nhất", "lớn nhất", "nhỏ nhất", "trung vị", "cả ba năm", "cả hai năm")
 SCOPES = ("theo báo cáo tài chính hợp nhất", "theo báo cáo tài chính riêng", "theo báo cáo hợp nhất", "theo báo cáo riêng", "báo cáo tài chính hợp nhất", "báo cáo tài chính riêng", "báo cáo hợp nhất", "báo cáo riêng", "công ty mẹ", "hợp nhất", "riêng", "tổng hợp", "consolidated", "separate", "aggregated")
-KINDS_OF_COMPANY = ("tổng công ty", "công ty cổ phần", "công ty", "tập đoàn", "ngân hàng TMCP", "ngân hàng", "CTCP")
+KINDS_OF_COMPANY = ("tổng công ty", r"công ty\s+cổ phần", "công ty", "tập đoàn", r"ngân hàng\s+TMCP", "ngân hàng", "CTCP")
 PLACEHOLDERS = ("placeholder", "for simplicity", "assume ", "giả sử", "tạm dùng", "...", "data missing", "missing data", "data unavailable", "defaults to 0", "default to 0", "không có dữ liệu")
 TRAILING = ("của", "tại", "trong", "năm", "theo", "từ", "đến", "giai đoạn")
 
@@ -31,23 +32,55 @@ def has_any(text: Column, terms: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(t)) for t in terms))
 
 
-def semantic_query(question: Column, ticker: Column) -> Column:
-    """The question without its company, periods, scopes and question words; null if nothing is left."""
-    words = lambda text, terms: F.regexp_replace(text, "(?iu)" + _EDGE % "|".join(terms), " ")
-    text = F.regexp_replace(question, F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])\Q"), ticker, F.lit(r"\E(?![A-Za-z0-9])")), F.lit(" "))
-    text = F.regexp_replace(text, r"(?iu)(?<!\d)20\d{2}\s*(?:[-–—]|đến|tới)\s*(?:năm\s+)?20\d{2}(?!\d)", " ")
-    text = F.regexp_replace(text, r"(?<!\d)20\d{2}(?!\d)", " ")
-    for phrase in SCOPES:
-        text = F.regexp_replace(text, f"(?iu){phrase}", " ")
-    text = words(text, KINDS_OF_COMPANY)
-    text = words(text, (r"là\s+bao\s+nhiêu", r"bao\s+nhiêu"))
-    text = words(text, ("của", "năm"))
-    text = F.regexp_replace(text, r"\(\s*\)", " ")
-    text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"^[ ,.;:–—?-]+|[ ,.;:–—?-]+$", "")
+def _quoted(text: Column) -> Column:
+    """A pattern that stands for a text itself."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def _between_words(terms: Sequence[str]) -> str:
+    return "(?iu)" + _EDGE % "|".join(terms)
+
+
+def without_companies(question: Column, companies: Column) -> Column:
+    """The question without codes, where no ASCII letter or digit touches them, and without aliases, wherever they stand; each company's in its order, in any case.
+
+    companies: array<struct<ticker, aliases: array<string>>>; nulls and empty texts among them are left out.
+    """
+    told = lambda texts: F.filter(F.coalesce(texts, F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")
+    patterns = lambda c: F.concat(
+        F.transform(told(F.array(c["ticker"])), lambda t: F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), _quoted(t), F.lit("(?![A-Za-z0-9])"))),
+        F.transform(told(c["aliases"]), lambda a: F.concat(F.lit("(?iu)"), _quoted(a))),
+    )
+    every = F.flatten(F.transform(F.filter(companies, lambda c: c.isNotNull()), patterns))
+    return F.aggregate(F.coalesce(every, F.array().cast("array<string>")), question, lambda text, pattern: F.regexp_replace(text, pattern, F.lit(" ")))
+
+
+#: What goes after the companies, in this order; kinds of company go only if a company has an alias.
+_PERIODS = (r"(?iu)(?<!\d)20\d{2}\s*(?:[-–—]|đến|tới)\s*(?:năm\s+)?20\d{2}(?!\d)", r"(?<!\d)20\d{2}(?!\d)")
+_FILLERS = (_between_words((r"là\s+bao\s+nhiêu", r"bao\s+nhiêu")), _between_words(("của", "năm")), r"\(\s*\)", r"\s+")
+
+
+def rewritten_question(question: Column, companies: Column, named: Column | None = None) -> Column:
+    """The question without its companies, periods, scopes and question words; null if nothing is left.
+
+    companies: as for without_companies. named: are kinds of company ("công ty", "ngân hàng" ...) to go as well? If it isn't given, they
+    go where a company of the question has an alias.
+    """
+    without = lambda text, patterns: reduce(lambda t, p: F.regexp_replace(t, p, " "), patterns, text)
+    has_alias = F.exists(companies, lambda c: F.exists(c["aliases"], lambda a: F.coalesce(a, F.lit("")) != ""))
+    text = without(without_companies(question, companies), (*_PERIODS, *(f"(?iu){phrase}" for phrase in SCOPES)))
+    text = F.when(F.coalesce(has_alias if named is None else named, F.lit(False)), without(text, [_between_words(KINDS_OF_COMPANY)])).otherwise(text)
+    text = F.regexp_replace(without(text, _FILLERS), r"^[ ,.;:–—?-]+|[ ,.;:–—?-]+$", "")
     text = F.regexp_replace(text, rf"(?iu)(?:\s+(?:{'|'.join(TRAILING)}))+\s*$", "")
     return F.nullif(F.trim(text), F.lit(""))
 
 
+def semantic_query(question: Column, ticker: Column) -> Column:
+    """rewritten_question() for one company without aliases whose kind goes, too."""
+    one = F.array(F.struct(ticker.cast("string").alias("ticker"), F.array().cast("array<string>").alias("aliases")))
+    return rewritten_question(question, one, F.lit(True))
+
+
 def coverage_lock(question: Column, tickers: Column, years: Column) -> Column:
     """Why all buckets of a question are needed, by its words and how many tickers and years there are; empty if they are not."""
     text = F.lower(F.regexp_replace(question, r"\s+", " "))

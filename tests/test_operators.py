@@ -289,3 +289,23 @@ def test_mean_of_ties_does_not_depend_on_order(spark):
         frame = spark.createDataFrame(values, "k int, revenue double").repartition(4)
         seen.add(frame.agg(calc.mean("revenue").alias("m")).first().m)
     assert len(seen) == 1
+
+
+def test_rewrite_of_several_companies(spark):
+    """Codes need edges, aliases don't; kinds of company go only where a company has an alias."""
+    companies = "array<struct<ticker:string,aliases:array<string>>>"
+    df = spark.createDataFrame(
+        [
+            (1, "Doanh thu của VNM và HPG so với VNMX năm 2020", [("VNM", []), ("hpg", None)]),
+            (2, "Công ty cổ phần Sữa Việt Nam: lợi nhuận 2019 - 2021 của tập đoàn Hòa Phát", [("VNM", ["sữa VIỆT nam"]), ("HPG", ["Hòa Phát", None, ""])]),
+            (3, "Công ty A.B (C\\E) lãi bao nhiêu", [("A.B", []), None, (None, None)]),
+            (4, "lãi của A.B C\\E và AxB", [("X", ["A.B", "c\\e"])]),
+            (5, "VNM năm 2020 của?", [("VNM", ["VNM"])]),
+            (6, "doanh thu", None),
+            (7, None, [("VNM", [])]),
+            (8, "Công ty VNM", []),
+        ],
+        f"k int, q string, c {companies}",
+    )
+    got = {r["k"]: r["v"] for r in df.select("k", guards.rewritten_question(F.col("q"), F.col("c")).alias("v")).collect()}
+    assert got == {1: "Doanh thu và so với VNMX", 2: "lợi nhuận", 3: "Công ty (C\\E) lãi", 4: "lãi và AxB", 5: None, 6: "doanh thu", 7: None, 8: "Công ty VNM"}
