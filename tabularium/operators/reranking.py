@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Weight of the squares of the weights, rounds of Newton's method at most, the step at which it ends, good candidates that are compared at once.
-L2, ROUNDS, ENOUGH, BLOCK = 1e-3, 30, 1e-9, 64
+#: Weight of the squares of the weights, jobs of Newton's method at most, the step at which it ends, good candidates that are compared at once.
+L2, ROUNDS, ENOUGH, BLOCK = 1e-3, 60, 1e-9, 64
 
 
 def folds(key: Column, n: int) -> Column:
@@ -46,56 +46,63 @@ def pair_sums(good: np.ndarray, other: np.ndarray, weights: np.ndarray) -> np.nd
     return out / n
 
 
-def fitted(rows: DataFrame, weights: Sequence[float] | None = None, l2: float = L2) -> list[float]:
-    """The weights that make the mean of the questions' losses, with l2 times half the squares, least.
+def fitted(rows: DataFrame, n_folds: int = 0, l2: float = L2) -> dict[int, list[float]]:
+    """For each fold the weights that make the mean loss of the questions of all other folds, with l2 times half the squares, least.
 
-    rows: question_id, x (array<double>), good (boolean). A question counts as one however many pairs it has; one without a good candidate, or without
-    another, has none. Every question's candidates are those that search left, so they fit a task, where sums stand for pairs. Of each
-    task a row of sums is left, added in two steps; the driver gets their total alone. The loss is convex, so the layout of the rows
-    doesn't matter. Without any pair all weights are zero.
+    rows: question_id, x (array<double>), good (boolean) and, with folds, fold; without, fold 0 learns from all. A question counts as one however
+    many pairs it has; one without a good candidate, or without another, has none. Every question's candidates are those that search left,
+    so they fit a task, where sums stand for pairs. All folds go forward in the same jobs: of each task and fold a row of sums is
+    left, added in two steps, and the driver gets a total a fold. The loss is convex, so the layout of the rows doesn't matter. A fold that has
+    no pair to learn from is left out.
     """
-    known = rows.dropna(subset=["question_id", "x", "good"])
-    lists = known.groupBy("question_id").agg(F.collect_list(F.when(F.col("good"), F.col("x"))).alias("good"), F.collect_list(F.when(~F.col("good"), F.col("x"))).alias("other"))
-    lists = lists.where((F.size("good") > 0) & (F.size("other") > 0)).select("good", "other").persist()
+    known = rows.withColumn("fold", F.col("fold") if n_folds else F.lit(-1)).dropna(subset=["question_id", "x", "good", "fold"])
+    lists = known.groupBy("question_id", "fold").agg(F.collect_list(F.when(F.col("good"), F.col("x"))).alias("good"), F.collect_list(F.when(~F.col("good"), F.col("x"))).alias("other"))
+    lists = lists.where((F.size("good") > 0) & (F.size("other") > 0)).select("fold", "good", "other").persist()
     try:
         first = lists.select(F.size(F.col("good")[0])).head()
         if first is None:
-            return []
-        d = first[0]
-        w, n = np.zeros(d) if weights is None else np.array(weights, float), 1 + d + d * d
+            return {}
+        d, n = first[0], 1 + first[0] + first[0] ** 2
+        names = [f"c{k}" for k in range(n + 1)]
 
-        def totals(w: np.ndarray) -> np.ndarray:
+        def totals(asked: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
             def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                held, count = np.zeros(n), 0
+                held: dict[int, np.ndarray] = {}
                 for frame in frames:
-                    for good, other in zip(frame["good"], frame["other"], strict=True):
-                        held += pair_sums(np.stack(good), np.stack(other), w)
-                        count += 1
-                if count:
-                    yield pd.DataFrame([[*held, count]])
-
-            names = [f"c{k}" for k in range(n + 1)]
-            parts = lists.mapInPandas(run, ", ".join(f"{c} double" for c in names)).withColumn("p", F.spark_partition_id() % 64)
-            some = parts.groupBy("p").agg(*(F.sum(c).alias(c) for c in names))
-            row = np.array(some.agg(*(F.sum(c) for c in names)).head(), float)
-            return row[:-1] / row[-1]
-
-        def whole(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-            t = totals(w)
-            return t[0] + l2 / 2 * w @ w, t[1 : 1 + d] + l2 * w, t[1 + d :].reshape(d, d) + l2 * np.eye(d)
-
-        loss, gradient, hessian = whole(w)
+                    for own, good, other in zip(frame["fold"], frame["good"], frame["other"], strict=True):
+                        good, other = np.stack(good), np.stack(other)
+                        for fold, w in asked.items():
+                            if fold != own:
+                                held[fold] = held.get(fold, 0.0) + np.append(pair_sums(good, other, w), 1.0)
+                if held:
+                    yield pd.DataFrame([[k, *v] for k, v in held.items()])
+
+            parts = lists.mapInPandas(run, "fold int, " + ", ".join(f"{c} double" for c in names)).withColumn("p", F.spark_partition_id() % 64)
+            some = parts.groupBy("fold", "p").agg(*(F.sum(c).alias(c) for c in names))
+            out = {}
+            for row in some.groupBy("fold").agg(*(F.sum(c).alias(c) for c in names)).collect():  # a row for each fold
+                t, w = np.array(row[1:-1], float) / row[-1], asked[row["fold"]]
+                out[row["fold"]] = t[0] + l2 / 2 * w @ w, t[1 : 1 + d] + l2 * w, t[1 + d :].reshape(d, d) + l2 * np.eye(d)
+            return out
+
+        weights = {fold: np.zeros(d) for fold in range(max(n_folds, 1))}
+        now = totals(weights)
+        weights = {fold: w for fold, w in weights.items() if fold in now}
+        steps, open_ = {k: np.linalg.solve(now[k][2], now[k][1]) for k in weights}, set(weights)
         for _ in range(ROUNDS):
-            step = np.linalg.solve(hessian, gradient)
-            while True:  # a step that is too long is halved
-                new = whole(w - step)
-                if new[0] <= loss or np.abs(step).max() < ENOUGH:
-                    break
-                step /= 2
-            w, (loss, gradient, hessian) = w - step, new
-            if np.abs(step).max() < ENOUGH:
+            tried = totals({k: weights[k] - steps[k] for k in open_})
+            for k, new in tried.items():
+                small = np.abs(steps[k]).max() < ENOUGH
+                if new[0] > now[k][0] and not small:
+                    steps[k] = steps[k] / 2  # too long
+                    continue
+                weights[k], now[k] = weights[k] - steps[k], new
+                steps[k] = np.linalg.solve(new[2], new[1])
+                if small:
+                    open_.discard(k)
+            if not open_:
                 break
-        return w.tolist()
+        return {k: w.tolist() for k, w in weights.items()}
     finally:
         lists.unpersist()
 

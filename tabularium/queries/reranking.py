@@ -57,8 +57,7 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "judged")  # fitted on many times, so it is written once
     reranking.scaled(candidates(spark, sf_dir), FEATURES).write.parquet(path)
     rows = spark.read.parquet(path)
-    weights = {fold: reranking.fitted(rows.where(F.col("fold") != fold)) for fold in range(FOLDS)}
-    return reranking.reranked(rows, {fold: w for fold, w in weights.items() if w})
+    return reranking.reranked(rows, reranking.fitted(rows, FOLDS))
 
 
 def learned_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:

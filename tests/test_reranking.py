@@ -46,22 +46,26 @@ def test_sums_of_pairs():
 def test_least_loss_in_any_layout(spark):
     rows = judged()
     df = spark.createDataFrame(rows, SCHEMA)
-    w = np.array(reranking.fitted(df))
+    w = np.array(reranking.fitted(df)[0])
     least = loss(rows, w)
     rng = np.random.default_rng(5)
     assert all(loss(rows, w + rng.normal(size=3) * s) > least for s in (1e-3, 0.1, 1.0) for _ in range(20))
     for other in (df.repartition(5), df.orderBy(F.desc("table_id")).coalesce(1)):
-        assert reranking.fitted(other) == pytest.approx(w, abs=1e-7)
+        assert reranking.fitted(other)[0] == pytest.approx(w, abs=1e-7)
+    by_fold = df.withColumn("fold", (F.col("question_id") % 3).cast("int"))
+    together = reranking.fitted(by_fold, 3)
+    for fold in range(3):
+        assert together[fold] == pytest.approx(reranking.fitted(by_fold.where(F.col("fold") != fold))[0], abs=1e-7)
 
 
 def test_odd_rows(spark):
-    assert reranking.fitted(spark.createDataFrame([], SCHEMA)) == []
+    assert reranking.fitted(spark.createDataFrame([], SCHEMA)) == {}
     one_kind = [(1, 1, [1.0], True), (2, 1, [0.0], False), (None, 1, [1.0], True), (3, 1, None, True), (3, 2, [1.0], None)]
-    assert reranking.fitted(spark.createDataFrame(one_kind, SCHEMA)) == []
+    assert reranking.fitted(spark.createDataFrame(one_kind, SCHEMA)) == {}
     same = [(1, 1, [1.0, 0.0], True), (1, 2, [1.0, 0.0], False)] * 2
-    assert reranking.fitted(spark.createDataFrame(same, SCHEMA)) == [0.0, 0.0]
+    assert reranking.fitted(spark.createDataFrame(same, SCHEMA)) == {0: [0.0, 0.0]}
     parted = [(1, 1, [1.0], True), (1, 2, [-1.0], False)]
-    assert 0 < reranking.fitted(spark.createDataFrame(parted, SCHEMA))[0] < 100
+    assert 0 < reranking.fitted(spark.createDataFrame(parted, SCHEMA))[0][0] < 100
     rows = spark.createDataFrame([(1, 1, 1.0, None, 0), (1, 2, 3.0, float("nan"), 0), (2, 1, 5.0, 2.0, 1)], "question_id long, table_id long, a double, b double, fold int")
     got = {(r["question_id"], r["table_id"]): r["x"] for r in reranking.scaled(rows, ["a", "b"]).collect()}
     assert got == {(1, 1): [0.0, 0.0], (1, 2): [0.0, 0.0], (2, 1): [3.0, 0.0]}  # one other row has no deviation
