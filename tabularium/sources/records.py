@@ -7,7 +7,7 @@ Only what the manifest lists counts, so a lost task leaves neither half a file
 nor a doubled record, and an append or overwrite is seen as a whole or not at all.
 
 Reading: files are cut into ranges of bytes, a line belonging to the range that it
-begins in. A line that can't be a record of the schema is a row
+begins in. A task reads the ranges of a section of a file one after the other. A line that can't be a record of the schema is a row
 with its reason, if the schema has columns for that, and is left out otherwise. Filters that Spark pushes
 down are applied to a record before it becomes a row, where that is asked for.
 
@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
 MANIFEST = "_manifest.json"
-#: Bytes of a file that a task reads, by default.
-RANGE = 1 << 26
+#: Bytes of a range, by default, and of the ranges that a task reads where they are smaller.
+RANGE, SECTION = 1 << 26, 1 << 23
 #: What a schema may ask for besides fields: where a line begins, why it is none of the good ones (else null), and its bytes as text.
 FILE, OFFSET, REASON, LINE = "_file", "_offset", "_reason", "_line"
 
@@ -70,9 +70,12 @@ class Part(WriterCommitMessage):
 
 @dataclass
 class Range(InputPartition):
+    """A section of a file, in ranges of step bytes."""
+
     file: str
     start: int
     end: int
+    step: int
 
 
 class RecordWriter(DataSourceWriter):
@@ -163,6 +166,7 @@ def _as(value: object, kind: T.DataType, at: str) -> object:
 
 
 _COMPARED = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
+_BY_NAME = {kind.__name__: compare for kind, compare in _COMPARED.items()}
 
 
 class LineReader(DataSourceReader):
@@ -191,7 +195,7 @@ class LineReader(DataSourceReader):
             if kind in ("IsNull", "IsNotNull"):
                 if (own is None) != (kind == "IsNull"):
                     return False
-            elif own is None or not (own in value if kind == "In" else {k.__name__: f for k, f in _COMPARED.items()}[kind](own, value)):
+            elif own is None or not (own in value if kind == "In" else _BY_NAME[kind](own, value)):
                 return False
         return True
 
@@ -204,7 +208,8 @@ class LineReader(DataSourceReader):
             files = [info]
         else:
             files = [f for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.type == fs.FileType.File and f.base_name[0] not in "._"]
-        return [Range(f.path, a, min(f.size, a + self.range_bytes)) for f in sorted(files, key=lambda f: f.path) for a in range(0, f.size, self.range_bytes)] or [Range("", 0, 0)]
+        section = self.range_bytes * max(1, SECTION // self.range_bytes)
+        return [Range(f.path, a, min(f.size, a + section), self.range_bytes) for f in sorted(files, key=lambda f: f.path) for a in range(0, f.size, section)] or [Range("", 0, 0, 1)]
 
     def _row(self, record: dict) -> tuple:
         return tuple(record.get(f.name) for f in self.schema)
@@ -212,40 +217,45 @@ class LineReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[tuple]:
         if not partition.file:
             return
-        extra, fields = {FILE, OFFSET, REASON, LINE}, [f for f in self.schema if f.name not in (FILE, OFFSET, REASON, LINE)]
-        rejects = REASON in self.schema.names
         system, _ = _opened(self.path)
         with system.open_input_file(partition.file) as raw:
-            at = max(0, partition.start - 1)
-            raw.seek(at)
+            # one buffer for all ranges, so that small ranges don't read the same bytes again and again
             lines = io.BufferedReader(raw, 1 << 20)
-            if partition.start:
-                at += len(lines.readline())  # the rest of a line that began before, or its end
-            while at < partition.end and (line := lines.readline()):
-                where, at, body, reason = at, at + len(line), line.rstrip(b"\r\n"), None
-                if not body.strip():
-                    continue
-                record: dict = {}
-                try:
-                    parsed = json.loads(body.decode(), parse_constant=lambda x: math.nan)
-                    if not isinstance(parsed, dict):
-                        reason = "not an object"
-                    elif lacking := [x for x in self.required if parsed.get(x) is None]:
-                        reason = f"missing {lacking[0]}"
-                    else:
-                        record = {f.name: _as(parsed.get(f.name), f.dataType, f.name) for f in fields}
-                except UnicodeDecodeError:
-                    reason = "not UTF-8"
-                except Wrong as x:
-                    reason = f"type of {x}"
-                except (ValueError, RecursionError):
-                    reason = "not JSON"
-                if reason and not rejects:
-                    continue
-                if extra:
-                    record |= {FILE: partition.file, OFFSET: where, REASON: reason, LINE: body.decode(errors="replace") if reason else None}
-                if self._fits(record):
-                    yield self._row(record)
+            for start in range(partition.start, partition.end, partition.step):
+                yield from self._read_range(lines, partition.file, start, min(partition.end, start + partition.step))
+
+    def _read_range(self, lines: io.BufferedReader, file: str, start: int, end: int) -> Iterator[tuple]:
+        extra, fields = {FILE, OFFSET, REASON, LINE}, [f for f in self.schema if f.name not in (FILE, OFFSET, REASON, LINE)]
+        rejects = REASON in self.schema.names
+        at = max(0, start - 1)
+        lines.seek(at)
+        if start:
+            at += len(lines.readline())  # the rest of a line that began before, or its end
+        while at < end and (line := lines.readline()):
+            where, at, body, reason = at, at + len(line), line.rstrip(b"\r\n"), None
+            if not body.strip():
+                continue
+            record: dict = {}
+            try:
+                parsed = json.loads(body.decode(), parse_constant=lambda x: math.nan)
+                if not isinstance(parsed, dict):
+                    reason = "not an object"
+                elif lacking := [x for x in self.required if parsed.get(x) is None]:
+                    reason = f"missing {lacking[0]}"
+                else:
+                    record = {f.name: _as(parsed.get(f.name), f.dataType, f.name) for f in fields}
+            except UnicodeDecodeError:
+                reason = "not UTF-8"
+            except Wrong as x:
+                reason = f"type of {x}"
+            except (ValueError, RecursionError):
+                reason = "not JSON"
+            if reason and not rejects:
+                continue
+            if extra:
+                record |= {FILE: file, OFFSET: where, REASON: reason, LINE: body.decode(errors="replace") if reason else None}
+            if self._fits(record):
+                yield self._row(record)
 
 
 class RecordLines(DataSource):

@@ -36,6 +36,18 @@ def test_ranges_give_each_line_once(spark):
     assert records.read(spark, path, ROWS).count() == 194  # without a column for it, damage is left out; no id is no damage here
 
 
+def test_small_ranges_share_a_task(spark):
+    path = folder() + "/lines.jsonl"
+    open(path, "w").write("".join('{"id": %d}\n' % k for k in range(60_000)))
+    for size, most in ((16, 1), (4096, 1), (1 << 18, 1), (1 << 26, 1)):
+        df = records.read(spark, path, "id long, _offset long", rangebytes=str(size))
+        assert df.rdd.getNumPartitions() == most
+        assert df.select(F.count("id"), F.count_distinct("id"), F.count_distinct("_offset")).first() == (60_000, 60_000, 60_000)
+    open(path, "w").write("".join('{"id": %d, "text": "%s"}\n' % (k, "x" * 1000) for k in range(20_000)))
+    df = records.read(spark, path, "id long", rangebytes="4096")
+    assert df.rdd.getNumPartitions() == 3 and sorted(r.id for r in df.collect()) == list(range(20_000))
+
+
 def test_filters_reach_the_reader(spark):
     path = folder() + "/lines.jsonl"
     open(path, "w").write("\n".join(json.dumps({"id": k, "text": "ab"[k % 2]}) for k in range(50)) + "\n{\n")
