@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tabularium.functions.text import COLLISION_STOP_WORDS, bare_tickers, explicit_tickers, fold, without_company_form
 from tabularium.operators.guards import best_windows
 from tabularium.operators.selection import collision_words, match_text, preferred, shortlisted, windows
+from tabularium.sources.shared import kept
 
 LIMIT = 15
 _OUT = ("question_id", "entity", "match_type", "score", "matched_text")
@@ -40,7 +41,9 @@ def matches(questions: DataFrame, catalogue: DataFrame, alike: bool = True, limi
     """
     names = aliases(catalogue)
     longest = names.agg(F.max("size")).first()[0] or 1
-    asked = questions.select("question_id", F.split(match_text(F.col("question")), " ").alias("words"))
+    # a question becomes many runs of words, so questions are dealt to tasks by number, however few bytes they are
+    dealt = questions.repartition(int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "question_id")
+    asked = dealt.select("question_id", F.split(match_text(F.col("question")), " ").alias("words"))
     runs = asked.select("question_id", F.explode(windows(F.col("words"), longest)).alias("w")).select("question_id", F.col("w.text").alias("text")).distinct()
     exact = runs.join(names, "text").select("question_id", F.col("ticker").alias("entity"), "match_type", F.lit(1.0).alias("score"), F.col("text").alias("matched_text"))
     out = _named(questions, catalogue).unionByName(exact)
@@ -50,6 +53,7 @@ def matches(questions: DataFrame, catalogue: DataFrame, alike: bool = True, limi
         # an alias that stands in the question is no similar one
         fuzzy = owned.join(runs.select("question_id", F.col("text").alias("alias")), ["question_id", "alias"], "left_anti")
         out = out.unionByName(fuzzy.select("question_id", F.col("ticker").alias("entity"), F.lit("fuzzy_company_name").alias("match_type"), "score", "matched_text"))
+    out = kept(out, "matches")  # seeds and their companions read it, so neither the plan nor what it broadcasts doubles
     seeds = preferred(out)
     said = F.split(match_text(F.col("matched_text")), " ")
     by_code = F.col("match_type").isin("explicit_ticker", "exact_ticker")
@@ -64,7 +68,8 @@ def matches(questions: DataFrame, catalogue: DataFrame, alike: bool = True, limi
 
 def shortlist(questions: DataFrame, catalogue: DataFrame, alike: bool = True, limit: int = LIMIT) -> DataFrame:
     """(question_id, position, entity, match_type, status) of each question; one row with status "none" for a question without any candidate."""
-    found = shortlisted(matches(questions, catalogue, alike, limit), limit)
+    # a list is put together from several uses of all matches, and read twice
+    found = kept(shortlisted(kept(matches(questions, catalogue, alike, limit), "candidates"), limit), "shortlist")
     none = questions.select("question_id").distinct().join(found.select("question_id").distinct(), "question_id", "left_anti")
     empty = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("position", "entity", "match_type")]
     return found.unionByName(none.select("question_id", *empty, F.lit("none").alias("status")))

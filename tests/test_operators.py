@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabularium.functions import text
-from tabularium.operators import evaluation, guards, search, selection, upkeep
+from tabularium.operators import evaluation, guards, routing, search, selection, upkeep
 from tabularium.plans import calculations as calc
 from tabularium.sources import payloads
 
@@ -259,6 +259,16 @@ def test_too_many_exact_matches(spark):
     assert sorted((r.position, r.entity, r.match_type) for r in out if r.question_id == 2) == [(1, 1, "explicit_ticker"), (2, 2, "fuzzy_company_name")]
 
 
+def test_shortlists_compare_names_once(spark):
+    catalogue = spark.createDataFrame([("AA", "CTCP red bolt"), ("BB", "blue bolt"), ("CC", "green gear")], "ticker string, company string")
+    questions = spark.createDataFrame([(1, "(AA) and gren gear"), (2, "nothing")], "question_id int, question string")
+    out = routing.shortlist(questions, catalogue)
+    plan = out._jdf.queryExecution().toString()
+    # what is left to plan reads lists that are there already, and no name is compared again
+    assert "ratio" not in plan and plan.count("LocalRelation") + plan.count("LogicalRDD") <= 6
+    assert sorted((r.question_id, r.position or 0, r.entity or "", r.match_type or "") for r in out.collect()) == [(1, 1, "AA", "explicit_ticker"), (1, 2, "CC", "fuzzy_company_name"), (2, 0, "", "")]
+
+
 def test_best_windows_against_all_runs(spark):
     names = ["red bolt", "blue bolt", "old red bolt", "green gear wheel", "gear"]
     asked = {1: "price of ed bolt and grene gear wheel", 2: "gears", 3: "the old rd bolt", 4: "bolt"}
