@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ NO_RANK = 1_000_000_000
 RRF = 60
 #: Query vectors that are sent to the executors at once.
 BLOCK = 4096
+#: Vectors and query vectors that meet in a task, and queries that are scored at once.
+MET_VECTORS, MET_QUERIES, TILE = 1 << 15, 1 << 13, 128
+#: Two scores that are this close may be equal once they are rounded.
+NEAR = 4e-9
 
 
 def metadata_filter(filters: Mapping[str, Sequence]) -> Column:
@@ -96,6 +102,82 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, block: int = BLOCK) ->
     return reduce(DataFrame.unionByName, scored)
 
 
+def _rows(arrays: pa.ChunkedArray, size: int) -> np.ndarray:
+    return arrays.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+
+
+def _in_order(products: np.ndarray) -> np.ndarray:
+    """Sums of rows, added from the left as dot() does."""
+    return np.cumsum(products, axis=1)[:, -1] if products.shape[1] else np.zeros(len(products))
+
+
+def least_ids(group: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k least ids of each group and score: no other can be among the k best of its group."""
+    order = np.lexsort((ids, score, group))
+    new = np.append(True, (np.diff(group[order]) != 0) | (np.diff(score[order]) != 0))[: len(order)]
+    first = np.flatnonzero(new)
+    return order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < k]
+
+
+def nearest(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, place of the vector, cosine): for each query all vectors that can be among its k best once scores are rounded.
+
+    A product of matrices finds what is near enough, and dot()'s sum gives the score. Of equal scores only the k least ids stay.
+    """
+    lengths, own = np.sqrt(_in_order(vectors * vectors)), np.sqrt(_in_order(queries * queries))
+    unit, out = (vectors / lengths[:, None]).T, []
+    for low in range(0, len(queries), TILE):
+        part = (queries[low : low + TILE] / own[low : low + TILE, None]) @ unit
+        if k < len(vectors):
+            least = np.partition(part, len(vectors) - k, axis=1)[:, len(vectors) - k, None]
+            q, v = np.nonzero(part >= least - NEAR)
+        else:
+            q, v = np.nonzero(np.ones_like(part, bool))
+        q += low
+        score = np.empty(len(q))
+        for at in range(0, len(q), 1 << 15):
+            a, b = q[at : at + (1 << 15)], v[at : at + (1 << 15)]
+            score[at : at + (1 << 15)] = _in_order(vectors[b] * queries[a]) / (lengths[b] * own[a])
+        few = least_ids(q, score, ids[v], k)
+        out.append((q[few], v[few], score[few]))
+    return tuple(np.concatenate([x[i] for x in out]) if out else np.zeros(0, [int, int, float][i]) for i in range(3))
+
+
+def best_cosine(vectors: DataFrame, queries: DataFrame, k: int, rank: str = "rank") -> DataFrame:
+    """What top(cosine_scores(vectors, queries), k) gives, without a row for each pair.
+
+    Vectors and queries are dealt to blocks of bounded size by hashes of their ids; each block of vectors meets each of queries in a task, which
+    leaves the k best of a query. Vectors of another size than most, with nulls, not finite or without length go by cosine_scores().
+    """
+    spark = vectors.sparkSession
+    widths = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").head()
+    size = widths["size"] if widths else 0
+    # cosines of very long or very short vectors could overflow
+    plain = lambda c: F.coalesce((F.size(c) == size) & (norm(F.col(c)) > 1e-100) & (norm(F.col(c)) < 1e100), F.lit(False))
+    n_vectors, n_plain = vectors.agg(F.count(F.lit(1)), F.count_if(plain("embedding"))).first()
+    n_queries, n_asked = queries.agg(F.count(F.lit(1)), F.count_if(plain("query"))).first()
+    v_blocks, q_blocks = -(-n_plain // MET_VECTORS) or 1, -(-n_asked // MET_QUERIES) or 1
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    held = vectors.where(plain("embedding")).select("table_id", "embedding", of("table_id", v_blocks).alias("v"), copies(q_blocks).alias("q"))
+    asked = queries.where(plain("query")).select("question_id", "query", of("question_id", q_blocks).alias("q"), copies(v_blocks).alias("v"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = left["table_id"].combine_chunks()
+        q, v, score = nearest(_rows(right["query"], size), _rows(left["embedding"], size), ids.to_numpy(zero_copy_only=False), k)
+        return pa.table({"question_id": right["question_id"].combine_chunks().take(pa.array(q)), "table_id": ids.take(pa.array(v)), "score": pa.array(score)})
+
+    kinds = f"question_id {queries.schema['question_id'].dataType.simpleString()}, table_id {vectors.schema['table_id'].dataType.simpleString()}, score double"
+    cells = v_blocks * q_blocks
+    deal = lambda df: df.repartition(min(cells, 1 << 12), "v", "q").groupBy("v", "q")
+    found = [deal(held).cogroup(deal(asked)).applyInArrow(meet, kinds).withColumn("score", F.round("score", 9))]
+    if n_plain < n_vectors:
+        found.append(cosine_scores(vectors.where(~plain("embedding")), queries))
+    if n_asked < n_queries:
+        found.append(cosine_scores(vectors.where(plain("embedding")), queries.where(~plain("query"))))
+    return top(reduce(DataFrame.unionByName, found), k, rank=rank)
+
+
 def fused(dense: DataFrame, lexical: DataFrame) -> DataFrame:
     """Reciprocal rank fusion of (question_id, table_id, dense_rank) and (.., bm25_rank), best first."""
     both = dense.join(lexical, ["question_id", "table_id"], "full")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.operators import covering, search
-from tabularium.queries.search import _LEXICAL, _lexical, _rank, questions
+from tabularium.queries.search import _LEXICAL, _best, _rank, questions
 from tabularium.sources.payloads import payloads
 
 #: Candidates of a question, those whose buckets are required, and tables that a choice may have.
@@ -19,7 +19,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     The buckets of a question's best candidates need each of its words of six letters or more. A table claims the question's words that it
     has: by their declared name, by the word itself, or by a name that begins with another bucket, by table_id % 3.
     """
-    best = search.top(_lexical(spark, sf_dir), CANDIDATES).withColumnRenamed("ticker", "bucket")
+    best = _best(spark, sf_dir, CANDIDATES).withColumnRenamed("ticker", "bucket")
     required = best.where(F.col("rank") <= REQUIRED).select("question_id", "bucket").distinct()
     asked = questions(spark, sf_dir).select("question_id", F.array_sort(F.array_distinct(search.tokens(F.col("question")))).alias("asked"))
     declared = required.join(asked, "question_id").select("question_id", "bucket", F.explode(F.filter("asked", lambda w: F.char_length(w) >= 6)).alias("word"))

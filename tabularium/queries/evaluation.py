@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabularium.functions.text import is_close
 from tabularium.operators import evaluation, search
-from tabularium.queries.search import _LEXICAL, _lexical, _rank, questions
+from tabularium.queries.search import _LEXICAL, _best, _rank, questions
 from tabularium.sources.payloads import read
 
 GOLD = "gold AS (SELECT i.item_id AS question_id, d.doc_id AS item FROM labels d JOIN benchmark i ON d.doc_id % 40 = i.item_id % 40 WHERE d.quality = 1)"
@@ -15,7 +15,7 @@ _PRED = f"pred AS (SELECT question_id, table_id AS item, rank FROM {_rank('lexic
 
 
 def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top(_lexical(spark, sf_dir), 80).select("question_id", F.col("table_id").alias("item"), "rank")
+    return _best(spark, sf_dir, 80).select("question_id", F.col("table_id").alias("item"), "rank")
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bucket_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources found for a question against the sources of its relevant documents, summed over all questions."""
     source = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "source")
-    found = search.top(_lexical(spark, sf_dir), 10).select("question_id", F.col("ticker").alias("source")).distinct()
+    found = _best(spark, sf_dir, 10).select("question_id", F.col("ticker").alias("source")).distinct()
     wanted = _gold(spark, sf_dir).join(source, "item").select("question_id", "source").distinct()
     hits = found.join(wanted, ["question_id", "source"], "left_semi")
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
@@ -84,7 +84,7 @@ def question_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def loss_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where relevant documents are lost: before the 80 retrieved, the 20 best, the 10 best of the selection."""
-    ranks = search.top(_lexical(spark, sf_dir), 80).select("question_id", F.col("table_id").alias("item"), "rank")
+    ranks = _best(spark, sf_dir, 80).select("question_id", F.col("table_id").alias("item"), "rank")
     stage = F.when(F.col("rank").isNull(), "retriever").when(F.col("rank") > 20, "reranker").when(F.col("rank") > 10, "selector").otherwise("kept")
     return _gold(spark, sf_dir).join(ranks, ["question_id", "item"], "left").groupBy(stage.alias("stage")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabularium.functions.text import bare_tickers, explicit_tickers, words
 from tabularium.operators import guards, search, selection
 from tabularium.queries import selection as contexts
-from tabularium.queries.search import _LEXICAL, PAYLOADS, _lexical, _rank
+from tabularium.queries.search import _LEXICAL, PAYLOADS, _best, _rank
 from tabularium.sources.payloads import lines, payloads, read
 
 QUESTIONS = ("so sánh doanh thu hai công ty", "năm nào doanh thu cao nhất", "doanh thu là bao nhiêu", "trung bình trong giai đoạn", "chênh lệch lợi nhuận", "tỷ lệ chi phí là bao nhiêu phần trăm", "tăng trưởng doanh thu")
@@ -58,7 +58,7 @@ def selector_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def context_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question names two sources and three or four years; of its ten best tables every third is not used."""
-    best = search.top(_lexical(spark, sf_dir), 10).join(payloads(spark, sf_dir).select("table_id", "year"), "table_id")
+    best = _best(spark, sf_dir, 10).join(payloads(spark, sf_dir).select("table_id", "year"), "table_id")
     tables = best.groupBy("question_id").agg(F.collect_list(F.struct("ticker", "year", (F.col("rank") % 3 != 0).alias("used"))).alias("tables"))
     k = F.col("item_id")
     name = lambda n: F.concat(F.lit("src"), ((k + n) % 20).cast("string"))
@@ -69,7 +69,7 @@ def context_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rerank_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reranker's answer is a list of scores by position; each meets the candidate at that position."""
-    best = search.top(_lexical(spark, sf_dir), 20)
+    best = _best(spark, sf_dir, 20)
     answers = best.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "table_id"))), lambda x: (x["table_id"] * 7919 % 1000) / 1000).alias("scores"))
     scores = answers.select("question_id", F.posexplode("scores").alias("position", "rerank_score")).select("question_id", (F.col("position") + 1).alias("rank"), "rerank_score")
     joined = best.select("question_id", "rank", "table_id").join(scores, ["question_id", "rank"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.operators import reranking, search
-from tabularium.queries.search import _dense, _lexical, questions
+from tabularium.queries.search import _best, _dense, questions
 from tabularium.sources.payloads import payloads
 from tabularium.sources.shared import new_folder
 
@@ -26,8 +26,8 @@ def _runs_or_none(terms: Column, n: int) -> Column:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both searches' best tables of each question with features, the rank that fusion gives them, and whether they are good."""
-    dense = search.top(_dense(spark, sf_dir), CANDIDATES, rank="dense_rank")
-    lexical = search.top(_lexical(spark, sf_dir), CANDIDATES, rank="bm25_rank")
+    dense = _dense(spark, sf_dir, CANDIDATES, rank="dense_rank")
+    lexical = _best(spark, sf_dir, CANDIDATES, rank="bm25_rank")
     keys = ["question_id", "table_id"]
     fused = search.fused(dense.select(*keys, "dense_rank"), lexical.select(*keys, "bm25_rank")).select(*keys, "rank", "dense_rank", "bm25_rank")
     scores = lambda df, name: df.select(*keys, F.col("score").alias(name))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabularium.operators import index, search
 from tabularium.sources.payloads import payloads, read
-from tabularium.sources.shared import file_system, new_folder, stamp
+from tabularium.sources.shared import file_system, kept, new_folder, stamp
 
 PAYLOADS = """(SELECT doc_id AS table_id, source AS ticker, lang AS report_type, CAST(2015 + doc_id % 11 AS INTEGER) AS year,
   CASE doc_id % 4 WHEN 0 THEN 'balance_sheet' WHEN 1 THEN 'income_statement' WHEN 2 THEN 'cash_flow' ELSE 'note_table' END AS table_type,
@@ -63,29 +63,32 @@ def _indexed(spark: SparkSession, sf_dir: str) -> index.Index:
     return held
 
 
-def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _indexed(spark, sf_dir).scores(questions(spark, sf_dir)).withColumnRenamed("scope", "ticker")
+def _best(spark: SparkSession, sf_dir: str, k: int, by_ticker: bool = False, rank: str = "rank") -> DataFrame:
+    """The k best tables of each question (or of each of its tickers) by lexical search, found once: plans use them several times."""
+    best = _indexed(spark, sf_dir).best(questions(spark, sf_dir), k, by_ticker, rank)
+    return kept(best.withColumnRenamed("scope", "ticker"), "lexical")
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = search.top(_lexical(spark, sf_dir), 10)
+    best = _best(spark, sf_dir, 10)
     return best.select("question_id", F.col("rank").cast("long").alias("rank"), "table_id", F.round("score", 6).alias("score"))
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dense(spark: SparkSession, sf_dir: str, k: int, rank: str = "rank") -> DataFrame:
+    """The k vectors that are most like each query vector, found once."""
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("table_id"), "embedding")
     asked = vectors.where("table_id % 20 = 0").select((F.col("table_id") / 20).cast("long").alias("question_id"), F.col("embedding").alias("query"))
-    return search.cosine_scores(vectors, asked)
+    return kept(search.best_cosine(vectors, asked, k, rank), "dense")
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = search.top(_dense(spark, sf_dir), 10)
+    best = _dense(spark, sf_dir, 10)
     return best.select("question_id", F.col("rank").cast("long").alias("rank"), "table_id", F.round("score", 5).alias("score"))
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense = search.top(_dense(spark, sf_dir), 40, rank="dense_rank").select("question_id", "table_id", "dense_rank")
-    lexical = search.top(_lexical(spark, sf_dir), 40, rank="bm25_rank").select("question_id", "table_id", "bm25_rank")
+    dense = _dense(spark, sf_dir, 40, rank="dense_rank").select("question_id", "table_id", "dense_rank")
+    lexical = _best(spark, sf_dir, 40, rank="bm25_rank").select("question_id", "table_id", "bm25_rank")
     return search.fused(dense, lexical).select("question_id", F.col("rank").cast("long").alias("rank"), "table_id", F.col("dense_rank").cast("long").alias("dense_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"), F.round("rrf_score", 9).alias("rrf_score"))
 
 
@@ -93,8 +96,8 @@ def fusion_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused rows with their metadata, or the fields in which the two lists disagree: the lexical list is stale for every seventh table, and lacks a type for every 31st."""
     about = payloads(spark, sf_dir).select("table_id", *search.FIELDS)
     stale = about.withColumn("year", F.when(F.col("table_id") % 7 == 0, F.col("year") - 1).otherwise(F.col("year"))).withColumn("table_type", F.when(F.col("table_id") % 31 != 0, F.col("table_type")))
-    dense = search.top(_dense(spark, sf_dir), 40, rank="dense_rank").select("question_id", "table_id", "dense_rank")
-    lexical = search.top(_lexical(spark, sf_dir), 40, rank="bm25_rank").select("question_id", "table_id", "bm25_rank")
+    dense = _dense(spark, sf_dir, 40, rank="dense_rank").select("question_id", "table_id", "dense_rank")
+    lexical = _best(spark, sf_dir, 40, rank="bm25_rank").select("question_id", "table_id", "bm25_rank")
     checked = search.metadata_conflicts(dense.join(about, "table_id"), lexical.join(stale, "table_id"))
     out = search.fused(dense, lexical).join(checked, ["question_id", "table_id"], "left").join(about, "table_id", "left")
     conflicts = F.coalesce("conflicts", F.lit(""))
@@ -103,7 +106,7 @@ def fusion_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def balanced_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = search.top(_lexical(spark, sf_dir), 80, by=("question_id", "ticker"), rank="bucket_rank")
+    ranked = _best(spark, sf_dir, 80, by_ticker=True, rank="bucket_rank")
     out = search.interleaved(ranked, 80)
     return out.select("question_id", F.col("position").cast("long").alias("position"), "ticker", F.col("bucket_rank").cast("long").alias("bucket_rank"), "table_id")
 
@@ -116,7 +119,7 @@ def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = held.synced(rows.where("table_id % 13 <> 0"))
     held = index.opened(spark, held.path).synced(rows.where("table_id % 5 <> 0")).merged()
     held = index.opened(spark, held.path).synced(rows)
-    best = search.top(held.scores(asked), 10)
+    best = held.best(asked, 10)
     return best.select("question_id", F.col("rank").cast("long").alias("rank"), "table_id", F.round("score", 6).alias("score"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabularium.functions.text import collapse, without_company_form
 from tabularium.operators import search, selection
-from tabularium.queries.search import _LEXICAL, PAYLOADS, _lexical, _rank, fold_sql
+from tabularium.queries.search import _LEXICAL, PAYLOADS, _best, _rank, fold_sql
 from tabularium.queries.search import questions as search_questions
 from tabularium.sources.payloads import lines, payloads, read
 
@@ -55,7 +55,7 @@ def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _candidates(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """The best tables of each question by lexical search, with the question's text."""
     asked = search_questions(spark, sf_dir)
-    return search.top(_lexical(spark, sf_dir), k).withColumnRenamed("ticker", "bucket").join(asked, "question_id")
+    return _best(spark, sf_dir, k).withColumnRenamed("ticker", "bucket").join(asked, "question_id")
 
 
 def _row_size(label: str = "label") -> Column:
@@ -108,7 +108,7 @@ def row_hydration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rerank_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 of a question's 80 best tables, from all its buckets and of all kinds of statement; common words stand for what balance sheets speak of."""
-    ranked = search.top(_lexical(spark, sf_dir), 80)
+    ranked = _best(spark, sf_dir, 80)
     kind = selection.balance_kind(F.col("table_type"), F.col("index_text"), ("the",), ("und", "que"))
     about = payloads(spark, sf_dir).select("table_id", "year", "report_type", kind.alias("statement"))
     out = selection.balanced(ranked.drop("rank").join(about, "table_id"), 20, ("ticker", "year", "report_type"), F.col("statement"))
@@ -129,7 +129,7 @@ def lexical_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fallback_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question's 20 best tables where ranks or scores are missing here and there, in the order that is left."""
-    best = search.top(_lexical(spark, sf_dir), 20)
+    best = _best(spark, sf_dir, 20)
     holes = best.withColumn("rank", F.when(F.col("table_id") % 3 != 0, F.floor(F.col("rank") / 4))).withColumn("score", F.when(F.col("table_id") % 5 == 0, F.lit(float("inf"))).when(F.col("table_id") % 7 != 0, F.col("score")))
     place = F.row_number().over(Window.partitionBy("question_id").orderBy(*selection.fallback_order()))
     return holes.select("question_id", place.cast("long").alias("place"), "table_id")
@@ -150,7 +150,7 @@ def nomination_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def selection_materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selected tables in order, scored (n - position + 1) / n."""
-    best = search.top(_lexical(spark, sf_dir), 18)
+    best = _best(spark, sf_dir, 18)
     n = F.count(F.lit(1)).over(Window.partitionBy("question_id"))
     return best.select("question_id", "table_id", F.round((n - F.col("rank") + 1) / n, 6).alias("selection_score"))
 
@@ -158,7 +158,7 @@ def selection_materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of each question that none of its ten best tables holds."""
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
-    best = search.top(_lexical(spark, sf_dir), 10).select("question_id", "table_id")
+    best = _best(spark, sf_dir, 10).select("question_id", "table_id")
     held = search.postings(payloads(spark, sf_dir), asked).select("table_id", "term")
     covered = best.join(held, "table_id").select("question_id", "term").distinct()
     return asked.join(covered, ["question_id", "term"], "left_anti")
@@ -166,7 +166,7 @@ def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buckets of each question numbered by their first table, tables numbered within: b01_t01 and so on."""
-    best = search.top(_lexical(spark, sf_dir), 20)
+    best = _best(spark, sf_dir, 20)
     first = best.groupBy("question_id", "ticker").agg(F.min("rank").alias("first"))
     numbered = first.withColumn("b", F.row_number().over(Window.partitionBy("question_id").orderBy("first"))).drop("first")
     t = F.row_number().over(Window.partitionBy("question_id", "ticker").orderBy("rank"))

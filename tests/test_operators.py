@@ -319,3 +319,19 @@ def test_rewrite_of_several_companies(spark):
     )
     got = {r["k"]: r["v"] for r in df.select("k", guards.rewritten_question(F.col("q"), F.col("c")).alias("v")).collect()}
     assert got == {1: "Doanh thu và so với VNMX", 2: "lợi nhuận", 3: "Công ty (C\\E) lãi", 4: "lãi và AxB", 5: None, 6: "doanh thu", 7: None, 8: "Công ty VNM"}
+
+
+def test_best_cosine_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(search, "MET_VECTORS", 30)
+    monkeypatch.setattr(search, "MET_QUERIES", 4)
+    rng = random.Random(3)
+    rows = [(k, [float(rng.randint(-2, 2)) for _ in range(4)]) for k in range(120)] + [(k, [1.0, 2.0, 0.0, -1.0]) for k in range(200, 240)]
+    rows += [(300, [0.0] * 4), (301, None), (302, [1.0, None, 0.0, 1.0]), (303, [1.0, 2.0]), (304, [float("nan"), 0.0, 0.0, 1.0]), (305, [])]
+    vectors = spark.createDataFrame(rows, "table_id long, embedding array<float>")
+    queries = vectors.where("table_id % 20 = 0 or table_id >= 300").select(F.col("table_id").alias("question_id"), F.col("embedding").alias("query"))
+    plain = lambda df: sorted((r["question_id"], r["rank"], r["table_id"], str(r["score"])) for r in df.collect())
+    for k in (1, 7, 500):
+        assert plain(search.best_cosine(vectors, queries, k)) == plain(search.top(search.cosine_scores(vectors, queries), k))
+    good = vectors.where("table_id < 300")
+    plan = search.best_cosine(good, good.limit(9).select(F.col("table_id").alias("question_id"), F.col("embedding").alias("query")), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan
