@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tabularium.operators import covering, search
 from tabularium.queries.search import _LEXICAL, _best, _rank, questions
-from tabularium.sources.payloads import payloads
+from tabularium.sources.payloads import of_tables, payloads
+from tabularium.sources.shared import kept
 
 #: Candidates of a question, those whose buckets are required, and tables that a choice may have.
 CANDIDATES, REQUIRED, MOST = 40, 8, 6
@@ -23,12 +24,13 @@ def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     required = best.where(F.col("rank") <= REQUIRED).select("question_id", "bucket").distinct()
     asked = questions(spark, sf_dir).select("question_id", F.array_sort(F.array_distinct(search.tokens(F.col("question")))).alias("asked"))
     declared = required.join(asked, "question_id").select("question_id", "bucket", F.explode(F.filter("asked", lambda w: F.char_length(w) >= 6)).alias("word"))
-    texts = payloads(spark, sf_dir).select("table_id", search.tokens(F.col("index_text")).alias("terms"))
+    texts = of_tables(payloads(spark, sf_dir), best).select("table_id", search.tokens(F.col("index_text")).alias("terms"))
     held = best.join(required, ["question_id", "bucket"]).join(asked, "question_id").join(texts, "table_id")
     words = held.select("question_id", "bucket", "table_id", F.col("rank").alias("position"), F.explode(F.array_intersect("asked", "terms")).alias("word"))
     kind, named = F.col("table_id") % 3, F.concat(F.col("bucket"), F.lit("_"), F.col("word"))
     claim = F.when(kind == 0, named).when(kind == 1, F.col("word")).otherwise(F.concat(F.lit("src"), (F.col("table_id") % 20).cast("string"), F.lit("_"), F.col("word")))
-    return declared.select("question_id", "bucket", F.concat("bucket", F.lit("_"), "word").alias("concept")), words.withColumn("concept", claim)
+    # both are used several times by what is made of them
+    return kept(declared.select("question_id", "bucket", F.concat("bucket", F.lit("_"), "word").alias("concept")), "declared"), kept(words.withColumn("concept", claim), "claims")
 
 
 def _offers(declared: DataFrame, claims: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabularium.operators import reranking, search
 from tabularium.queries.search import _best, _dense, questions
-from tabularium.sources.payloads import payloads
+from tabularium.sources.payloads import of_tables, payloads
 from tabularium.sources.shared import new_folder
 
 FEATURES = ("lexical", "lexical_place", "dense", "dense_place", "word_share", "pair_share", "length")
@@ -32,7 +32,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = search.fused(dense.select(*keys, "dense_rank"), lexical.select(*keys, "bm25_rank")).select(*keys, "rank", "dense_rank", "bm25_rank")
     scores = lambda df, name: df.select(*keys, F.col("score").alias(name))
     asked = questions(spark, sf_dir).select("question_id", search.tokens(F.col("question")).alias("q"))
-    texts = payloads(spark, sf_dir).select("table_id", search.tokens(F.col("index_text")).alias("t"))
+    texts = of_tables(payloads(spark, sf_dir), fused.join(asked, "question_id", "left_semi")).select("table_id", search.tokens(F.col("index_text")).alias("t"))
     # a vector's number can go beyond the questions; what has no question has nothing to be ranked by
     rows = fused.join(scores(dense, "dense"), keys, "left").join(scores(lexical, "lexical"), keys, "left").join(asked, "question_id").join(texts, "table_id")
     share = lambda n: F.try_divide(F.size(F.array_intersect(_runs_or_none(F.col("q"), n), _runs_or_none(F.col("t"), n))), F.size(_runs_or_none(F.col("q"), n)))

@@ -9,15 +9,15 @@ from tabularium.functions.text import collapse, without_company_form
 from tabularium.operators import search, selection
 from tabularium.queries.search import _LEXICAL, PAYLOADS, _best, _rank, fold_sql
 from tabularium.queries.search import questions as search_questions
-from tabularium.sources.payloads import lines, payloads, read
+from tabularium.sources.payloads import lines, of_tables, payloads, read
 
 #: Words that a question shares with table rows.
 ASKED = ("the", "that", "with", "que", "les", "der", "und")
 
 
-def _scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored_lines(spark: SparkSession, sf_dir: str, tables: DataFrame | None = None) -> DataFrame:
     words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("label"), r"[^\p{L}\p{N}_]+", " ")), " "))
-    return lines(spark, sf_dir).withColumn("score", F.size(F.array_intersect(words, F.array(*map(F.lit, ASKED)))))
+    return lines(spark, sf_dir, tables).withColumn("score", F.size(F.array_intersect(words, F.array(*map(F.lit, ASKED)))))
 
 
 def load_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,14 +41,14 @@ def context_seed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.seed_rows(_scored_lines(spark, sf_dir)).select("table_id", F.col("row_position").cast("long").alias("row_position"), F.col("score").cast("long").alias("score"))
 
 
-def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _labels(spark: SparkSession, sf_dir: str, tables: DataFrame | None = None) -> DataFrame:
     """Lines as labels: single spaces, cut to a cell; blank ones are none."""
-    return lines(spark, sf_dir).select("table_id", "row_position", F.substring(collapse(F.col("label")), 1, selection.CELL).alias("label")).where("label <> ''")
+    return lines(spark, sf_dir, tables).select("table_id", "row_position", F.substring(collapse(F.col("label")), 1, selection.CELL).alias("label")).where("label <> ''")
 
 
-def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _titles(spark: SparkSession, sf_dir: str, tables: DataFrame | None = None) -> DataFrame:
     """The first three different labels of each table."""
-    first = _labels(spark, sf_dir).groupBy("table_id", "label").agg(F.min("row_position").alias("first"))
+    first = _labels(spark, sf_dir, tables).groupBy("table_id", "label").agg(F.min("row_position").alias("first"))
     return first.withColumn("title_no", F.row_number().over(Window.partitionBy("table_id").orderBy("first"))).where("title_no <= 3").select("table_id", "title_no", "label")
 
 
@@ -76,18 +76,18 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What speaks for each of the five best tables of a question."""
     candidates = _candidates(spark, sf_dir, 5).select("question_id", "question", "table_id")
-    found = selection.match_summary(candidates, _labels(spark, sf_dir), _titles(spark, sf_dir))
+    found = selection.match_summary(candidates, _labels(spark, sf_dir, candidates), _titles(spark, sf_dir, candidates))
     return found.select("question_id", "table_id", "kind", F.col("n").cast("long").alias("n"), F.col("row_position").cast("long").alias("row_position"), F.md5("title").alias("title_md5"))
 
 
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detailed rows, then catalogue rows, of a question's three best tables, within 6000 characters of JSON; rows that match go first."""
     candidates = _candidates(spark, sf_dir, 3).select("question_id", "question", "table_id")
-    labels, keys = _labels(spark, sf_dir), ["question_id", "table_id"]
-    matched = selection.match_summary(candidates, labels, _titles(spark, sf_dir)).where("row_position is not null")
+    labels, keys = _labels(spark, sf_dir, candidates), ["question_id", "table_id"]
+    matched = selection.match_summary(candidates, labels, _titles(spark, sf_dir, candidates)).where("row_position is not null")
     priority = matched.select(*keys, "row_position", (F.col("n") + F.when(F.col("kind") == "exact_row", 0).otherwise(3)).alias("priority"))
-    about = payloads(spark, sf_dir).select("table_id", F.char_length(F.to_json(F.struct("table_type", F.substring("index_text", 1, 300).alias("index_text")))).alias("header"))
-    listed = labels.join(selection.seed_rows(_scored_lines(spark, sf_dir)).select("table_id", "row_position"), ["table_id", "row_position"], "left_semi").withColumn("which", F.lit(0)).unionByName(labels.withColumn("which", F.lit(1)))
+    about = of_tables(payloads(spark, sf_dir), candidates).select("table_id", F.char_length(F.to_json(F.struct("table_type", F.substring("index_text", 1, 300).alias("index_text")))).alias("header"))
+    listed = labels.join(selection.seed_rows(_scored_lines(spark, sf_dir, candidates)).select("table_id", "row_position"), ["table_id", "row_position"], "left_semi").withColumn("which", F.lit(0)).unionByName(labels.withColumn("which", F.lit(1)))
     rows = candidates.select(*keys).join(listed, "table_id").join(priority, [*keys, "row_position"], "left").join(about, "table_id")
     order = Window.partitionBy(*keys, "which").orderBy(F.col("priority").asc_nulls_last(), "row_position")
     placed = rows.select(*keys, "header", "which", F.row_number().over(order).alias("position"), _row_size().alias("size"))
@@ -122,7 +122,8 @@ def scout_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a question's 20 best tables those with a row or title that is a phrase of it: at most two of a source, eight in all."""
-    out = selection.rescued(_candidates(spark, sf_dir, 20), _labels(spark, sf_dir).select("table_id", "label"))
+    best = _candidates(spark, sf_dir, 20)
+    out = selection.rescued(best, _labels(spark, sf_dir, best).select("table_id", "label"))
     shown = [F.round(f"best.{c}", 6).alias(c) for c in ("label_share", "question_share")]
     return out.select("question_id", F.col("position").cast("long").alias("position"), "bucket", "table_id", F.col("best.overlap").cast("long").alias("overlap"), *shown)
 
@@ -143,7 +144,7 @@ def nomination_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = top.select("question_id", "scout", (F.col("rank") + 20).cast("long").alias("position"), "table_id")
     unknown = top.where("rank <= 2").select("question_id", "scout", F.lit(0).cast("long").alias("position"), (-F.col("table_id") - 1).alias("table_id"))
     scouts = selection.salvaged(named.unionByName(again).unionByName(unknown), best, 4)
-    rescues = selection.rescued(best, _labels(spark, sf_dir).select("table_id", "label")).select("question_id", "table_id", "position")
+    rescues = selection.rescued(best, _labels(spark, sf_dir, best).select("table_id", "label")).select("question_id", "table_id", "position")
     out = selection.nominated(scouts, rescues, best.select("question_id", "table_id", "bucket", "rank"))
     return out.select("question_id", F.col("place").cast("long").alias("place"), "table_id", "bucket", "source")
 
@@ -159,7 +160,7 @@ def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of each question that none of its ten best tables holds."""
     asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
     best = _best(spark, sf_dir, 10).select("question_id", "table_id")
-    held = search.postings(payloads(spark, sf_dir), asked).select("table_id", "term")
+    held = search.postings(of_tables(payloads(spark, sf_dir), best), asked).select("table_id", "term")
     covered = best.join(held, "table_id").select("question_id", "term").distinct()
     return asked.join(covered, ["question_id", "term"], "left_anti")
 

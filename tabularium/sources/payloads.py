@@ -43,7 +43,13 @@ def checked(rows: DataFrame) -> DataFrame:
     return rows.select("*", F.upper("ticker").alias("ticker_code"), text.alias("clean_text"), reason.alias("reject_reason"))
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of tables: the lines of each document with words, numbered from 0 by all its lines."""
-    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("table_id"), F.posexplode(F.split("text", "\n", -1)).alias("row_position", "label"))
+def of_tables(rows: DataFrame, tables: DataFrame | None, key: str = "table_id") -> DataFrame:
+    """rows of these tables alone (table_id), taken before anything is made of their texts; all without them."""
+    return rows if tables is None else rows.join(tables.select(F.col("table_id").alias(key)).distinct(), key, "left_semi")
+
+
+def lines(spark: SparkSession, sf_dir: str, tables: DataFrame | None = None) -> DataFrame:
+    """Rows of tables: the lines of each document (of each of these tables) with words, numbered from 0 by all its lines."""
+    docs = of_tables(read(spark, sf_dir, "documents").select("doc_id", "text"), tables, "doc_id")
+    rows = docs.select(F.col("doc_id").alias("table_id"), F.posexplode(F.split("text", "\n", -1)).alias("row_position", "label"))
     return rows.where(F.trim("label") != "")
