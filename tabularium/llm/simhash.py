@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabularium.llm import similar
-from tabularium.llm.common import byte_values, discard, fresh, staged
+from tabularium.llm.common import byte_values, components, discard, fresh, staged
 
 BITS = 64
 SHINGLE = 3
@@ -209,24 +209,6 @@ def links(fps: DataFrame) -> DataFrame:
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node that each node of edges (a, b) reaches, by alternating large and small stars."""
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    sign, held = None, None
-    while True:
-        sides = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        new = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        discard(held)
-        if new == sign:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        sign, held = new, now
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): a row per document; see the module's text."""
     rows = staged(fingerprints(docs, doc_id, text), "fingerprints")

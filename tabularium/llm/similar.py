@@ -3,9 +3,10 @@
 Each distinct text gets least hashes of its sequences of SHINGLE words, in BANDS bands of BAND_ROWS. Texts that
 share a band meet in a bucket, and each is compared with three texts of the bucket: the two that come first in two
 orders by hash, and the one whose buckets hold most texts in all, which is the text that the others are copies of, if
-there is one; so a bucket of n texts gives 3 n pairs at most. Each pair is then decided by the exact similarity
-of its texts. Two texts of similarity 0.8 share a bucket with probability 0.99997; what lets a pair of a large
-bucket go is that neither is compared with the other and no chain of links joins them.
+there is one; so a bucket of n texts gives 3 n pairs at most at first. Each pair is decided by the exact similarity
+of its texts. What these links leave in different classes is then compared pair by pair within each bucket, where the numbers
+of sequences allow the similarity; pairs of one class need no comparison. So every pair that shares a bucket
+is linked or joined by a chain if it is similar. Two texts of similarity 0.8 share a bucket with probability 0.99997.
 
 Defined results: texts without words have no bands; those of fewer than SHINGLE words are one sequence.
 """
@@ -20,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import byte_values, staged
+from tabularium.llm.common import byte_values, components, staged
 
 SHINGLE = 5
 #: Texts are near copies from this similarity on.
 LEAST = 0.8
 BANDS, BAND_ROWS = 20, 4
-#: Sequences hashed at once.
-CHUNK = 1 << 12
+#: Sequences hashed at once, and texts of a bucket that meet as many in a task.
+CHUNK, MET = 1 << 12, 1 << 10
 
 _RNG = np.random.default_rng(7)
 _TIMES = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -43,7 +44,10 @@ def shingles(data: bytes | None, size: int = SHINGLE) -> set[bytes]:
 
 def bands(data: bytes | None) -> list[int]:
     """A hash of each band of the text's least hashes; none if it has no words."""
-    own = shingles(data)
+    return _bands(shingles(data))
+
+
+def _bands(own: set[bytes]) -> list[int]:
     if not own:
         return []
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
@@ -67,8 +71,8 @@ def pairs(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFram
 
     def sketch(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            found = [bands(x) for x in byte_values(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["t", "bands"])
+            found = [(len(own), _bands(own)) for own in map(shingles, byte_values(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int32()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["t", "size", "bands"])
 
     def decide(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -76,10 +80,10 @@ def pairs(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFram
             yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     whole = docs.select(F.xxhash64(F.col(text).cast("string")).alias("t"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    sketches = whole.mapInArrow(sketch, "t long, bands array<long>").groupBy("t").agg(F.first("bands").alias("bands"))
-    held = staged(sketches.select("t", F.posexplode("bands").alias("band", "key")), "bands")
+    sketches = whole.mapInArrow(sketch, "t long, size int, bands array<long>").groupBy("t").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    held = staged(sketches.select("t", "size", F.posexplode("bands").alias("band", "key")), "bands")
     sizes = held.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = staged(held.join(sizes, ["band", "key"]).select("t", "band", "key", "n"), "members")
+    members = staged(held.join(sizes, ["band", "key"]).select("t", "size", "band", "key", "n"), "members")
     weighed = members.join(members.groupBy("t").agg(F.sum("n").alias("weight")), "t")
     first = [F.min(F.struct(F.xxhash64("t", F.lit(k)).alias("rank"), "t")).getField("t").alias(f"c{k}") for k in (0, 1)]
     centres = weighed.groupBy("band", "key").agg(*first, F.max(F.struct("weight", "t")).getField("t").alias("c2"))
@@ -89,5 +93,26 @@ def pairs(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFram
     # copies are cut to one before the shuffle, so that a large group of them is a few rows
     texts = staged(whole.groupBy("t").agg(F.first("text").alias("text")).join(ends, "t", "left_semi"), "texts")
     sides = [texts.select(F.col("t").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab"]
-    both = wanted.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(decide, "a long, b long")
+
+    def decided(some: DataFrame) -> DataFrame:
+        return some.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b").mapInArrow(decide, "a long, b long")
+
+    found = staged(decided(wanted), "centre_links")
+    rest = staged(_apart(members, components(found), least).join(wanted, ["a", "b"], "left_anti"), "rest")
+    return found.unionByName(decided(rest))
+
+
+def _apart(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of a bucket whose texts are in different classes (node, root) and could be similar by their numbers of sequences.
+
+    A large bucket is cut into parts, and each two of them meet by themselves.
+    """
+    rooted = members.join(classes.select(F.col("node").alias("t"), "root"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+    mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
+    parts = F.ceil(F.col("n") / MET).cast("int")
+    rows = rooted.join(mixed, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("t", F.lit(2)), parts).cast("int")).withColumn("parts", parts)
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    side = lambda x, i, j: rows.select("band", "key", F.col("t").alias(x), F.col("root").alias(f"root_{x}"), F.col("size").alias(f"size_{x}"), i.alias("i"), j.alias("j"))
+    met = side("a", F.col("own"), every).join(side("b", every, F.col("own")), ["band", "key", "i", "j"])
+    could = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9
+    return met.where((F.col("root_a") < F.col("root_b")) & could).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
