@@ -4,8 +4,8 @@ Each distinct text gets least hashes of its sequences of SHINGLE words, in BANDS
 share a band meet in a bucket, and each is compared with three texts of the bucket: the two that come first in two
 orders by hash, and the one whose buckets hold most texts in all, which is the text that the others are copies of, if
 there is one; so a bucket of n texts gives 3 n pairs at most at first. Each pair is decided by the exact similarity
-of its texts. What these links leave in different classes is then compared pair by pair within each bucket, where the numbers
-of sequences allow the similarity; pairs of one class need no comparison. So every pair that shares a bucket
+of its texts. What these links leave in different classes then meets by its rarest sequences (a prefix filter with places, which
+loses no similar pair); pairs of one class need no comparison. So every pair that shares a bucket
 is linked or joined by a chain if it is similar. Two texts of similarity 0.8 share a bucket with probability 0.99997.
 
 Defined results: texts without words have no bands; those of fewer than SHINGLE words are one sequence.
@@ -27,7 +27,7 @@ SHINGLE = 5
 #: Texts are near copies from this similarity on.
 LEAST = 0.8
 BANDS, BAND_ROWS = 20, 4
-#: Sequences hashed at once, and texts of a bucket that meet as many in a task.
+#: Sequences hashed at once, and texts with a sequence that meet as many in a task.
 CHUNK, MET = 1 << 12, 1 << 10
 
 _RNG = np.random.default_rng(7)
@@ -98,21 +98,37 @@ def pairs(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFram
         return some.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b").mapInArrow(decide, "a long, b long")
 
     found = staged(decided(wanted), "centre_links")
-    rest = staged(_apart(members, components(found), least).join(wanted, ["a", "b"], "left_anti"), "rest")
+    rest = staged(_apart(members, components(found), texts, least).join(wanted, ["a", "b"], "left_anti"), "rest")
     return found.unionByName(decided(rest))
 
 
-def _apart(members: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """(a, b): pairs of a bucket whose texts are in different classes (node, root) and could be similar by their numbers of sequences.
+def _apart(members: DataFrame, classes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of texts of different classes (node, root) that could be similar, among those whose buckets hold several classes.
 
-    A large bucket is cut into parts, and each two of them meet by themselves.
+    A text's sequences stand in one order, rare ones first. The first one that two similar texts share is in the prefix of both
+    (as many as may be missing from the other, and one), and behind it enough must be left of both. So texts meet by the sequences of
+    their prefixes, and a sequence of many texts is cut into parts, of which each two meet by themselves.
     """
     rooted = members.join(classes.select(F.col("node").alias("t"), "root"), "t", "left").withColumn("root", F.coalesce("root", "t"))
     mixed = rooted.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
-    parts = F.ceil(F.col("n") / MET).cast("int")
-    rows = rooted.join(mixed, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("t", F.lit(2)), parts).cast("int")).withColumn("parts", parts)
+    own = rooted.join(mixed, ["band", "key"], "left_semi").groupBy("t").agg(F.first("root").alias("root"), F.first("size").alias("size"))
+
+    def cut(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            found = [list({xxhash.xxh64_intdigest(x) - (1 << 63) for x in shingles(data)}) for data in byte_values(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["t", "own"])
+
+    held = staged(texts.join(own, "t", "left_semi").select("t", "text").mapInArrow(cut, "t long, own array<long>").select("t", F.explode("own").alias("s")), "sequences")
+    shared = held.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # sequences of one text alone stand before all others, and no text meets by them
+    ranked = held.join(shared, "s").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("own")).join(own, "t")
+    prefix = F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1
+    alone = F.col("size") - F.size("own")
+    each = ranked.select("t", "root", "size", alone.alias("alone"), F.posexplode(F.slice("own", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))).alias("at", "x"))
+    parts = F.ceil(F.col("x.n") / MET).cast("int")
+    rows = staged(each.select("t", "root", "size", (F.col("size") - F.col("alone") - F.col("at")).alias("left"), F.col("x.s").alias("s"), F.pmod(F.xxhash64("t", F.lit(2)), parts).cast("int").alias("own"), parts.alias("parts")), "prefixes")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    side = lambda x, i, j: rows.select("band", "key", F.col("t").alias(x), F.col("root").alias(f"root_{x}"), F.col("size").alias(f"size_{x}"), i.alias("i"), j.alias("j"))
-    met = side("a", F.col("own"), every).join(side("b", every, F.col("own")), ["band", "key", "i", "j"])
-    could = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9
+    side = lambda x, i, j: rows.select("s", F.col("t").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("root", "size", "left")), i.alias("i"), j.alias("j"))
+    met = side("a", F.col("own"), every).join(side("b", every, F.col("own")), ["s", "i", "j"])
+    could = F.least("left_a", "left_b") >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - 1e-9
     return met.where((F.col("root_a") < F.col("root_b")) & could).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

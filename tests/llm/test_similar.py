@@ -46,3 +46,17 @@ def test_large_buckets_lose_no_pair(spark):
     assert {frozenset(x) for x in got} <= {frozenset(x) for x in wanted}
     assert len(wanted) >= 35
     assert classes(got, ids.values()) == classes(wanted, ids.values())
+
+
+def test_a_large_group_of_texts_that_are_not_similar_is_not_compared_pair_by_pair(spark, monkeypatch):
+    rng, held, apart = random.Random(6), [], similar._apart
+    texts = []
+    for _ in range(80):  # each two of similarity 0.6: most share a bucket
+        words = [f"w{k}" for k in range(200)]
+        for k in rng.sample(range(200), 5):
+            words[k] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    monkeypatch.setattr(similar, "_apart", lambda *args: held.append(apart(*args)) or held[0])
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert similar.pairs(frame).count() == 0
+    assert held[0].count() < 5 * len(texts)
