@@ -218,7 +218,8 @@ def entity_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("other"))
     texts = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(near, F.col("k") == (F.col("c_custkey") % 25).cast("int"))
     words = F.split(selection.match_text(F.concat_ws(" ", F.lit("orders of"), "n_name", F.lit("and"), "other", F.lit("in"), "c_mktsegment")), " ")
-    grams = texts.select("c_custkey", F.explode(selection.windows(words, 3)).alias("w")).select("c_custkey", "w.start", "w.size", "w.text")
+    # a column of their own, or each window would fold the text anew
+    grams = texts.select("c_custkey", words.alias("words")).select("c_custkey", F.explode(selection.windows(F.col("words"), 3)).alias("w")).select("c_custkey", "w.start", "w.size", "w.text")
     known = nation.select(F.col("n_nationkey").alias("entity"), selection.match_text(F.col("n_name")).alias("text"))
     found = grams.join(known, "text").groupBy("c_custkey", "entity").agg(F.min("start").cast("long").alias("start"))
     return found.select("c_custkey", F.col("entity").cast("long").alias("entity"), "start")

@@ -335,3 +335,11 @@ def test_best_cosine_against_all_pairs(spark, monkeypatch):
     good = vectors.where("table_id < 300")
     plan = search.best_cosine(good, good.limit(9).select(F.col("table_id").alias("question_id"), F.col("embedding").alias("query")), 3)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan
+
+
+def test_windows_of_entity_exact_do_not_fold_texts_anew(spark):
+    from tabularium.queries import selection as queries
+
+    plan = queries.entity_exact(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    generators = [line for line in plan.splitlines() if "Generate explode" in line]
+    assert generators and not any("regexp_replace" in line for line in generators)
