@@ -66,7 +66,9 @@ def csv_cells(files: DataFrame, table_id: str = "table_id", content: str = "cont
         return read.withColumn(name, F.slice(F.array(*(F.translate(f"_read.c{k}", _BREAK, "\n") for k in range(most + 1))), F.lit(1), F.col("_n"))).drop("_read", "_n", line)
 
     heads = with_fields(lines.select("table_id", F.element_at("lines", 1).alias("head"), F.slice("lines", 2, 1 << 30).alias("rest")), "head", "head_fields")
-    rows = heads.select("table_id", _names(F.col("head_fields")).alias("names"), F.posexplode("rest").alias("row_position", "line"))
+    # names are made once a file; in one select with the rows they would be made for each
+    named = heads.select("table_id", _names(F.col("head_fields")).alias("names"), "rest")
+    rows = named.select("table_id", "names", F.posexplode("rest").alias("row_position", "line"))
     parsed = with_fields(rows, "line", "values")
     cells = parsed.select("table_id", "row_position", F.posexplode(F.arrays_zip("names", "values")).alias("column_position", "c"))
     return cells.select("table_id", "row_position", "column_position", F.col("c.names").alias("column_name"), F.col("c.values").alias("value"))
@@ -82,18 +84,21 @@ def typed(cells: DataFrame, by: Sequence[str] = ("table_id", "column_position",
     A column is of the narrowest type that all its cells can be read as; whole numbers with a missing cell are float64,
     truth values with one are object, and a column without any value is float64.
     """
-    v, none = F.col("value"), is_missing(F.col("value"))
-    whole = v.rlike(_INT)
-    number = F.when(whole, F.expr("try_cast(trim(BOTH ' \t' FROM value) AS decimal(38, 0))"))
+    # each cell is matched once, for all that is counted of it
+    v = F.col("value")
+    seen = cells.select(*by, "value", is_missing(v).alias("none"), v.rlike(_INT).alias("whole"))
+    number = F.when(F.col("whole"), F.expr("try_cast(trim(BOTH ' \t' FROM value) AS decimal(38, 0))"))
+    marked = seen.select(*by, "none", "whole", number.alias("number"), v.isin(*TRUTH).alias("truth"), (F.col("whole") | v.rlike(_FLOAT)).alias("decimal"))
+    none, number = F.col("none"), F.col("number")
     every = lambda c: F.bool_and(none | c)
-    held = cells.groupBy(*by).agg(
+    held = marked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_cells"),
         F.count_if(none).alias("n_missing"),
-        every(v.isin(*TRUTH)).alias("truth"),
-        every(whole).alias("whole"),
+        every(F.col("truth")).alias("truth"),
+        every(F.col("whole")).alias("whole"),
         every(F.coalesce(number.between(-(1 << 63), (1 << 63) - 1), F.lit(False))).alias("signed"),
         every(F.coalesce(number.between(0, Decimal((1 << 64) - 1)), F.lit(False))).alias("unsigned"),
-        every(v.rlike(_FLOAT)).alias("decimal"),
+        every(F.col("decimal")).alias("decimal"),
     )
     full = F.col("n_missing") == 0
     dtype = (
@@ -110,19 +115,24 @@ def _compact(value: Column) -> Column:
     return F.nullif(F.substring(collapse(value), 1, CELL), F.lit(""))
 
 
+def _shown(cells: DataFrame) -> DataFrame:
+    """cells with what is shown of their values, made once for each."""
+    return cells.withColumn("shown", F.when(~is_missing(F.col("value")), _compact(F.col("value"))))
+
+
 def _identity() -> list[Column]:
-    """Aggregates over the cells of a row: its label (of a label column, else of the first column), code and title."""
+    """Aggregates over _shown() cells of a row: its label (of a label column, else of the first column), code and title."""
     known = F.array(*map(F.lit, LABELS))
     # label columns come first, in their order, and then the columns as they stand
     place = F.when(F.col("column_name").isin(*LABELS), F.array_position(known, F.col("column_name")) - len(LABELS) - 1).otherwise(F.col("column_position"))
-    value = F.when(~is_missing(F.col("value")), _compact(F.col("value")))
+    value = F.col("shown")
     of = lambda name: F.max(F.when(F.col("column_name") == name, value))
     return [F.min_by(value, place).alias("label"), of(CODE).alias("code"), of(TITLE).alias("title")]
 
 
 def row_catalog(cells: DataFrame) -> DataFrame:
     """A row for each row of a table, with its label, code and title."""
-    return cells.groupBy("table_id", "row_position").agg(*_identity())
+    return _shown(cells).groupBy("table_id", "row_position").agg(*_identity())
 
 
 def inventory(cells: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
@@ -133,8 +143,8 @@ def inventory(cells: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     use row_catalog() and typed(), whose rows are not gathered.
     """
     columns = typed(cells).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("column_position", "column_name", "dtype"))).alias("columns"))
-    value = F.when(~is_missing(F.col("value")), _compact(F.col("value"))).alias("value")
-    whole = cells.groupBy("table_id", "row_position").agg(*_identity(), F.array_sort(F.collect_list(F.struct("column_position", "column_name", value))).alias("values"))
+    value = F.col("shown").alias("value")
+    whole = _shown(cells).groupBy("table_id", "row_position").agg(*_identity(), F.array_sort(F.collect_list(F.struct("column_position", "column_name", value))).alias("values"))
     rows = whole.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row_position", "label", "code", "title", "values"))).alias("rows"))
     if chosen is None:
         rows = rows.withColumn("chosen", F.array().cast("array<int>"))

@@ -71,3 +71,10 @@ def test_labels_and_chosen_rows(spark):
     assert [d.row_position for d in seen[2].detailed_rows] == [0, 1] and seen[3].detailed_rows is None and seen[3].row_count == 12
     assert [(c.column_name, c.dtype) for c in seen[2].columns] == [("x", "float64"), ("y", "int64")]
     assert {r.table_id for r in cells.inventory(read).where("detailed_rows is not null").collect()} == {2}
+
+
+def test_cells_are_matched_once_and_not_within_aggregates(spark):
+    files = spark.createDataFrame([(1, "item_label_norm,item_code\na,1\nb,2")], "table_id long, content string")
+    plan = cells.inventory(cells.csv_cells(files))._jdf.queryExecution().optimizedPlan().toString()
+    aggregates = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert aggregates and not any("regexp_replace" in line or "RLIKE" in line for line in aggregates)
