@@ -1,27 +1,27 @@
 """Language-model scores: a causal self-attention model over subword ids, trained here in numpy.
 
-The model. A word's probability is that of the class of its first subword, given
-the words before it, times that of the word within the class. The class comes
-from one head of causal self-attention over the words before it, each of which
-is looked up by its first subword; its logits are added to the logarithms of
-the classes' shares of all training words. Within a class the counts of words
-decide, less a discount; what the discount leaves goes to a chain over the
-word's subwords, in which each subword (or the end of the word) depends on the
-one before it, so words that training never saw have their share. The end of a
-text is a word and a class of its own.
+The model. A text is the subwords of its words and one end. Each is predicted
+from all that stand before it in its window: one head of causal self-attention
+runs over every subword, and its logits are added to the logarithms of a table
+of what follows the last subword. The table is counted over all training words:
+within words by the chain (what follows a subword, or the end of the word),
+after words by the shares of words' beginnings. Frequent subwords have a row of
+their own, the others share ROWS_SHARED rows of about equal weight. A row is
+predicted in two steps: its class, then the row among those of the class (most
+classes are one row). A subword's share of its row comes from its count.
 
 A text is cut into overlapping windows: the last SCORED positions of a window
-are predicted, those before them are context, so each word is scored once, with
-at least CONTEXT words before it where the text has them. Windows are scored in
-batches under one mask. There is one head, so the matrices of queries and keys
-are held as their product, and so are those of values and output.
+are predicted, those before them are context, so each subword is scored once,
+with at least CONTEXT subwords before it where the text has them. Windows are
+scored in batches under one mask. There is one head, so the matrices of queries
+and keys are held as their product, and so are those of values and output.
 
 Training. Documents whose crc32(id) mod 10 is 0 are held out. All others are
 counted, and the weights of the attention are fitted on all their windows:
-texts become rows of word classes, equal rows become one with its number as
-weight, and each row goes to the task that a hash of the row names, so the
+texts become chunks of subwords' rows, equal chunks become one with its number as
+weight, and each chunk goes to the task that a hash of it names, so the
 weights depend neither on files nor on partitions. Each round takes its part of
-all rows; each task improves the weights on its rows by Adam, and the mean of
+all chunks; each task improves the weights on its own by Adam, and the mean of
 all tasks, weighted by their windows, goes on to the next round.
 
 Base scores take each word's count. Counts of frequent words are sent to the
@@ -55,16 +55,16 @@ HELD_OUT_OF = 10
 #: Frequent words sent to the executors, and bytes of text whose words are counted or looked up, or scored together.
 SENT, TOGETHER, SCORED_TOGETHER = 100_000, 1 << 23, 1 << 22
 
-CONTEXT, SCORED, WIDTH = 16, 16, 16
+CONTEXT, SCORED, WIDTH = 16, 32, 16
 WINDOW = CONTEXT + SCORED
-#: Classes of first subwords, and how many of them are of several subwords; the same for the rows of embeddings.
-CLASSES, SHARED, ROWS, ROWS_SHARED = 96, 16, 1024, 64
+#: Classes of rows, and how many of them are of several rows; rows of subwords, and how many of them are of several subwords.
+CLASSES, SHARED, ROWS, ROWS_SHARED = 48, 24, 1024, 64
 #: The same for the chain: what comes next, and what it depends on.
 NEXT, NEXT_SHARED, LAST, LAST_SHARED = 1024, 64, 2048, 64
 #: What each word's count loses to the chain, and what a row of the chain counts as seen of the shares of all subwords.
 DISCOUNT, PRIOR = 0.75, 50.0
-#: Words of a row of training text, of a task, and rows that a task mixes before it cuts batches.
-CHUNK, TASK_WORDS, MIXED = 1024, 4_000_000, 64
+#: Subwords of a chunk of training text, of a task, and chunks that a task mixes before it cuts batches.
+CHUNK, TASK_SUBWORDS, MIXED = 1024, 8_000_000, 64
 ROUNDS, BATCH, RATE, SLOWER, DECAY = 2, 128, 0.02, 100.0, 0.002
 #: Values of a weight array that are averaged together.
 PART = 4096
@@ -153,10 +153,13 @@ def ranked(weight: np.ndarray, classes: int, shared: int, order: np.ndarray | No
 
 
 class Classes:
-    """Of each subword: the row of words that begin with it, the row's class, and its place in the chain."""
+    """Of each subword: its row, the row's class, and its place in the chain.
 
-    def __init__(self, firsts: np.ndarray, types: np.ndarray, found: np.ndarray):
-        weight = firsts + ADD
+    own is by what rows and classes are ranked; the model takes how often each subword is found, as the third.
+    """
+
+    def __init__(self, own: np.ndarray, types: np.ndarray, found: np.ndarray):
+        weight = own + ADD
         alone = weight.copy()
         alone[-1] = weight.max() + 1  # the end is a class of its own
         self.row = ranked(alone, ROWS, ROWS_SHARED)
@@ -164,11 +167,12 @@ class Classes:
         self.of, self.of_row = of_row[self.row], np.append(of_row, 0)  # the last row is before the text
         total = np.bincount(self.of, weights=weight, minlength=CLASSES)
         self.log_first = np.log(weight / total[self.of])
+        self.log_share = np.log(weight / np.bincount(self.row, weights=weight, minlength=ROWS)[self.row])
         self.log_class = np.log(np.maximum(total, ADD) / np.maximum(total, ADD).sum()).astype(np.float32)
-        seen, kinds = (np.bincount(self.of, weights=x, minlength=CLASSES) for x in (firsts, types))
+        seen, kinds = (np.bincount(self.of, weights=x, minlength=CLASSES) for x in (own, types))
         # a word of class k has max(count - DISCOUNT, 0) * per_word[k] + exp(log_for_chain[k] + log_chain())
         self.per_word = np.where(seen > 0, 1 / np.maximum(seen, 1), 0.0)
-        self.log_for_chain = np.log(np.where(seen > 0, DISCOUNT * kinds * self.per_word, 1.0))
+        self.log_for_chain = np.log(np.where(kinds * seen > 0, DISCOUNT * kinds * self.per_word, 1.0))
         # the end takes no part in the chain
         body = found[:-1] + ADD
         self.next, self.last = ranked(body, NEXT, NEXT_SHARED), ranked(body, LAST, LAST_SHARED)
@@ -191,6 +195,65 @@ class Classes:
         step = self.chain[self.last[ids], np.where(end, NEXT, self.next[following])] + np.where(end, 0.0, self.log_next[following])
         return np.add.reduceat(step.astype(float), first) + self.log_first[ids[first]]
 
+    def table(self, firsts: np.ndarray, found: np.ndarray) -> Table:
+        """From the fitted chain and words' beginnings (and ends of texts, at last): the share of each row after each row, and before a text."""
+        body, start = found[:-1] + ADD, np.bincount(self.row, weights=firsts + ADD, minlength=ROWS)
+        into, after = np.zeros((NEXT, ROWS)), np.zeros((ROWS + 1, LAST))
+        np.add.at(into, (self.next, self.row[:-1]), np.exp(self.log_next))  # a class of the chain is of these rows
+        np.add.at(after, (self.row[:-1], self.last), body)
+        after /= np.maximum(after.sum(axis=1, keepdims=True), ADD)
+        chain = after @ np.exp(self.chain.astype(float))
+        over = np.where(after.any(axis=1), chain[:, NEXT], 1.0)  # after the end of a text, and before it, a word begins
+        return Table(chain[:, :NEXT] @ into + over[:, None] * (start / start.sum()), self.of_row[:ROWS])
+
+
+class Table:
+    """Logarithms of the shares of classes after each row, and of the rows of a class within it; the rows of a class stand together."""
+
+    def __init__(self, shares: np.ndarray, of_row: np.ndarray):
+        self.low = np.searchsorted(of_row, np.arange(CLASSES + 1))
+        self.several = np.flatnonzero(np.diff(self.low) > 1)
+        shares = np.maximum(shares, 1e-12)
+        total = np.stack([shares[:, low:high].sum(axis=1) for low, high in zip(self.low, self.low[1:], strict=False)], axis=1)
+        self.classes = np.log(np.maximum(total, 1e-12) / total.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.rows = {k: np.log(shares[:, self.low[k] : self.low[k + 1]] / total[:, k, None]).astype(np.float32) for k in self.several}
+
+
+class Within:
+    """Of the targets in use whose class has several rows: the share of the row in its class. They stand by class, their logits one after the other."""
+
+    def __init__(self, table: Table, inner: np.ndarray, h: np.ndarray, before: np.ndarray, classes: np.ndarray, exact: np.ndarray, use: np.ndarray):
+        width = np.diff(table.low)
+        at = np.flatnonzero((width[classes] > 1) & use)
+        at = self.at = at[np.argsort(classes[at].astype(np.int16), kind="stable")]
+        classes, before = classes[at], before[at]
+        self.inner, self.h, self.width = inner, h.take(at, axis=0), width[classes]
+        stop = np.cumsum(self.width)
+        start = stop - self.width
+        self.logits = np.empty(int(self.width.sum()), h.dtype)
+        bounds = np.searchsorted(classes, np.append(table.several, CLASSES)).tolist()
+        #: Of each class its rows, its places in at, and its logits.
+        self.parts = [(slice(table.low[k], table.low[k + 1]), slice(low, high), self.logits[start[low] : stop[high - 1]].reshape(high - low, -1)) for k, low, high in zip(table.several, bounds, bounds[1:], strict=False) if high > low]
+        for rows, own, logits in self.parts:
+            np.matmul(self.h[own], inner[rows].T, out=logits)
+            logits += table.rows[classes[own.start]].take(before[own], axis=0)
+        np.clip(self.logits, -60, 60, out=self.logits)
+        self.own = start + exact[at] - table.low[classes]
+        self.right = self.logits[self.own]
+        np.exp(self.logits, out=self.logits)
+        self.total = np.add.reduceat(self.logits, start) if len(at) else self.right
+        self.right = self.right - np.log(self.total)
+
+    def add_gradient(self, use: np.ndarray, by_inner: np.ndarray, by_h: np.ndarray) -> None:
+        use = use[self.at]
+        self.logits *= np.repeat(use / self.total, self.width)
+        self.logits[self.own] -= use
+        own_h = np.empty_like(self.h)
+        for rows, own, logits in self.parts:
+            np.matmul(logits.T, self.h[own], out=by_inner[rows])
+            np.matmul(logits, self.inner[rows], out=own_h[own])
+        by_h[self.at] += own_h
+
 
 def chain_pairs(counts: DataFrame, classes: Classes, tokenizer: str) -> np.ndarray:
     """What fit_chain() takes, from all training words."""
@@ -218,25 +281,34 @@ class Lexicon:
         self.classes = classes
         self.words, self.n = pa.array([w for w in words if w != END], pa.large_binary()), np.array([x for w, x in zip(words, n, strict=True) if w != END], np.int64)
         self.ends = dict(zip(words, n, strict=True)).get(END)
-        self.row, self.of, self.chain = self._looked_up(self.words.to_pylist(), splitter(tokenizer))
+        self.rows, self.sizes, self.share = self._looked_up(self.words.to_pylist(), splitter(tokenizer))
+        self.start = np.cumsum(self.sizes) - self.sizes
 
     def _looked_up(self, words: list[bytes], split) -> tuple[np.ndarray, ...]:  # noqa: ANN001
+        """The rows of all subwords of the words, one after the other; of each word how many, and the sum of their shares' logarithms."""
         ids, sizes = split(words)
-        first = ids[np.cumsum(sizes) - sizes]
-        return self.classes.row[first], self.classes.of[first], self.classes.log_chain(ids, sizes)
+        share = np.add.reduceat(self.classes.log_share[ids], np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
+        return self.classes.row[ids].astype(np.int16), sizes, share
 
-    def about(self, words: pa.Array, split) -> tuple[np.ndarray, ...]:  # noqa: ANN001
-        """Of each word: row, class, share of its class by the chain (its logarithm), and the count if it was sent (else -1)."""
+    def texts(self, places: np.ndarray, words: pa.Array, n_words: np.ndarray, split) -> tuple[np.ndarray, ...]:  # noqa: ANN001
+        """Texts as words_in() has them: the rows of all their subwords and ends; of each text how many; of each word of the list
+        the sum of its shares' logarithms, and the count if it was sent (else -1)."""
         at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False)
-        other = at < 0
-        found = [np.append(x, 0)[at] for x in (self.row, self.of, self.chain)]
-        for held, own in zip(found, self._looked_up(words.filter(pa.array(other)).to_pylist(), split), strict=True):
-            held[other] = own
-        return *found, np.append(self.n, -1)[at]
+        other, n = at < 0, len(words)
+        rows, sizes, share = self._looked_up(words.filter(pa.array(other)).to_pylist(), split)
+        # of the list's words, and at last the end: where the rows begin, and how many
+        start, size, shares = (np.append(np.append(x, 0)[at], last) for x, last in ((self.start, len(self.rows) + len(rows)), (self.sizes, 1), (self.share, 0.0)))
+        start[:n][other], size[:n][other], shares[:n][other] = len(self.rows) + np.cumsum(sizes) - sizes, sizes, share
+        rows = np.concatenate([self.rows, rows, self.classes.row[-1:].astype(np.int16)])
+        own = np.insert(places.astype(np.int32), np.cumsum(n_words), n)
+        sizes = size[own]
+        stop = np.cumsum(sizes)
+        every = rows[np.repeat((start[own] - stop + sizes).astype(np.int32), sizes) + np.arange(stop[-1] if len(stop) else 0, dtype=np.int32)]
+        return every, np.diff(stop[np.cumsum(n_words + 1) - 1], prepend=0), shares[:n], np.append(self.n, -1)[at]
 
 
 #: The weights, by name, with their shapes; they travel as one flat array. The last row of embeddings is what stands before a text.
-SHAPES = {"embed": (ROWS + 1, WIDTH), "place": (WINDOW, WIDTH), "look": (WIDTH, WIDTH), "take": (WIDTH, WIDTH), "out": (WIDTH, CLASSES)}
+SHAPES = {"embed": (ROWS + 1, WIDTH), "place": (WINDOW, WIDTH), "look": (WIDTH, WIDTH), "take": (WIDTH, WIDTH), "out": (WIDTH, CLASSES), "inner": (ROWS, WIDTH)}
 N_WEIGHTS = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
@@ -253,6 +325,7 @@ def first_weights(seed: int = 7) -> np.ndarray:
     w = unflat(flat)
     w["take"] += np.eye(WIDTH, dtype=np.float32)
     w["out"] *= 0.1
+    w["inner"] *= 0.1
     return flat
 
 
@@ -283,37 +356,54 @@ def _attention(w: dict[str, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray,
     np.clip(a, -60, 60, out=a)
     np.exp(a, out=a)
     a *= MASK
-    a /= a.sum(axis=2, keepdims=True)
+    a *= (1 / (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype))).reshape(*a.shape[:2], 1)
     z = np.matmul(a, x)
     h = last + (z.reshape(-1, WIDTH) @ w["take"]).reshape(last.shape)
     return x, last, query, a, z, h
 
 
-def gradient(flat: np.ndarray, base: np.ndarray, rows: np.ndarray, targets: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean loss, and its gradient, over windows: rows[b, WINDOW] of embeddings, targets and weight[b, SCORED]; base: logits without attention."""
+def _softmax(logits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """In place of the logits their exponentials; their sums; and the logarithm of the share at each one's own place."""
+    np.clip(logits, -60, 60, out=logits)
+    right = logits[np.arange(len(own)), own]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    return logits, total, right - np.log(total)
+
+
+def gradient(flat: np.ndarray, base: np.ndarray, rows: np.ndarray, targets: np.ndarray, weight: np.ndarray, table: Table | None = None, exact: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """Mean loss, and its gradient, over windows: rows[b, WINDOW], classes targets and weight[b, SCORED]; base: logits without attention.
+
+    With a table, it takes the place of base, and of classes of several rows the row itself, exact[b, SCORED], is predicted too.
+    """
     w, grads = unflat(flat), np.zeros_like(flat)
     g, own = unflat(grads), targets.ravel()
     x, last, query, a, z, h = _attention(w, rows)
     flat_h = h.reshape(-1, WIDTH)
+    before = rows[:, CONTEXT:].ravel()
     p = flat_h @ w["out"]
-    p += base
-    p -= p.max(axis=1, keepdims=True)
-    np.exp(p, out=p)
-    p /= p.sum(axis=1, keepdims=True)
-    at, use, n = np.arange(len(own)), weight.reshape(-1, 1), max(float(weight.sum()), 1.0)
-    loss = float(-(np.log(np.maximum(p[at, own], 1e-30)) * use[:, 0]).sum() / n)
-    p[at, own] -= 1
-    p *= (use / n).astype(p.dtype)
+    p += base if table is None else table.classes.take(before, axis=0)
+    n = max(float(weight.sum()), 1.0)
+    use = weight.ravel().astype(flat.dtype) / flat.dtype.type(n)
+    p, total, right = _softmax(p, own)
+    loss = -float((right * use).sum())
+    p *= (use / total)[:, None]
+    p[np.arange(len(own)), own] -= use
 
     flat_z = z.reshape(-1, WIDTH)
     g["out"][:] = flat_h.T @ p
     flat_dh = p @ w["out"].T
+    if table is not None:
+        within = Within(table, w["inner"], flat_h, before, own, exact.ravel(), use > 0)
+        loss -= float((within.right * use[within.at]).sum())
+        within.add_gradient(use, g["inner"], flat_dh)
     g["take"][:] = flat_z.T @ flat_dh
     dz = (flat_dh @ w["take"].T).reshape(z.shape)
-    da = np.matmul(dz, x.transpose(0, 2, 1))
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    ds = np.matmul(dz, x.transpose(0, 2, 1))
+    ds -= ((dz * z).reshape(-1, WIDTH) @ np.ones(WIDTH, z.dtype)).reshape(*z.shape[:2], 1)
+    ds *= a
     dq = np.matmul(ds, x)
-    dx = np.matmul(a.transpose(0, 2, 1), dz) + np.matmul(ds.transpose(0, 2, 1), query)
+    dx = np.matmul(np.concatenate([a, ds], axis=1).transpose(0, 2, 1), np.concatenate([dz, query], axis=1))
     g["look"][:] = last.reshape(-1, WIDTH).T @ dq.reshape(-1, WIDTH)
     dx[:, CONTEXT:] += flat_dh.reshape(h.shape) + (dq.reshape(-1, WIDTH) @ w["look"].T).reshape(h.shape)
     g["place"][:] = dx.sum(axis=0)
@@ -339,7 +429,7 @@ class Adam:
         self.flat -= np.float32(rate) * ((self.m / np.float32(1 - 0.9**self.t)) / (np.sqrt(self.v / np.float32(1 - 0.99**self.t)) + np.float32(1e-8)) + np.float32(DECAY) * self.flat)
 
 
-def improve(flat: np.ndarray, base: np.ndarray, of_row: np.ndarray, chunks: Iterable[tuple[bytes, int]], seed: int, rate: float) -> tuple[np.ndarray, int]:
+def improve(flat: np.ndarray, base: np.ndarray, of_row: np.ndarray, chunks: Iterable[tuple[bytes, int]], seed: int, rate: float, table: Table | None = None) -> tuple[np.ndarray, int]:
     """The weights after a pass over chunks (see chunk()), each so many times, and the number of windows."""
     adam, rng, held, seen = Adam(flat, rate), np.random.default_rng(seed), [], 0
 
@@ -354,7 +444,8 @@ def improve(flat: np.ndarray, base: np.ndarray, of_row: np.ndarray, chunks: Iter
         for low in range(0, len(order), BATCH):
             part = order[low : low + BATCH]
             own = targets[part]
-            adam.step(gradient(adam.flat, base, words[inputs[part]], of_row[words[own]], (own >= 0) * times[part, None])[1])
+            exact = words[own]
+            adam.step(gradient(adam.flat, base, words[inputs[part]], of_row[exact], (own >= 0) * times[part, None], table, exact)[1])
         return len(order)
 
     for one in chunks:
@@ -368,7 +459,7 @@ def improve(flat: np.ndarray, base: np.ndarray, of_row: np.ndarray, chunks: Iter
 
 
 def chunks_of(rows: np.ndarray) -> list[bytes]:
-    """A text's rows in parts: how many words are known before the part, these, and at most CHUNK words to predict."""
+    """A text's rows in parts: how many are known before the part, these, and at most CHUNK to predict."""
     out = []
     for low in range(0, len(rows), CHUNK):
         lead = min(low, CONTEXT + 1)
@@ -376,32 +467,32 @@ def chunks_of(rows: np.ndarray) -> list[bytes]:
     return out
 
 
-def fit(docs: DataFrame, lexicon: Lexicon, tokenizer: str) -> np.ndarray:
+def fit(docs: DataFrame, lexicon: Lexicon, table: Table, tokenizer: str) -> np.ndarray:
     """The weights, after some rounds of improving them in all tasks and averaging; a round has its part of all rows."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(lexicon)
+    sent = spark.sparkContext.broadcast((lexicon, table))
 
     def cut(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = sent.value, sent.value.classes.row[-1]
+        known, split = sent.value[0], splitter(tokenizer)
         for batch in batches(rows, TOGETHER):
             training = pa.array([not is_held_out(i) for i in batch.column(0).to_pylist()], pa.bool_())
-            places, words, n_words = words_in(batch.column(1).filter(training))
-            own = np.insert(known.about(words, split=splitter(tokenizer))[0][places], np.cumsum(n_words), end)
-            out = [x for part in np.split(own, np.cumsum(n_words + 1)[:-1]) if len(part) for x in chunks_of(part)]
+            own, sizes, *_ = known.texts(*words_in(batch.column(1).filter(training)), split)
+            out = [x for part in np.split(own, np.cumsum(sizes)[:-1]) if len(part) for x in chunks_of(part)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["chunk"])
 
     chunks = staged(docs.mapInArrow(cut, "chunk binary").groupBy("chunk").agg(F.count(F.lit(1)).alias("times")), "chunks")
-    n_words = chunks.agg(F.coalesce(F.sum(F.octet_length("chunk") / 2), F.lit(0))).first()[0]
+    n_subwords = chunks.agg(F.coalesce(F.sum(F.octet_length("chunk") / 2), F.lit(0))).first()[0]
     flat = first_weights()
-    if not n_words:
+    if not n_subwords:
         return flat
-    tasks = max(1, -(-int(n_words) // TASK_WORDS))
+    tasks = max(1, -(-int(n_subwords) // TASK_SUBWORDS))
     for k in range(ROUNDS):
         now = spark.sparkContext.broadcast(flat)
 
         def run(rows: Iterable[pa.RecordBatch], now=now, k=k) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             own = (x for batch in rows for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            flat, seen = improve(now.value, sent.value.classes.log_class, sent.value.classes.of_row, own, k, RATE / (1 + k))
+            (lexicon, table), start = sent.value, now.value
+            flat, seen = improve(start, lexicon.classes.log_class, lexicon.classes.of_row, own, k, RATE / (1 + k), table)
             if seen:
                 parts = [(flat[i : i + PART].astype(np.float64) * seen).tobytes() for i in range(0, len(flat), PART)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["part", "seen", "weights"])
@@ -421,29 +512,31 @@ def fit(docs: DataFrame, lexicon: Lexicon, tokenizer: str) -> np.ndarray:
 
 
 class Scorer:
-    """Log probabilities of the classes of texts' words."""
+    """Log probabilities of texts' rows of subwords; without a table, of the rows' classes."""
 
-    def __init__(self, flat: np.ndarray, classes: Classes):
-        self.weights, self.base, self.of_row = unflat(flat), classes.log_class, classes.of_row
+    def __init__(self, flat: np.ndarray, classes: Classes, table: Table | None = None):
+        self.weights, self.base, self.of_row, self.table = unflat(flat), classes.log_class, classes.of_row, table
 
     def scores(self, rows: np.ndarray, sizes: np.ndarray, step: int = 256) -> np.ndarray:
-        """For each text the natural logarithm of its words' classes; rows are those of all texts' words one after the other."""
+        """For each text the natural logarithm; rows are those of all texts one after the other."""
         inputs, targets, text = windows_of(np.cumsum(sizes) - sizes, sizes, np.zeros_like(sizes))
-        words, out = np.append(rows, ROWS), np.zeros(len(text))
+        words, out = np.append(rows, ROWS).astype(np.int64), np.zeros(len(text))
         for low in range(0, len(text), step):
             own = targets[low : low + step]
-            h = _attention(self.weights, words[inputs[low : low + step]])[-1]
-            logits = h.reshape(-1, WIDTH) @ self.weights["out"]
-            logits += self.base
-            np.clip(logits, -60, 60, out=logits)
-            right = logits[np.arange(len(logits)), self.of_row[words[own.ravel()]]]
-            np.exp(logits, out=logits)
-            right -= np.log(logits @ np.ones(CLASSES, logits.dtype))
-            out[low : low + step] = np.where(own >= 0, right.reshape(own.shape), 0).sum(axis=1)
+            use, exact, before = own.ravel() >= 0, words[own.ravel()], words[inputs[low : low + step]]
+            h = _attention(self.weights, before)[-1].reshape(-1, WIDTH)
+            before, classes = before[:, CONTEXT:].ravel(), self.of_row[exact]
+            logits = h @ self.weights["out"]
+            logits += self.base if self.table is None else self.table.classes.take(before, axis=0)
+            right = _softmax(logits, classes)[2]
+            if self.table is not None:
+                within = Within(self.table, self.weights["inner"], h, before, classes, exact, use)
+                right[within.at] += within.right
+            out[low : low + step] = np.where(use, right, 0).reshape(own.shape).sum(axis=1)
         return np.bincount(text, weights=out, minlength=len(sizes))
 
 
-_PARTS = "row long, doc_id long, n_tokens long, n_known long, base double, score double, word binary, times long, per_word double, chain double"
+_PARTS = "row long, doc_id long, n_tokens long, n_known long, base double, score double, word binary, times long"
 
 
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -451,8 +544,10 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
     spark, docs = docs.sparkSession, _prepared(docs, doc_id, text)
     counts = staged(word_counts(docs), "words")
     total, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0))).first()
-    classes = Classes(*subword_counts(counts, ends, tokenizer))
+    firsts, types, found = subword_counts(counts, ends, tokenizer)
+    classes = Classes(found, types, found)
     classes.fit_chain(chain_pairs(counts, classes, tokenizer))
+    table = classes.table(firsts, found)
 
     level, held = 0, 0
     for bits, n in sorted(counts.groupBy(F.floor(F.log2("n")).cast("int").alias("bits")).count().collect(), reverse=True):  # 64 rows at most
@@ -463,41 +558,36 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
     frequent = counts.where(F.col("n") >= 1 << level).toArrow()  # SENT rows at most
     everything = level == 0
     lexicon = Lexicon(frequent["word"].to_pylist(), frequent["n"].to_pylist(), classes, tokenizer)
-    flat = fit(docs, lexicon, tokenizer)
-    sent = spark.sparkContext.broadcast((lexicon, flat))
+    flat = fit(docs, lexicon, table, tokenizer)
+    sent = spark.sparkContext.broadcast((lexicon, table, flat))
     bottom = float(np.log10(total + ADD * (distinct + 1)))
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, flat = sent.value
-        scorer, split, end_row = Scorer(flat, classes), splitter(tokenizer), classes.row[-1]
+        lexicon, table, flat = sent.value
+        scorer, split = Scorer(flat, lexicon.classes, table), splitter(tokenizer)
         row = TaskContext.get().partitionId() << 33
         end_count = lexicon.ends if lexicon.ends is not None else 0 if everything else -1
         names = [x.split()[0] for x in _PARTS.split(", ")]
         for batch in batches(rows, SCORED_TOGETHER):
             places, words, n_words = words_in(batch.column(1))
-            k, about = len(n_words), lexicon.about(words, split)
-            rows_of, of, chain, n = (x[places] for x in about)
-            text = np.repeat(np.arange(k), n_words)
-            score = scorer.scores(np.insert(rows_of, np.cumsum(n_words), end_row), n_words + 1) / LN10
+            k, (rows_of, sizes, share, n) = len(n_words), lexicon.texts(places, words, n_words, split)
+            text, n = np.repeat(np.arange(k), n_words), n[places]
+            score = (scorer.scores(rows_of, sizes) + np.bincount(text, weights=share[places], minlength=k)) / LN10
             if everything:
                 n = np.maximum(n, 0)
-            sure, per_word, chain = n >= 0, classes.per_word[of], classes.log_for_chain[of] + chain
+            sure = n >= 0
             base = np.bincount(text[sure], weights=np.log10(n[sure] + ADD) - bottom, minlength=k)
             known = np.bincount(text[sure & (n > 0)], minlength=k)
-            with np.errstate(divide="ignore"):  # words that training never saw have their share of the chain alone
-                counted = np.log(np.maximum(n[sure] - DISCOUNT, 0) * per_word[sure])
-            score += np.bincount(text[sure], weights=np.logaddexp(counted, chain[sure]) / LN10, minlength=k)
             if end_count >= 0:
                 base, known = base + np.log10(end_count + ADD) - bottom, known + (end_count > 0)
-            void = [pa.nulls(k, x) for x in (pa.binary(), pa.int64(), pa.float64(), pa.float64())]
+            void = [pa.nulls(k, x) for x in (pa.binary(), pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(k)), batch.column(0), pa.array(n_words + 1), pa.array(known), pa.array(base), pa.array(score), *void], names)
             # words that were not sent: each of a text's once, with how often
             unsure = np.flatnonzero(~sure)
             pairs, first, times = np.unique(text[unsure] * len(words) + places[unsure], return_index=True, return_counts=True)
-            own, at = unsure[first], pairs % max(1, len(words))
-            rest = [row + text[own], words.take(pa.array(at)).cast(pa.binary()), times, per_word[own], chain[own]]
-            if end_count < 0:  # of its class the end is the only one
-                rest = [np.append(rest[0], row + np.arange(k)), pa.concat_arrays([rest[1], pa.array([END] * k, pa.binary())]), np.append(times, np.ones(k, int)), np.append(rest[3], np.zeros(k)), np.append(rest[4], np.zeros(k))]
+            rest = [row + text[unsure[first]], words.take(pa.array(pairs % max(1, len(words)))).cast(pa.binary()), times]
+            if end_count < 0:
+                rest = [np.append(rest[0], row + np.arange(k)), pa.concat_arrays([rest[1], pa.array([END] * k, pa.binary())]), np.append(times, np.ones(k, int))]
             m = len(rest[0])
             if m:
                 void = [pa.nulls(m, x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
@@ -507,12 +597,10 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
     out = docs.mapInArrow(run, _PARTS)
     if not everything:
         parts = staged(out, "parts")
-        rare = parts.where("word is not null").select("row", "word", "times", "per_word", "chain").join(counts.where(F.col("n") < 1 << level), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        counted = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) * F.col("per_word")
-        score = F.col("times") * F.when(counted > 0, F.log10(counted + F.exp("chain"))).otherwise(F.col("chain") / LN10)
-        added = rare.select("row", F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("n_known"), (F.col("times") * (F.log10(F.col("n") + ADD) - bottom)).alias("base"), score.alias("score"))
+        rare = parts.where("word is not null").select("row", "word", "times").join(counts.where(F.col("n") < 1 << level), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        added = rare.select("row", F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("n_known"), (F.col("times") * (F.log10(F.col("n") + ADD) - bottom)).alias("base"))
         none = lambda c, kind: F.lit(None).cast(kind).alias(c)
-        both = parts.where("word is null").select("row", "doc_id", "n_tokens", "n_known", "base", "score").unionByName(added.select("row", none("doc_id", "long"), none("n_tokens", "long"), "n_known", "base", "score"))
-        out = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+        both = parts.where("word is null").select("row", "doc_id", "n_tokens", "n_known", "base", "score").unionByName(added.select("row", none("doc_id", "long"), none("n_tokens", "long"), "n_known", "base", none("score", "double")))
+        out = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.max("score").alias("score"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT_OF == 0, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

@@ -186,3 +186,132 @@ def test_odd_rows(spark, odd_docs, no_docs):
     only = attention_lm.scored(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
     assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in only] == [(True, 3, 0, 0)]
     assert abs(only[0].base_score) < 1e-9
+
+
+def with_table(monkeypatch):
+    """A small model that predicts rows too: six classes of ten rows of thirty subwords."""
+    rng, classes, _ = small_model(monkeypatch)
+    monkeypatch.setitem(attention_lm.SHAPES, "inner", (10, 4))
+    monkeypatch.setattr(attention_lm, "N_WEIGHTS", sum(int(np.prod(s)) for s in attention_lm.SHAPES.values()))
+    table = classes.table(rng.integers(0, 50, 30), rng.integers(0, 90, 30))
+    return rng, classes, table, rng.normal(0, 0.5, attention_lm.N_WEIGHTS).astype(np.float32)
+
+
+def test_texts_are_all_their_subwords():
+    texts = ["", "strawberry internationalization a strawberry", None, "übermäßig zzqxv中文 a"]
+    places, words, n_words = attention_lm.words_in(pa.array(texts, pa.string()))
+    encode, size = subwords.ids_of(), subwords.vocabulary_size() + 1
+    ids = [[*(int(k) for w in (t or "").encode().lower().split() for k in encode(w)), size - 1] for t in texts]
+    counts = np.bincount(np.concatenate(ids), minlength=size)
+    classes = attention_lm.Classes(counts, counts, counts)
+    for sent in ([], [b"a", attention_lm.END, b"strawberry"], words.to_pylist()):
+        lexicon = attention_lm.Lexicon(sent, list(range(1, len(sent) + 1)), classes, subwords.TOKENIZER)
+        rows, sizes, share, n = lexicon.texts(places, words, n_words, subwords.splitter())
+        assert sizes.tolist() == [len(x) for x in ids] and sum(sizes) > len(places) + len(texts)
+        assert rows.tolist() == classes.row[np.concatenate(ids)].tolist()
+        assert np.allclose(share, [classes.log_share[encode(w)].sum() for w in words.to_pylist()])
+        kept = [w for w in sent if w != attention_lm.END]
+        assert n.tolist() == [sent.index(w) + 1 if w in kept else -1 for w in words.to_pylist()]
+    assert [len(x) for x in lexicon.texts(*attention_lm.words_in(pa.array([], pa.string())), subwords.splitter())] == [0, 0, 0, 0]
+
+
+def test_each_subword_before_a_position_counts(monkeypatch):
+    """Not the first of a word alone: a change anywhere in the window changes what is said of the last."""
+    rng, classes, table, flat = with_table(monkeypatch)
+    scorer, rows = attention_lm.Scorer(flat, classes, table), rng.integers(0, 9, 12)
+
+    def last(own):
+        return np.diff(scorer.scores(np.append(own[:-1], own), np.array([11, 12])))[0]
+
+    for k in range(11):
+        other = rows.copy()
+        other[k] += 1
+        assert abs(last(other) - last(rows)) > 1e-5
+
+
+def test_rows_shares_sum_to_one(monkeypatch):
+    rng, classes, table, flat = with_table(monkeypatch)
+    assert np.allclose(np.exp(table.classes).sum(axis=1), 1, atol=1e-5) and all(np.allclose(np.exp(x).sum(axis=1), 1, atol=1e-5) for x in table.rows.values())
+    assert len(table.several) > 1
+    scorer = attention_lm.Scorer(flat, classes, table)
+    for size in (0, 1, 20, 40):
+        rows = rng.integers(0, 10, size)
+        every = np.concatenate([np.append(rows, k) for k in range(10)])
+        before = scorer.scores(rows, np.array([size]))[0] if size else 0.0
+        assert abs(np.exp(scorer.scores(every, np.full(10, size + 1), step=3) - before).sum() - 1) < 1e-3
+    share = np.bincount(classes.row, weights=np.exp(classes.log_share), minlength=10)
+    assert np.allclose(share[np.unique(classes.row)], 1)
+
+
+def test_table_is_the_chain_and_the_beginnings(monkeypatch):
+    """Against sums over single subwords."""
+    rng, classes, _, _ = with_table(monkeypatch)
+    firsts, found = rng.integers(0, 50, 30), rng.integers(0, 90, 30)
+    table, chain = classes.table(firsts, found), np.exp(classes.chain.astype(float))
+    for row in range(11):
+        held = [s for s in range(29) if row < 10 and classes.row[s] == row]
+        wanted = np.zeros(10)
+        for s, part in [(s, (found[s] + 0.1) / sum(found[x] + 0.1 for x in held)) for s in held] or [(None, 1.0)]:
+            over = 1.0 if s is None else chain[classes.last[s], 5]
+            for t in range(30):
+                wanted[classes.row[t]] += part * over * (firsts[t] + 0.1) / (firsts + 0.1).sum()
+                if s is not None and t < 29:
+                    wanted[classes.row[t]] += part * chain[classes.last[s], classes.next[t]] * math.exp(classes.log_next[t])
+        got = np.array([table.classes[row, k] + (table.rows[k][row, r - table.low[k]] if k in table.rows else 0) for r, k in enumerate(classes.of_row[:10])])
+        assert np.allclose(np.exp(got), wanted, atol=1e-5)
+
+
+def test_gradient_with_rows(monkeypatch):
+    rng, classes, table, flat = with_table(monkeypatch)
+    rows, exact = rng.integers(0, 11, (3, attention_lm.WINDOW)), rng.integers(0, 10, (3, attention_lm.SCORED))
+    weight, targets = rng.integers(0, 3, (3, attention_lm.SCORED)).astype(np.float32), classes.of_row[exact]
+    table.classes, table.rows = table.classes.astype(float), {k: x.astype(float) for k, x in table.rows.items()}
+    wide, loss = flat.astype(np.float64), lambda f: attention_lm.gradient(f, None, rows, targets, weight, table, exact)[0]
+    _, grads = attention_lm.gradient(wide, None, rows, targets, weight, table, exact)
+    for k in [*rng.choice(len(flat), 60, replace=False), *range(len(flat) - 40, len(flat))]:
+        up, down = wide.copy(), wide.copy()
+        up[k] += 1e-5
+        down[k] -= 1e-5
+        slope = (loss(up) - loss(down)) / 2e-5
+        assert abs(slope - grads[k]) < 1e-5 * max(1, abs(slope))
+
+
+def test_better_than_the_table_and_than_a_model_without_attention(spark, monkeypatch):
+    """On held-out documents: the fitted model; one that was fitted with attention taking nothing; the table alone."""
+    docs, fit, attention, sums = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), attention_lm.fit, attention_lm._attention, []
+
+    def alone(w, rows):
+        x, last, query, a, z, _ = attention(w, rows)
+        return x, last, query, a * 0, z * 0, last
+
+    def total():
+        sums.append(attention_lm.scored(docs).where("held_out").agg(F.sum("score")).first()[0])
+
+    total()
+    monkeypatch.setattr(attention_lm, "fit", lambda *args: np.zeros_like(fit(*args)))
+    total()
+    assert sums[0] > 0.98 * sums[1]
+    # in this process, where the patch is seen: the rows of all texts
+    rows = docs.where("text is not null").select("doc_id", "text").toArrow()
+    training = [not attention_lm.is_held_out(i) for i in rows["doc_id"].to_pylist()]
+    texts, split = rows["text"].combine_chunks(), subwords.splitter()
+    places, words, n_words = attention_lm.words_in(texts.filter(pa.array(training)))
+    n, (ids, sizes) = np.bincount(places, minlength=len(words)), split(words.to_pylist())
+    size = subwords.vocabulary_size() + 1
+    firsts, found = np.bincount(ids[np.cumsum(sizes) - sizes], weights=n, minlength=size), np.bincount(ids, weights=np.repeat(n, sizes), minlength=size)
+    firsts[-1] = found[-1] = len(n_words)
+    classes = attention_lm.Classes(found, found, found)
+    end = np.zeros(len(ids), bool)
+    end[np.cumsum(sizes) - 1] = True
+    after = np.where(end, attention_lm.NEXT, classes.next[np.append(ids[1:], 0)])
+    classes.fit_chain(np.bincount(classes.last[ids].astype(np.int64) * (attention_lm.NEXT + 1) + after, weights=np.repeat(n, sizes), minlength=attention_lm.LAST * (attention_lm.NEXT + 1)).reshape(attention_lm.LAST, -1))
+    table, lexicon = classes.table(firsts, found), attention_lm.Lexicon([], [], classes, subwords.TOKENIZER)
+    own, sizes, *_ = lexicon.texts(places, words, n_words, split)
+    chunks = [(x, 1) for part in np.split(own, np.cumsum(sizes)[:-1]) for x in attention_lm.chunks_of(part)]
+    held, sizes, *_ = lexicon.texts(*attention_lm.words_in(texts.filter(pa.array([not x for x in training]))), split)
+    got = []
+    for way in (attention, alone):
+        monkeypatch.setattr(attention_lm, "_attention", way)
+        flat, _ = attention_lm.improve(attention_lm.first_weights(), classes.log_class, classes.of_row, chunks, 0, attention_lm.RATE, table)
+        got.append(attention_lm.Scorer(flat, classes, table).scores(held, sizes).sum())
+    assert got[0] > 0.99 * got[1]
