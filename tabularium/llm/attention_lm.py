@@ -24,6 +24,7 @@ weights depend neither on files nor on partitions. Each round takes its part of
 all chunks; each task improves the weights on its own by Adam, and the mean of
 all tasks, weighted by their windows, goes on to the next round.
 
+Texts are cut into subwords once; their rows are written for training and scoring.
 Base scores take each word's count. Counts of frequent words are sent to the
 executors (at most SENT words); tokens of all other words go through a join.
 
@@ -35,6 +36,7 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -219,36 +221,58 @@ class Table:
         self.rows = {k: np.log(shares[:, self.low[k] : self.low[k + 1]] / total[:, k, None]).astype(np.float32) for k in self.several}
 
 
+class Space(dict):
+    """Arrays that are used again and again: a task's steps are alike, and new memory for each costs more than the step."""
+
+    def __call__(self, name: str, shape: tuple[int, ...], kind: np.dtype) -> np.ndarray:
+        """An array of that name, shape and kind; it holds what its last user left."""
+        size, flat = math.prod(shape), self.get(name)
+        if flat is None or len(flat) < size or flat.dtype != kind:
+            flat = self[name] = np.empty(size, kind)
+        return flat[:size].reshape(shape)
+
+
 class Within:
     """Of the targets in use whose class has several rows: the share of the row in its class. They stand by class, their logits one after the other."""
 
-    def __init__(self, table: Table, inner: np.ndarray, h: np.ndarray, before: np.ndarray, classes: np.ndarray, exact: np.ndarray, use: np.ndarray):
-        width = np.diff(table.low)
-        at = np.flatnonzero((width[classes] > 1) & use)
-        at = self.at = at[np.argsort(classes[at].astype(np.int16), kind="stable")]
-        classes, before = classes[at], before[at]
-        self.inner, self.h, self.width = inner, h.take(at, axis=0), width[classes]
-        stop = np.cumsum(self.width)
-        start = stop - self.width
-        self.logits = np.empty(int(self.width.sum()), h.dtype)
+    def __init__(self, table: Table, inner: np.ndarray, h: np.ndarray, before: np.ndarray, classes: np.ndarray, exact: np.ndarray, use: np.ndarray, space: Space | None = None):
+        width, self.space = np.diff(table.low), Space() if space is None else space
+        at = np.flatnonzero((width > 1).take(classes) & use)
+        at = self.at = at.take(np.argsort(classes.take(at).astype(np.int16), kind="stable"))
+        classes, before = classes.take(at), before.take(at)
+        own_width = width.take(classes)
+        self.inner, self.h = inner, h.take(at, axis=0, out=self.space("own_h", (len(at), h.shape[1]), h.dtype), mode="clip")
+        stop = np.cumsum(own_width)
+        start = stop - own_width
+        self.logits = self.space("within", (int(stop[-1]) if len(at) else 0,), h.dtype)
+        added = self.space("added", self.logits.shape, h.dtype)
         bounds = np.searchsorted(classes, np.append(table.several, CLASSES)).tolist()
         #: Of each class its rows, its places in at, and its logits.
-        self.parts = [(slice(table.low[k], table.low[k + 1]), slice(low, high), self.logits[start[low] : stop[high - 1]].reshape(high - low, -1)) for k, low, high in zip(table.several, bounds, bounds[1:], strict=False) if high > low]
-        for rows, own, logits in self.parts:
-            np.matmul(self.h[own], inner[rows].T, out=logits)
-            logits += table.rows[classes[own.start]].take(before[own], axis=0)
+        self.parts = []
+        for k, low, high in zip(table.several.tolist(), bounds, bounds[1:], strict=False):
+            if high > low:
+                rows, own, cells = slice(table.low[k], table.low[k + 1]), slice(low, high), slice(start[low], stop[high - 1])
+                logits = self.logits[cells].reshape(high - low, -1)
+                np.matmul(self.h[own], inner[rows].T, out=logits)
+                table.rows[k].take(before[own], axis=0, out=added[cells].reshape(logits.shape), mode="clip")
+                self.parts.append((rows, own, logits))
+        self.logits += added
         np.clip(self.logits, -60, 60, out=self.logits)
-        self.own = start + exact[at] - table.low[classes]
-        self.right = self.logits[self.own]
+        self.own = start + exact.take(at) - table.low.take(classes)
+        self.right = self.logits.take(self.own)
         np.exp(self.logits, out=self.logits)
-        self.total = np.add.reduceat(self.logits, start) if len(at) else self.right
-        self.right = self.right - np.log(self.total)
+        self.total = np.empty_like(self.right)
+        for _, own, logits in self.parts:
+            np.matmul(logits, np.ones(logits.shape[1], h.dtype), out=self.total[own])
+        self.right -= np.log(self.total)
 
     def add_gradient(self, use: np.ndarray, by_inner: np.ndarray, by_h: np.ndarray) -> None:
-        use = use[self.at]
-        self.logits *= np.repeat(use / self.total, self.width)
+        use = use.take(self.at)
+        scale = (use / self.total)[:, None]
+        for _, own, logits in self.parts:
+            logits *= scale[own]
         self.logits[self.own] -= use
-        own_h = np.empty_like(self.h)
+        own_h = self.space("by_own_h", self.h.shape, self.h.dtype)
         for rows, own, logits in self.parts:
             np.matmul(logits.T, self.h[own], out=by_inner[rows])
             np.matmul(logits, self.inner[rows], out=own_h[own])
@@ -312,11 +336,19 @@ SHAPES = {"embed": (ROWS + 1, WIDTH), "place": (WINDOW, WIDTH), "look": (WIDTH,
 N_WEIGHTS = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
-def unflat(flat: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
+class Weights(dict):
+    """Weights by name, and the space that steps with them work in."""
+
+    space: Space
+
+
+def unflat(flat: np.ndarray, space: Space | None = None) -> Weights:
+    out, at = Weights(), 0
+    out.space = Space() if space is None else space
     for name, shape in SHAPES.items():
-        out[name] = flat[at : at + int(np.prod(shape))].reshape(shape)
-        at += int(np.prod(shape))
+        size = math.prod(shape)
+        out[name] = flat[at : at + size].reshape(shape)
+        at += size
     return out
 
 
@@ -346,19 +378,23 @@ def windows_of(start: np.ndarray, sizes: np.ndarray, lead: np.ndarray) -> tuple[
     return np.where((before >= -known) & (before < size), begin + before, -1), np.where(place < size, begin + place, -1), text
 
 
-def _attention(w: dict[str, np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, ...]:
-    """x, the scored positions of x, their queries, the attention, what it took, and the hidden states."""
-    x = w["embed"].take(rows, axis=0)
+def _attention(w: Weights, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """x, the scored positions of x, their queries, the attention, what it took, and the hidden states; all are in the space of the weights."""
+    n, kind = len(rows), w["embed"].dtype
+    x, last, query, z, h = (w.space(name, (n, size, WIDTH), kind) for name, size in (("x", WINDOW), ("last", SCORED), ("query", SCORED), ("z", SCORED), ("h", SCORED)))
+    a, flat = w.space("a", (n, SCORED, WINDOW), kind), (-1, WIDTH)
+    w["embed"].take(rows, axis=0, out=x, mode="clip")
     x += w["place"]
-    last = np.ascontiguousarray(x[:, CONTEXT:])
-    query = (last.reshape(-1, WIDTH) @ w["look"]).reshape(last.shape)
-    a = np.matmul(query, x.transpose(0, 2, 1))
+    last[:] = x[:, CONTEXT:]
+    np.matmul(last.reshape(flat), w["look"], out=query.reshape(flat))
+    np.matmul(query, x.transpose(0, 2, 1), out=a)
     np.clip(a, -60, 60, out=a)
     np.exp(a, out=a)
     a *= MASK
-    a *= (1 / (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype))).reshape(*a.shape[:2], 1)
-    z = np.matmul(a, x)
-    h = last + (z.reshape(-1, WIDTH) @ w["take"]).reshape(last.shape)
+    a *= (1 / (a.reshape(-1, WINDOW) @ np.ones(WINDOW, kind))).reshape(n, SCORED, 1)
+    np.matmul(a, x, out=z)
+    np.matmul(z.reshape(flat), w["take"], out=h.reshape(flat))
+    h += last
     return x, last, query, a, z, h
 
 
@@ -371,46 +407,58 @@ def _softmax(logits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return logits, total, right - np.log(total)
 
 
-def gradient(flat: np.ndarray, base: np.ndarray, rows: np.ndarray, targets: np.ndarray, weight: np.ndarray, table: Table | None = None, exact: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+def _class_logits(w: Weights, h: np.ndarray, base: np.ndarray, before: np.ndarray, table: Table | None) -> np.ndarray:
+    """What the hidden states say of the classes, added to the table's row for what stands before, or without a table to base."""
+    logits = np.matmul(h, w["out"], out=w.space("logits", (len(h), CLASSES), h.dtype))
+    logits += base if table is None else table.classes.take(before, axis=0, out=w.space("table", logits.shape, table.classes.dtype), mode="clip")
+    return logits
+
+
+def gradient(flat: np.ndarray, base: np.ndarray, rows: np.ndarray, targets: np.ndarray, weight: np.ndarray, table: Table | None = None, exact: np.ndarray | None = None, space: Space | None = None) -> tuple[float, np.ndarray]:
     """Mean loss, and its gradient, over windows: rows[b, WINDOW], classes targets and weight[b, SCORED]; base: logits without attention.
 
     With a table, it takes the place of base, and of classes of several rows the row itself, exact[b, SCORED], is predicted too.
     """
-    w, grads = unflat(flat), np.zeros_like(flat)
-    g, own = unflat(grads), targets.ravel()
+    w, grads = unflat(flat, space), np.zeros_like(flat)
+    space, kind = w.space, flat.dtype
+    g, own = unflat(grads, space), targets.ravel()
     x, last, query, a, z, h = _attention(w, rows)
-    flat_h = h.reshape(-1, WIDTH)
+    flat_h, flat_last, flat_z = (y.reshape(-1, WIDTH) for y in (h, last, z))
     before = rows[:, CONTEXT:].ravel()
-    p = flat_h @ w["out"]
-    p += base if table is None else table.classes.take(before, axis=0)
     n = max(float(weight.sum()), 1.0)
-    use = weight.ravel().astype(flat.dtype) / flat.dtype.type(n)
-    p, total, right = _softmax(p, own)
+    use = weight.ravel().astype(kind) / kind.type(n)
+    p, total, right = _softmax(_class_logits(w, flat_h, base, before, table), own)
     loss = -float((right * use).sum())
     p *= (use / total)[:, None]
     p[np.arange(len(own)), own] -= use
 
-    flat_z = z.reshape(-1, WIDTH)
-    g["out"][:] = flat_h.T @ p
-    flat_dh = p @ w["out"].T
+    np.matmul(flat_h.T, p, out=g["out"])
+    dh, dz, dq, added = (space(name, flat_h.shape, kind) for name in ("dh", "dz", "dq", "added_dx"))
+    np.matmul(p, w["out"].T, out=dh)
     if table is not None:
-        within = Within(table, w["inner"], flat_h, before, own, exact.ravel(), use > 0)
-        loss -= float((within.right * use[within.at]).sum())
-        within.add_gradient(use, g["inner"], flat_dh)
-    g["take"][:] = flat_z.T @ flat_dh
-    dz = (flat_dh @ w["take"].T).reshape(z.shape)
-    ds = np.matmul(dz, x.transpose(0, 2, 1))
-    ds -= ((dz * z).reshape(-1, WIDTH) @ np.ones(WIDTH, z.dtype)).reshape(*z.shape[:2], 1)
+        within = Within(table, w["inner"], flat_h, before, own, exact.ravel(), use > 0, space)
+        loss -= float((within.right * use.take(within.at)).sum())
+        within.add_gradient(use, g["inner"], dh)
+    np.matmul(flat_z.T, dh, out=g["take"])
+    np.matmul(dh, w["take"].T, out=dz)
+    ds, dx = space("ds", a.shape, kind), space("dx", x.shape, kind)
+    np.matmul(dz.reshape(z.shape), x.transpose(0, 2, 1), out=ds)
+    ds -= np.einsum("ij,ij->i", dz, flat_z).reshape(*z.shape[:2], 1)
     ds *= a
-    dq = np.matmul(ds, x)
-    dx = np.matmul(np.concatenate([a, ds], axis=1).transpose(0, 2, 1), np.concatenate([dz, query], axis=1))
-    g["look"][:] = last.reshape(-1, WIDTH).T @ dq.reshape(-1, WIDTH)
-    dx[:, CONTEXT:] += flat_dh.reshape(h.shape) + (dq.reshape(-1, WIDTH) @ w["look"].T).reshape(h.shape)
-    g["place"][:] = dx.sum(axis=0)
-    order = np.argsort(rows.ravel().astype(np.int16 if len(g["embed"]) < 1 << 15 else np.int64), kind="stable")
-    sorted_rows = rows.ravel()[order]
+    np.matmul(ds, x, out=dq.reshape(z.shape))
+    np.matmul(a.transpose(0, 2, 1), dz.reshape(z.shape), out=dx)
+    dx += np.matmul(ds.transpose(0, 2, 1), query, out=space("by_query", x.shape, kind))
+    np.matmul(flat_last.T, dq, out=g["look"])
+    np.matmul(dq, w["look"].T, out=added)
+    added += dh
+    dx[:, CONTEXT:] += added.reshape(z.shape)
+    np.sum(dx, axis=0, out=g["place"])
+    places = rows.ravel()
+    order = np.argsort(places.astype(np.int16 if len(g["embed"]) < 1 << 15 else np.int64), kind="stable")
+    sorted_rows = places.take(order)
     begins = np.flatnonzero(np.diff(sorted_rows, prepend=-1))
-    g["embed"][sorted_rows[begins]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], begins, axis=0)
+    by_row = dx.reshape(-1, WIDTH).take(order, axis=0, out=space("by_query", (len(order), WIDTH), kind), mode="clip")
+    g["embed"][sorted_rows[begins]] = np.add.reduceat(by_row, begins, axis=0)
     return loss, grads
 
 
@@ -431,7 +479,7 @@ class Adam:
 
 def improve(flat: np.ndarray, base: np.ndarray, of_row: np.ndarray, chunks: Iterable[tuple[bytes, int]], seed: int, rate: float, table: Table | None = None) -> tuple[np.ndarray, int]:
     """The weights after a pass over chunks (see chunk()), each so many times, and the number of windows."""
-    adam, rng, held, seen = Adam(flat, rate), np.random.default_rng(seed), [], 0
+    adam, rng, held, seen, space = Adam(flat, rate), np.random.default_rng(seed), [], 0, Space()
 
     def learn() -> int:
         rows = [np.frombuffer(x, np.int16) for x, _ in held]
@@ -445,7 +493,7 @@ def improve(flat: np.ndarray, base: np.ndarray, of_row: np.ndarray, chunks: Iter
             part = order[low : low + BATCH]
             own = targets[part]
             exact = words[own]
-            adam.step(gradient(adam.flat, base, words[inputs[part]], of_row[exact], (own >= 0) * times[part, None], table, exact)[1])
+            adam.step(gradient(adam.flat, base, words[inputs[part]], of_row[exact], (own >= 0) * times[part, None], table, exact, space)[1])
         return len(order)
 
     for one in chunks:
@@ -467,20 +515,16 @@ def chunks_of(rows: np.ndarray) -> list[bytes]:
     return out
 
 
-def fit(docs: DataFrame, lexicon: Lexicon, table: Table, tokenizer: str) -> np.ndarray:
-    """The weights, after some rounds of improving them in all tasks and averaging; a round has its part of all rows."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((lexicon, table))
+def fit(texts: DataFrame, lexicon: Lexicon, table: Table) -> np.ndarray:
+    """The weights, after some rounds of improving them in all tasks and averaging; a round has its part of all rows. texts: see prepared()."""
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast((lexicon.classes.log_class, lexicon.classes.of_row, table))
 
     def cut(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, split = sent.value[0], splitter(tokenizer)
         for batch in batches(rows, TOGETHER):
-            training = pa.array([not is_held_out(i) for i in batch.column(0).to_pylist()], pa.bool_())
-            own, sizes, *_ = known.texts(*words_in(batch.column(1).filter(training)), split)
-            out = [x for part in np.split(own, np.cumsum(sizes)[:-1]) if len(part) for x in chunks_of(part)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["chunk"])
+            yield pa.RecordBatch.from_arrays([pa.array([x for part in batch.column(0).to_pylist() for x in chunks_of(np.frombuffer(part, np.int16))], pa.binary())], ["chunk"])
 
-    chunks = staged(docs.mapInArrow(cut, "chunk binary").groupBy("chunk").agg(F.count(F.lit(1)).alias("times")), "chunks")
+    chunks = staged(texts.where("not held_out").select("rows").mapInArrow(cut, "chunk binary").groupBy("chunk").agg(F.count(F.lit(1)).alias("times")), "chunks")
     n_subwords = chunks.agg(F.coalesce(F.sum(F.octet_length("chunk") / 2), F.lit(0))).first()[0]
     flat = first_weights()
     if not n_subwords:
@@ -491,8 +535,8 @@ def fit(docs: DataFrame, lexicon: Lexicon, table: Table, tokenizer: str) -> np.n
 
         def run(rows: Iterable[pa.RecordBatch], now=now, k=k) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             own = (x for batch in rows for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            (lexicon, table), start = sent.value, now.value
-            flat, seen = improve(start, lexicon.classes.log_class, lexicon.classes.of_row, own, k, RATE / (1 + k), table)
+            base, of_row, table = sent.value
+            flat, seen = improve(now.value, base, of_row, own, k, RATE / (1 + k), table)
             if seen:
                 parts = [(flat[i : i + PART].astype(np.float64) * seen).tobytes() for i in range(0, len(flat), PART)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["part", "seen", "weights"])
@@ -525,54 +569,32 @@ class Scorer:
             own = targets[low : low + step]
             use, exact, before = own.ravel() >= 0, words[own.ravel()], words[inputs[low : low + step]]
             h = _attention(self.weights, before)[-1].reshape(-1, WIDTH)
-            before, classes = before[:, CONTEXT:].ravel(), self.of_row[exact]
-            logits = h @ self.weights["out"]
-            logits += self.base if self.table is None else self.table.classes.take(before, axis=0)
-            right = _softmax(logits, classes)[2]
+            before, classes = before[:, CONTEXT:].ravel(), self.of_row.take(exact)
+            right = _softmax(_class_logits(self.weights, h, self.base, before, self.table), classes)[2]
             if self.table is not None:
-                within = Within(self.table, self.weights["inner"], h, before, classes, exact, use)
+                within = Within(self.table, self.weights["inner"], h, before, classes, exact, use, self.weights.space)
                 right[within.at] += within.right
             out[low : low + step] = np.where(use, right, 0).reshape(own.shape).sum(axis=1)
         return np.bincount(text, weights=out, minlength=len(sizes))
 
 
-_PARTS = "row long, doc_id long, n_tokens long, n_known long, base double, score double, word binary, times long"
+_PARTS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, share double, rows binary, word binary, times long"
 
 
-def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark, docs = docs.sparkSession, _prepared(docs, doc_id, text)
-    counts = staged(word_counts(docs), "words")
-    total, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0))).first()
-    firsts, types, found = subword_counts(counts, ends, tokenizer)
-    classes = Classes(found, types, found)
-    classes.fit_chain(chain_pairs(counts, classes, tokenizer))
-    table = classes.table(firsts, found)
-
-    level, held = 0, 0
-    for bits, n in sorted(counts.groupBy(F.floor(F.log2("n")).cast("int").alias("bits")).count().collect(), reverse=True):  # 64 rows at most
-        held += n
-        if held > SENT:
-            level = bits + 1
-            break
-    frequent = counts.where(F.col("n") >= 1 << level).toArrow()  # SENT rows at most
-    everything = level == 0
-    lexicon = Lexicon(frequent["word"].to_pylist(), frequent["n"].to_pylist(), classes, tokenizer)
-    flat = fit(docs, lexicon, table, tokenizer)
-    sent = spark.sparkContext.broadcast((lexicon, table, flat))
-    bottom = float(np.log10(total + ADD * (distinct + 1)))
+def prepared(docs: DataFrame, lexicon: Lexicon, tokenizer: str, everything: bool, bottom: float) -> DataFrame:
+    """Of each text the rows of its subwords and what is known of its words; and a row for each of its words that was not sent, with how often."""
+    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, table, flat = sent.value
-        scorer, split = Scorer(flat, lexicon.classes, table), splitter(tokenizer)
+        lexicon, split = sent.value, splitter(tokenizer)
         row = TaskContext.get().partitionId() << 33
         end_count = lexicon.ends if lexicon.ends is not None else 0 if everything else -1
-        names = [x.split()[0] for x in _PARTS.split(", ")]
-        for batch in batches(rows, SCORED_TOGETHER):
+        names, kinds = zip(*(x.split() for x in _PARTS.split(", ")), strict=True)
+        kinds = [{"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}[x] for x in kinds]
+        for batch in batches(rows, TOGETHER):
             places, words, n_words = words_in(batch.column(1))
             k, (rows_of, sizes, share, n) = len(n_words), lexicon.texts(places, words, n_words, split)
             text, n = np.repeat(np.arange(k), n_words), n[places]
-            score = (scorer.scores(rows_of, sizes) + np.bincount(text, weights=share[places], minlength=k)) / LN10
             if everything:
                 n = np.maximum(n, 0)
             sure = n >= 0
@@ -580,8 +602,11 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
             known = np.bincount(text[sure & (n > 0)], minlength=k)
             if end_count >= 0:
                 base, known = base + np.log10(end_count + ADD) - bottom, known + (end_count > 0)
-            void = [pa.nulls(k, x) for x in (pa.binary(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(k)), batch.column(0), pa.array(n_words + 1), pa.array(known), pa.array(base), pa.array(score), *void], names)
+            held = [is_held_out(i) for i in batch.column(0).to_pylist()]
+            offsets = pa.array(np.append(0, np.cumsum(sizes) * 2), pa.int32())
+            own = pa.Array.from_buffers(pa.binary(), k, [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(rows_of))])
+            shares = np.bincount(text, weights=share[places], minlength=k)
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(k)), batch.column(0), pa.array(held, pa.bool_()), pa.array(n_words + 1), pa.array(known), pa.array(base, pa.float64()), pa.array(shares, pa.float64()), own, *(pa.nulls(k, x) for x in kinds[8:])], names)
             # words that were not sent: each of a text's once, with how often
             unsure = np.flatnonzero(~sure)
             pairs, first, times = np.unique(text[unsure] * len(words) + places[unsure], return_index=True, return_counts=True)
@@ -590,17 +615,51 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
                 rest = [np.append(rest[0], row + np.arange(k)), pa.concat_arrays([rest[1], pa.array([END] * k, pa.binary())]), np.append(times, np.ones(k, int))]
             m = len(rest[0])
             if m:
-                void = [pa.nulls(m, x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(rest[0]), *void, rest[1], *(pa.array(x) for x in rest[2:])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(rest[0]), *(pa.nulls(m, x) for x in kinds[1:8]), rest[1], pa.array(rest[2])], names)
             row += k
 
-    out = docs.mapInArrow(run, _PARTS)
+    return docs.mapInArrow(run, _PARTS)
+
+
+def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+    """A row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    spark, docs = docs.sparkSession, _prepared(docs, doc_id, text)
+    counts = staged(word_counts(docs), "words")
+    total, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0))).first()
+    firsts, types, found = subword_counts(counts, ends, tokenizer)
+    classes = Classes(found, types, found)
+    classes.fit_chain(chain_pairs(counts, classes, tokenizer))
+    table = classes.table(firsts, found)
+
+    level, held = 0, 0
+    for bits, n in sorted(counts.groupBy(F.floor(F.log2("n")).cast("int").alias("bits")).count().collect(), reverse=True):  # 64 rows at most
+        held += n
+        if held > SENT:
+            level = bits + 1
+            break
+    frequent = counts.where(F.col("n") >= 1 << level).toArrow()  # SENT rows at most
+    everything = level == 0
+    lexicon = Lexicon(frequent["word"].to_pylist(), frequent["n"].to_pylist(), classes, tokenizer)
+    bottom = float(np.log10(total + ADD * (distinct + 1)))
+    parts = staged(prepared(docs, lexicon, tokenizer, everything, bottom), "parts")
+    texts = parts.where("rows is not null")
+    flat = fit(texts, lexicon, table)
+    sent = spark.sparkContext.broadcast((flat, classes, table))
+
+    def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*sent.value)
+        for batch in batches(rows, SCORED_TOGETHER):
+            own = batch.column(6).to_pylist()
+            every, sizes = np.frombuffer(b"".join(own), np.int16), np.array([len(x) // 2 for x in own])
+            score = (scorer.scores(every, sizes) + batch.column(5).to_numpy()) / LN10
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(score)], ["row", "doc_id", "n_tokens", "n_known", "base", "score"])
+
+    out = texts.select("row", "doc_id", "n_tokens", "n_known", "base", "share", "rows").mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double")
     if not everything:
-        parts = staged(out, "parts")
         rare = parts.where("word is not null").select("row", "word", "times").join(counts.where(F.col("n") < 1 << level), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         added = rare.select("row", F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("n_known"), (F.col("times") * (F.log10(F.col("n") + ADD) - bottom)).alias("base"))
         none = lambda c, kind: F.lit(None).cast(kind).alias(c)
-        both = parts.where("word is null").select("row", "doc_id", "n_tokens", "n_known", "base", "score").unionByName(added.select("row", none("doc_id", "long"), none("n_tokens", "long"), "n_known", "base", none("score", "double")))
+        both = out.unionByName(added.select("row", none("doc_id", "long"), none("n_tokens", "long"), "n_known", "base", none("score", "double")))
         out = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.max("score").alias("score"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT_OF == 0, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

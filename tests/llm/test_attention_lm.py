@@ -1,5 +1,6 @@
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -315,3 +316,40 @@ def test_better_than_the_table_and_than_a_model_without_attention(spark, monkeyp
         flat, _ = attention_lm.improve(attention_lm.first_weights(), classes.log_class, classes.of_row, chunks, 0, attention_lm.RATE, table)
         got.append(attention_lm.Scorer(flat, classes, table).scores(held, sizes).sum())
     assert got[0] > 0.99 * got[1]
+
+
+def test_steps_use_memory_again(monkeypatch):
+    """A step in a space gives what one by itself gives, of any size, and takes little new memory."""
+    rng, classes, table, flat = with_table(monkeypatch)
+
+    def step(n, space):
+        rows, exact = rng.integers(0, 11, (n, attention_lm.WINDOW)), rng.integers(0, 10, (n, attention_lm.SCORED))
+        weight = rng.integers(0, 3, (n, attention_lm.SCORED)).astype(np.float32)
+        own = lambda *x: attention_lm.gradient(flat, None, rows, classes.of_row[exact], weight, table, exact, *x)
+        alone = own()
+        tracemalloc.start()
+        loss, grads = own(space)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert loss == alone[0] and np.array_equal(grads, alone[1])
+        return peak
+
+    space = attention_lm.Space()
+    first = step(128, space)
+    assert step(128, space) < first / 2
+    step(3, space)
+
+
+def test_texts_are_cut_once(spark, monkeypatch):
+    """Training takes the rows that are scored, and not the texts again."""
+    docs, fit, held = spark.createDataFrame([(i, None if i == 3 else f"strawberry number{i} a") for i in range(20)], "doc_id long, text string"), attention_lm.fit, []
+    monkeypatch.setattr(attention_lm, "fit", lambda *args: held.append(args) or fit(*args))
+    scores = {r.doc_id: r.score for r in attention_lm.scored(docs).collect()}
+    texts, lexicon, table = held[0]
+    own = {r.doc_id: (r.held_out, np.frombuffer(r.rows, np.int16), r.share) for r in texts.collect()}
+    assert own.keys() == scores.keys() == set(range(20))
+    encode, classes = subwords.ids_of(), lexicon.classes
+    for i, (held_out, rows, share) in own.items():
+        ids = [k for w in ([] if i == 3 else [b"strawberry", f"number{i}".encode(), b"a"]) for k in encode(w)]
+        assert held_out == attention_lm.is_held_out(i) and rows.tolist() == classes.row[[*ids, -1]].tolist()
+        assert abs(share - classes.log_share[ids].sum()) < 1e-9
