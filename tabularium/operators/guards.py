@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from tabularium.functions.text import known_scale, names_word
 from tabularium.operators.selection import windows
+from tabularium.sources.shared import met
 
 #: Phrases of questions; fixed values.
 PERCENT = r"bao\s+nhiêu\s+(phần\s+trăm|%)"
@@ -153,7 +154,7 @@ def fuzzy(questions: DataFrame, aliases: DataFrame, threshold: float = 0.8) -> D
     parts = lambda c: F.split(c, " ")
     asked = questions.select("question").distinct().select("question", F.explode(F.array_distinct(parts("question"))).alias("word"))
     known = aliases.select("alias").distinct().select("alias", F.explode(F.array_distinct(parts("alias"))).alias("word"))
-    common = asked.join(known, "word").where(F.abs(F.size(parts("question")) - F.size(parts("alias"))) <= 2).groupBy("question", "alias").agg(F.count(F.lit(1)).alias("common"))
+    common = met(asked, known, "word").where(F.abs(F.size(parts("question")) - F.size(parts("alias"))) <= 2).groupBy("question", "alias").agg(F.count(F.lit(1)).alias("common"))
     f1 = 2 * F.col("common") / (F.size(F.array_distinct(parts("question"))) + F.size(F.array_distinct(parts("alias"))))
     length = F.char_length("question") + F.char_length("alias")
     possible = 0.7 * 2 * F.least(F.char_length("question"), F.char_length("alias")) / length + 0.3 * f1 >= threshold - 1e-9
@@ -167,7 +168,7 @@ def best_windows(questions: DataFrame, aliases: DataFrame, longest: int, thresho
     questions: question_id, words (array); runs of up to longest words are looked at.
     """
     runs = questions.select("question_id", F.explode(windows(F.col("words"), longest)).alias("w")).select("question_id", F.col("w.text").alias("question")).distinct()
-    found = runs.join(fuzzy(runs, aliases, threshold), "question")
+    found = met(runs, fuzzy(runs, aliases, threshold), "question")
     order = F.struct(F.col("score"), -F.char_length("question"), F.col("question"))
     return found.groupBy("question_id", "alias").agg(F.max(order).alias("b")).select("question_id", "alias", "b.score", F.col("b.question").alias("matched_text"))
 

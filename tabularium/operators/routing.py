@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabularium.functions.text import COLLISION_STOP_WORDS, bare_tickers, explicit_tickers, fold, without_company_form
 from tabularium.operators.guards import best_windows
 from tabularium.operators.selection import collision_words, match_text, preferred, shortlisted, windows
-from tabularium.sources.shared import kept
+from tabularium.sources.shared import kept, met
 
 LIMIT = 15
 _OUT = ("question_id", "entity", "match_type", "score", "matched_text")
@@ -30,7 +30,7 @@ def _named(questions: DataFrame, catalogue: DataFrame) -> DataFrame:
     found = questions.select("question_id", explicit_tickers(F.col("question")).alias("sure"), bare_tickers(F.col("question")).alias("bare"))
     each = found.select("question_id", F.explode(F.array_union("sure", "bare")).alias("ticker"), "sure")
     kind = F.when(F.array_contains("sure", F.col("ticker")), "explicit_ticker").otherwise("exact_ticker")
-    return each.join(catalogue.select("ticker").distinct(), "ticker", "left_semi").select("question_id", F.col("ticker").alias("entity"), kind.alias("match_type"), F.lit(1.0).alias("score"), F.col("ticker").alias("matched_text"))
+    return met(each, catalogue.select("ticker").distinct(), "ticker", "left_semi").select("question_id", F.col("ticker").alias("entity"), kind.alias("match_type"), F.lit(1.0).alias("score"), F.col("ticker").alias("matched_text"))
 
 
 def matches(questions: DataFrame, catalogue: DataFrame, alike: bool = True, limit: int = LIMIT) -> DataFrame:
@@ -45,13 +45,13 @@ def matches(questions: DataFrame, catalogue: DataFrame, alike: bool = True, limi
     dealt = questions.repartition(int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "question_id")
     asked = dealt.select("question_id", F.split(match_text(F.col("question")), " ").alias("words"))
     runs = asked.select("question_id", F.explode(windows(F.col("words"), longest)).alias("w")).select("question_id", F.col("w.text").alias("text")).distinct()
-    exact = runs.join(names, "text").select("question_id", F.col("ticker").alias("entity"), "match_type", F.lit(1.0).alias("score"), F.col("text").alias("matched_text"))
+    exact = met(runs, names, "text").select("question_id", F.col("ticker").alias("entity"), "match_type", F.lit(1.0).alias("score"), F.col("text").alias("matched_text"))
     out = _named(questions, catalogue).unionByName(exact)
     if alike:
         near = best_windows(asked, names.where("alike").select(F.col("text").alias("alias")).distinct(), longest + 2)
-        owned = near.join(names.where("alike").select("ticker", F.col("text").alias("alias")), "alias")
+        owned = met(near, names.where("alike").select("ticker", F.col("text").alias("alias")), "alias")
         # an alias that stands in the question is no similar one
-        fuzzy = owned.join(runs.select("question_id", F.col("text").alias("alias")), ["question_id", "alias"], "left_anti")
+        fuzzy = met(owned, runs.select("question_id", F.col("text").alias("alias")), ["question_id", "alias"], "left_anti")
         out = out.unionByName(fuzzy.select("question_id", F.col("ticker").alias("entity"), F.lit("fuzzy_company_name").alias("match_type"), "score", "matched_text"))
     out = kept(out, "matches")  # seeds and their companions read it, so neither the plan nor what it broadcasts doubles
     seeds = preferred(out)
@@ -62,14 +62,14 @@ def matches(questions: DataFrame, catalogue: DataFrame, alike: bool = True, limi
     owners = catalogue.select(F.col("ticker").alias("owner"), F.explode(collision_words(F.col("company"))).alias("word"))
     # a list holds the first owners by code; those that match better themselves can take limit places, and the seed is none
     first = owners.withColumn("n", F.row_number().over(Window.partitionBy("word").orderBy("owner"))).where(F.col("n") <= 2 * limit + 2).drop("n")
-    met = each.join(first, "word").where("owner <> entity")
-    return out.unionByName(met.select("question_id", F.col("owner").alias("entity"), F.lit("collision").alias("match_type"), "score", "matched_text"))
+    shared = met(each, first, "word").where("owner <> entity")
+    return out.unionByName(shared.select("question_id", F.col("owner").alias("entity"), F.lit("collision").alias("match_type"), "score", "matched_text"))
 
 
 def shortlist(questions: DataFrame, catalogue: DataFrame, alike: bool = True, limit: int = LIMIT) -> DataFrame:
     """(question_id, position, entity, match_type, status) of each question; one row with status "none" for a question without any candidate."""
     # a list is put together from several uses of all matches, and read twice
     found = kept(shortlisted(kept(matches(questions, catalogue, alike, limit), "candidates"), limit), "shortlist")
-    none = questions.select("question_id").distinct().join(found.select("question_id").distinct(), "question_id", "left_anti")
+    none = met(questions.select("question_id").distinct(), found.select("question_id").distinct(), "question_id", "left_anti")
     empty = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("position", "entity", "match_type")]
     return found.unionByName(none.select("question_id", *empty, F.lit("none").alias("status")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabularium.functions.text import COLLISION_STOP_WORDS, fold, is_phrase, question_tokens, words
+from tabularium.sources.shared import met
 
 #: Rows with a match that details start from, rows of details, characters of a cell.
 SEEDS, DETAILS, CELL = 3, 9, 160
@@ -168,9 +169,9 @@ def shortlisted(matches: DataFrame, limit: int = 15) -> DataFrame:
     order, own = _match_order(), preferred(matches)
     sure = own.where("match_type <> 'fuzzy_company_name'").withColumn("position", F.row_number().over(Window.partitionBy("question_id").orderBy(*order)))
     counts = sure.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_sure"), F.count_if(F.col("priority") < 4).alias("n_exact"))
-    tail = diverse(own.where("match_type = 'fuzzy_company_name'"), limit, order).join(counts.select("question_id", "n_sure"), "question_id", "left")
+    tail = met(diverse(own.where("match_type = 'fuzzy_company_name'"), limit, order), counts.select("question_id", "n_sure"), "question_id", "left")
     tail = tail.withColumn("position", F.col("position") + F.coalesce("n_sure", F.lit(0))).drop("n_sure")
-    every = sure.unionByName(tail).where(F.col("position") <= limit).join(counts.select("question_id", "n_exact"), "question_id", "left")
+    every = met(sure.unionByName(tail).where(F.col("position") <= limit), counts.select("question_id", "n_exact"), "question_id", "left")
     return every.select("question_id", "position", "entity", "match_type", F.when(F.col("n_exact") > limit, "too many").otherwise("ok").alias("status"))
 
 

@@ -25,6 +25,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the input: sorted, never broadcast.
+
+    Spark takes the rows of an explode for as many bytes as what they come from, so it would send sides to the driver that don't fit there.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def file_system(spark: SparkSession, path: str):  # noqa: ANN201
     """The file system that holds a path, and the path as it takes it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

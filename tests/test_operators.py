@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tabularium.functions import text
 from tabularium.operators import evaluation, guards, routing, search, selection, upkeep
 from tabularium.plans import calculations as calc
+from tabularium.queries.routing import _own_names
 from tabularium.sources import payloads
 
 
@@ -269,6 +270,21 @@ def test_shortlists_compare_names_once(spark):
     assert sorted((r.question_id, r.position or 0, r.entity or "", r.match_type or "") for r in out.collect()) == [(1, 1, "AA", "explicit_ticker"), (1, 2, "CC", "fuzzy_company_name"), (2, 0, "", "")]
 
 
+def test_shortlists_send_no_table_to_the_driver(spark, monkeypatch, tmp_path):
+    """Companies and questions both grow, and the runs of words of a question count as no more bytes than the question."""
+    monkeypatch.setattr(routing, "kept", lambda df, name: df)
+    written = lambda df, name: df.write.parquet(f"{tmp_path}/{name}") or spark.read.parquet(f"{tmp_path}/{name}")
+    catalogue = written(spark.createDataFrame([("AA", "CTCP red bolt"), ("BB", "blue bolt"), ("CC", "green gear")], "ticker string, company string"), "companies")
+    questions = written(spark.createDataFrame([(1, "(AA) and gren gear"), (2, "nothing")], "question_id int, question string"), "questions")
+    plan = routing.shortlist(questions, catalogue)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_companies_share_the_first_word_by_threes_alone(spark):
+    names = spark.range(60_000).select(F.col("id"), *(c.alias(n) for n, c in zip("ab", _own_names(F.col("id")), strict=True)))
+    assert names.agg(F.count_distinct("a"), F.count_distinct("b"), F.max(F.char_length("a")), F.min(F.char_length("b"))).first()[:] == (20_000, 60_000, 8, 8)
+
+
 def test_best_windows_against_all_runs(spark):
     names = ["red bolt", "blue bolt", "old red bolt", "green gear wheel", "gear"]
     asked = {1: "price of ed bolt and grene gear wheel", 2: "gears", 3: "the old rd bolt", 4: "bolt"}
