@@ -19,6 +19,8 @@ from tabularium.operators.selection import CELL
 # What a table file may say for a missing cell, and for truth values.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 TRUTH = ("True", "TRUE", "true", "False", "FALSE", "false")
+# Dtypes of Spark's types; all others are objects.
+DECLARED = {"int": "int64", "bigint": "int64", "float": "float64", "double": "float64", "boolean": "bool"}
 # Names of the columns that identify a row.
 LABELS, CODE, TITLE = ("item_label_norm", "row_label_raw"), "item_code", "note_title"
 
@@ -29,10 +31,15 @@ _INT, _FLOAT = r"^[ \t]*[+-]?[0-9]+[ \t]*$", r"^[ \t]*[+-]?(([0-9]+\.?[0-9]*|\.[
 _BREAK = "\x1e"
 
 
-def melted(df: DataFrame, table_id: str) -> DataFrame:
-    """The cells of a table that Spark holds, without row numbers (its rows have no order)."""
-    cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in df.columns))
-    return df.select(F.posexplode(cells).alias("column_position", "cell")).select(F.lit(table_id).alias("table_id"), F.lit(None).cast("int").alias("row_position"), "column_position", "cell.column_name", "cell.value")
+def declared(df: DataFrame, table_id: str) -> DataFrame:
+    """(table_id, column_position, column_name, dtype, n_cells, n_missing) of a table that Spark holds, from one aggregate over all its rows.
+
+    What typed() finds for files is known here: a text stays object though it reads as a number or says NA, numbers and truth values
+    keep their type beside nulls, only nulls are missing (NaN is a number), and a table without rows has columns, too.
+    """
+    counted = df.agg(F.count(F.lit(1)).alias("n"), *(F.count(F.col(c)).alias(f"c{k}") for k, c in enumerate(df.columns)))
+    column = lambda k, c, kind: F.struct(F.lit(k).alias("column_position"), F.lit(c).alias("column_name"), F.lit(DECLARED.get(kind, "object")).alias("dtype"), F.col("n").alias("n_cells"), (F.col("n") - F.col(f"c{k}")).alias("n_missing"))
+    return counted.select(F.lit(table_id).alias("table_id"), F.inline(F.array(*(column(k, *known) for k, known in enumerate(df.dtypes)))))
 
 
 def _records(content: Column) -> Column:

@@ -3,8 +3,11 @@
 import io
 import random
 
+import duckdb
 import pandas as pd
+from pyspark.sql import functions as F
 
+from tabularium.queries import tables
 from tabularium.sources import cells
 
 RANDOM = random.Random(2)
@@ -73,6 +76,20 @@ def test_labels_and_chosen_rows(spark):
     assert {r.table_id for r in cells.inventory(read).where("detailed_rows is not null").collect()} == {2}
 
 
+def test_tables_that_spark_holds_against_sql(spark, tmp_path):
+    """Texts that read as numbers or say NA, numbers beside nulls, NaN, columns of nulls, no rows."""
+    odd = {"string": ["", "NA", "12", None], "int": [None, 4], "bigint": [None, 4], "double": [float("nan"), None, 2.0], "boolean": [True, None]}
+    con = duckdb.connect()
+    for t, names in tables.COLUMNS.items():
+        kinds = dict(spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").dtypes)
+        n = {"region": 0, "nation": 1}.get(t, 12)
+        value = lambda c: F.element_at(F.array(*(F.lit(x).cast(kinds[c]) for x in odd.get(kinds[c], [None]))), (F.col("id") % len(odd.get(kinds[c], [None])) + 1).cast("int"))  # noqa: E731, B023
+        spark.range(n).select(*(value(c).alias(c) for c in names.split())).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = tables.column_types(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({tables.ORACLES['column_types']})").fetchall())
+
+
 def test_cells_are_matched_once_and_not_within_aggregates(spark):
     files = spark.createDataFrame([(1, "item_label_norm,item_code\na,1\nb,2")], "table_id long, content string")
     plan = cells.inventory(cells.csv_cells(files))._jdf.queryExecution().optimizedPlan().toString()
