@@ -13,7 +13,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.functions.text import collapse
+from tabularium.functions.text import collapse, let
 from tabularium.operators.selection import CELL
 
 # What a table file may say for a missing cell, and for truth values.
@@ -57,20 +57,34 @@ def _names(header: Column) -> Column:
     return F.transform(named, lambda x, i: F.when(again(x, i) > 0, F.concat(x, F.lit("."), again(x, i).cast("string"))).otherwise(x))
 
 
+def _commas(x: Column) -> Column:
+    return F.char_length(x) - F.char_length(F.replace(x, F.lit(","), F.lit("")))
+
+
+def _most(lines: DataFrame) -> int:
+    """Of all lines (arrays) the most separators, within quotes or not."""
+    return lines.agg(F.max(F.array_max(F.transform("lines", _commas)))).first()[0] or 0
+
+
+def _read(line: Column, most: int) -> Column:
+    """A line as struct<c0, c1, ...> of most + 1 fields."""
+    options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxColumns": str(most + 2), "maxCharsPerColumn": "-1", "emptyValue": ""}
+    return F.from_csv(line, ", ".join(f"c{k} string" for k in range(most + 1)), options)
+
+
+def _fields(read: Column, line: Column, most: int) -> Column:
+    """The fields that a line has, of what was read of it: as many as separators outside of quotes, and one."""
+    outside = F.array_join(F.transform(F.split(line, '"', -1), lambda p, i: F.when(i % 2 == 0, p).otherwise(F.lit(""))), "")
+    return F.slice(F.array(*(F.translate(read[f"c{k}"], _BREAK, "\n") for k in range(most + 1))), F.lit(1), _commas(outside) + 1)
+
+
 def csv_cells(files: DataFrame, table_id: str = "table_id", content: str = "content") -> DataFrame:
     """The cells of files with a header, each with columns of its own; fields beyond the header have no name."""
     lines = files.select(F.col(table_id).alias("table_id"), _records(F.col(content)).alias("lines")).where(F.size("lines") > 0)
-    commas = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit(","), F.lit("")))
-    most = lines.agg(F.max(F.array_max(F.transform("lines", commas)))).first()[0] or 0
-    schema = ", ".join(f"c{k} string" for k in range(most + 1))
-    options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "maxColumns": str(most + 2), "maxCharsPerColumn": "-1", "emptyValue": ""}
-
-    # how many fields a line has: separators outside of quotes, and one
-    outside = lambda x: F.array_join(F.transform(F.split(x, '"', -1), lambda p, i: F.when(i % 2 == 0, p).otherwise(F.lit(""))), "")
+    most = _most(lines)
 
     def with_fields(rows: DataFrame, line: str, name: str) -> DataFrame:
-        read = rows.withColumn("_read", F.from_csv(line, schema, options)).withColumn("_n", commas(outside(F.col(line))) + 1)
-        return read.withColumn(name, F.slice(F.array(*(F.translate(f"_read.c{k}", _BREAK, "\n") for k in range(most + 1))), F.lit(1), F.col("_n"))).drop("_read", "_n", line)
+        return rows.withColumn("_read", _read(F.col(line), most)).withColumn(name, _fields(F.col("_read"), F.col(line), most)).drop("_read", line)
 
     heads = with_fields(lines.select("table_id", F.element_at("lines", 1).alias("head"), F.slice("lines", 2, 1 << 30).alias("rest")), "head", "head_fields")
     # names are made once a file; in one select with the rows they would be made for each
@@ -107,15 +121,32 @@ def typed(cells: DataFrame, by: Sequence[str] = ("table_id", "column_position",
         every(F.coalesce(number.between(0, Decimal((1 << 64) - 1)), F.lit(False))).alias("unsigned"),
         every(F.col("decimal")).alias("decimal"),
     )
-    full = F.col("n_missing") == 0
-    dtype = (
-        F.when(F.col("n_missing") == F.col("n_cells"), "float64")
-        .when(F.col("truth"), F.when(full, "bool").otherwise("object"))
-        .when(F.col("whole") & full, F.when(F.col("signed"), "int64").when(F.col("unsigned"), "uint64").otherwise("object"))
-        .when(F.col("decimal"), "float64")
+    dtype = _dtype(F.col("n_missing") == F.col("n_cells"), F.col("n_missing") == 0, *map(F.col, ("truth", "whole", "signed", "unsigned", "decimal")))
+    return held.select(*by, dtype.alias("dtype"), "n_cells", "n_missing")
+
+
+def _dtype(none: Column, full: Column, truth: Column, whole: Column, signed: Column, unsigned: Column, decimal: Column) -> Column:
+    """The type of a column by what holds for all its cells; none, full: all or no cells are missing."""
+    return (
+        F.when(none, "float64")
+        .when(truth, F.when(full, "bool").otherwise("object"))
+        .when(whole & full, F.when(signed, "int64").when(unsigned, "uint64").otherwise("object"))
+        .when(decimal, "float64")
         .otherwise("object")
     )
-    return held.select(*by, dtype.alias("dtype"), "n_cells", "n_missing")
+
+
+#: What _marks() says of a cell, as bits.
+_NONE, _FULL, _TRUTH, _WHOLE, _SIGNED, _UNSIGNED, _DECIMAL = (1 << k for k in range(7))
+_ALL = (1 << 7) - 1
+
+
+def _marks(value: Column) -> Column:
+    """What typed() counts of a cell, as bits that are set for a column if they are for all its cells."""
+    bit = lambda k, c: F.when(F.coalesce(c, F.lit(False)), k).otherwise(0)
+    number = F.trim(value, F.lit(" \t")).try_cast("decimal(38, 0)")
+    whole = let(number, lambda n: F.lit(_FULL | _WHOLE | _DECIMAL) + bit(_SIGNED, n.between(-(1 << 63), (1 << 63) - 1)) + bit(_UNSIGNED, n.between(0, Decimal((1 << 64) - 1))))
+    return F.when(is_missing(value), _ALL - _FULL).when(value.rlike(_INT), whole).otherwise(F.lit(_FULL) + bit(_TRUTH, value.isin(*TRUTH)) + bit(_DECIMAL, value.rlike(_FLOAT)))
 
 
 def _compact(value: Column) -> Column:
@@ -162,3 +193,35 @@ def inventory(cells: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     shown = F.when(F.size(own) > 0, own).when(F.size("rows") <= SHOWN, F.col("rows"))
     named = lambda c, *names: F.transform(c, lambda r: F.struct(*(r[x].alias(x) for x in names)))
     return rows.select("table_id", F.size("rows").cast("long").alias("row_count"), named("rows", "row_position", "label", "code", "title").alias("row_catalog"), named(shown, "row_position", "values").alias("detailed_rows")).join(columns, "table_id")
+
+
+def described(files: DataFrame, chosen: Column | None = None, table_id: str = "table_id", content: str = "content") -> DataFrame:
+    """inventory(csv_cells(files)) without a row for each cell: a file is parsed, typed and described within its own row, and nothing is shuffled.
+
+    chosen: of a file, an array of the positions of rows that are shown in full. files are read twice, so they should be kept.
+    """
+    none = F.array().cast("array<int>")
+    own = F.coalesce((none if chosen is None else chosen).cast("array<int>"), none)
+    lines = files.select(F.col(table_id).alias("table_id"), own.alias("chosen"), _records(F.col(content)).alias("lines")).where(F.size("lines") > 1)
+    most = _most(lines)
+    fields = lambda x: let(_read(x, most), lambda r: _fields(r, x, most))
+    heads = lines.select("table_id", "chosen", fields(F.element_at("lines", 1)).alias("head"), F.slice("lines", 2, 1 << 30).alias("rest"))
+    named = heads.select("table_id", "chosen", _names(F.col("head")).alias("names"), "rest")
+    # a short line lacks its last cells, a long one has cells without a name
+    parsed = named.select("table_id", "chosen", "names", F.transform("rest", lambda x: F.zip_with(fields(x), "names", lambda value, name: value)).alias("values"))
+    shown = F.transform("values", lambda v: F.transform(v, lambda x: F.when(~is_missing(x), _compact(x))))
+    both = lambda a, b: F.coalesce(a, F.lit(_ALL)).bitwiseAND(F.coalesce(b, F.lit(_ALL)))
+    marks = F.aggregate("values", none, lambda held, v: F.zip_with(held, F.transform(v, _marks), both))
+    seen = parsed.select("table_id", "chosen", "names", shown.alias("shown"), marks.alias("marks"))
+    at = lambda name: F.nullif(F.array_position("names", name), F.lit(0)).cast("int")
+    places = seen.select("*", F.coalesce(*map(at, LABELS), F.lit(1)).alias("label"), at(CODE).alias("code"), at(TITLE).alias("title"))
+    has = lambda k: lambda m: m.bitwiseAND(F.lit(k)) != 0
+    dtype = lambda m: _dtype(*(has(k)(m) for k in (_NONE, _FULL, _TRUTH, _WHOLE, _SIGNED, _UNSIGNED, _DECIMAL)))
+    name = lambda i: F.get(F.col("names"), i).alias("column_name")
+    columns = F.transform("marks", lambda m, i: F.struct(i.alias("column_position"), name(i), dtype(m).alias("dtype")))
+    catalogue = F.transform("shown", lambda v, i: F.struct(i.alias("row_position"), *(F.get(v, F.col(c) - 1).alias(c) for c in ("label", "code", "title"))))
+    rows = F.transform("shown", lambda v, i: F.struct(i.alias("row_position"), F.transform(v, lambda x, j: F.struct(j.alias("column_position"), name(j), x.alias("value"))).alias("values")))
+    wanted = F.filter(rows, lambda r: F.array_contains("chosen", r["row_position"]))
+    found = F.exists("chosen", lambda p: (p >= 0) & (p < F.size("shown")))
+    full = F.when(found, wanted).when(F.size("shown") <= SHOWN, rows)
+    return places.select("table_id", F.size("shown").cast("long").alias("row_count"), catalogue.alias("row_catalog"), full.alias("detailed_rows"), columns.alias("columns"))

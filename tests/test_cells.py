@@ -90,6 +90,20 @@ def test_tables_that_spark_holds_against_sql(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({tables.ORACLES['column_types']})").fetchall())
 
 
+def test_files_are_described_within_their_rows(spark):
+    """As by way of cells, also for odd files, and without any shuffle."""
+    odd = [None, "", "\n\n", "a,b", "a,b\n1", "a\n1,2,3\n4,x", 'a\n"open\n2', "a\n" + "9" * 40, "row_label_raw,item_code,item_label_norm\nr,NA,\nq,c", "\n".join(["note_title,x", *(f"t{k},{k}" for k in range(12))]), "a,a\n 7 ,1e5\n\t8,"]
+    files = spark.createDataFrame([*enumerate([*odd, *(table() for _ in range(200))])], "table_id int, content string").repartition(4, "content").localCheckpoint()
+    chosen = F.when(F.col("table_id") % 2 == 0, F.array((F.col("table_id") % 5).cast("int"), F.lit(0), F.lit(0), F.lit(-1)))
+    apart = files.where("table_id % 2 = 0").select("table_id", F.explode(F.array((F.col("table_id") % 5).cast("int"), F.lit(0), F.lit(-1))).alias("row_position"))
+    plain = lambda df: sorted((r.asDict(recursive=True) for r in df.collect()), key=lambda r: r["table_id"])
+    for some, rows in ((None, None), (chosen, apart)):
+        got = cells.described(files, some)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert plain(got) == plain(cells.inventory(cells.csv_cells(files), rows))
+    assert cells.described(files.where("table_id < 0")).count() == 0
+
+
 def test_cells_are_matched_once_and_not_within_aggregates(spark):
     files = spark.createDataFrame([(1, "item_label_norm,item_code\na,1\nb,2")], "table_id long, content string")
     plan = cells.inventory(cells.csv_cells(files))._jdf.queryExecution().optimizedPlan().toString()
