@@ -26,6 +26,13 @@ def test_folding_and_tokens(spark):
     assert tokens("") == []
 
 
+def test_terms_are_counted_within_a_row(spark):
+    counted = lambda s: [tuple(r) for r in one(spark, text.counted(text.tokens(F.col("s"))), s=s)]
+    assert counted("w2 Điện w2 straße dien w1 w2 a") == [("dien", 2), ("strasse", 1), ("w1", 1), ("w2", 3)]
+    assert counted("") == [] and counted("x") == [] and counted("𝒜𝒜 𝒜 ab AB") == [("ab", 2), ("𝒜𝒜", 1)]
+    assert one(spark, text.counted(text.tokens(F.col("s").cast("string"))), s=None) is None
+
+
 def test_scores_depend_on_the_scope(spark):
     rows = spark.createDataFrame([(1, "a", "cash flow"), (2, "b", "cash flow"), (3, "b", "cash cash"), (4, "b", "other words")], "table_id int, ticker string, index_text string")
     asked = spark.createDataFrame([(1, "cash")], "question_id int, question string")
